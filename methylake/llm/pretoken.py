@@ -56,21 +56,17 @@ def lower_plain(text: str, specials: tuple[str, ...]) -> bool:
 
 
 class PieceCache(dict):
-    """What a function gives for a piece, worked out for all unknown pieces of a batch at once; at most `most` entries."""
+    """cache[piece] is make(piece), worked out once while the piece is held; at most `most` pieces are held."""
 
-    def __init__(self, make, most: int = 500_000):
+    def __init__(self, make, most: int = 700_000):
         super().__init__()
         self.make, self.most = make, most
 
-    def learn(self, pieces) -> None:
-        new = [p for p in pieces if p not in self]
-        if new:
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = list(pieces)
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                self.update(zip(part, self.make(part), strict=True))
+    def __missing__(self, piece):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[piece] = self.make(piece)
+        return value
 
 
 def load(path: str):
@@ -81,3 +77,18 @@ def load(path: str):
 
 def specials_of(tokenizer) -> tuple[str, ...]:
     return tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others, in order, for U+0100 and up."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(other)}
+
+
+_LETTERS = _byte_letters()
+
+
+def byte_level(piece: str) -> str:
+    """A pre-token as the library's model takes it."""
+    return piece.encode().decode("latin-1").translate(_LETTERS)

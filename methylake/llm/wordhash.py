@@ -51,7 +51,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null texts are empty."""
     if column.null_count:
         column = column.fill_null("")
-    wide = isinstance(column.type, pa.LargeStringType) or pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type)
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -68,11 +68,18 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> list[tuple[int, int]]:
     return out
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that part words where punctuation counts for nothing: all of ASCII but letters and digits.
+PUNCTUATED = np.zeros(256, bool)
+PUNCTUATED[:128] = True
+for _c in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+    PUNCTUATED[_c] = False
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, number of the text) of all words; words never span texts."""
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(between[data], out=inside[1:-1])
     cut = offsets[1:-1]
     cut = cut[(cut > 0) & (cut < len(data))]
     edge = inside[1:] != inside[:-1]
