@@ -30,6 +30,8 @@ from methylake.llm.wordhash import constants, mix, shingle_sets
 ROWS, MISS = 6, 1e-6
 #: Members and shingles of a block of a family, on average.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 400_000
+#: Members of families, 48 bytes each, up to which they go to the texts instead of both being shuffled.
+BROADCAST_MEMBERS = 1_000_000
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -226,7 +228,10 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     members = written(classes.select("node", "n", "k1", "k2").join(families, "node"), "minhash-members")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node", "k1"), F.col("blocks")).cast("int"))
-    texts = docs.join(members.select(F.col("node").alias("id"), "k1", "k2", "family", "blocks", "block"), "id").select("id", "text", "k1", "k2", "family", "blocks", "block")
+    members = members.select(F.col("node").alias("id"), "k1", "k2", "family", "blocks", "block")
+    if members.count() <= BROADCAST_MEMBERS:  # else both sides are shuffled by id
+        members = F.broadcast(members)
+    texts = docs.join(members, "id").select("id", "text", "k1", "k2", "family", "blocks", "block")
     wanted = _sets(texts, k)
     links = written(_confirm(wanted, percent), "minhash-links")
 
