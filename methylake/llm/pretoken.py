@@ -58,7 +58,7 @@ def lower_plain(text: str, specials: tuple[str, ...]) -> bool:
 class PieceCache(dict):
     """cache[piece] is make(piece), worked out once while the piece is held; at most `most` pieces are held."""
 
-    def __init__(self, make, most: int = 700_000):
+    def __init__(self, make, most: int = 300_000):
         super().__init__()
         self.make, self.most = make, most
 
