@@ -153,22 +153,25 @@ def call_string(read, window, genome_conversion: str = "CT", five_base: bool = F
     Genome C with read C is methylated, with T unmethylated (G and A for GA); the context comes from the two following
     (or preceding) bases; N or X there gives U. five_base swaps the two; slam calls T kept z and T read as C Z.
     """
-    shift = 0 if genome_conversion == "CT" else 2
-    g, a = F.split(window, ""), F.split(read, "")
+    a, n = F.split(read, ""), F.length(read)
+    g = F.split(window, "")
     base, kept, changed, other = ("C", "C", "T", "G") if genome_conversion == "CT" else ("G", "G", "A", "C")
-    step = 1 if genome_conversion == "CT" else -1
+    # each base with its two neighbours in one array of structs: a lambda that looked them up in the whole array
+    # would split the window again for every base
+    order = (1, 2, 3) if genome_conversion == "CT" else (3, 2, 1)
+    zipped = F.arrays_zip(a.alias("r"), *(F.slice(g, F.lit(k), n).alias(f"g{i}") for i, k in enumerate(order)))
     if slam:
         base, kept, changed = ("T", "C", "T") if genome_conversion == "CT" else ("A", "G", "A")
 
-    def one(r, i):
-        at = lambda k: F.try_element_at(g, i + 1 + shift + k * step)
+    def one(z):
+        r, g0, g1, g2 = (z[k] for k in ("r", "g0", "g1", "g2"))
         if slam:
-            return F.when(at(0) == base, F.when(r == changed, "z").when(r == kept, "Z").otherwise(".")).otherwise(".")
-        letter = F.when(at(1) == other, "z").when(at(1).isin("N", "X"), "u").when(at(2) == other, "x").when(at(2).isin("N", "X"), "u").otherwise("h")
+            return F.when(g0 == base, F.when(r == changed, "z").when(r == kept, "Z").otherwise(".")).otherwise(".")
+        letter = F.when(g1 == other, "z").when(g1.isin("N", "X"), "u").when(g2 == other, "x").when(g2.isin("N", "X"), "u").otherwise("h")
         high, low = (changed, kept) if five_base else (kept, changed)
-        return F.when(at(0) == base, F.when(r == high, F.upper(letter)).when(r == low, letter).otherwise(".")).otherwise(".")
+        return F.when(g0 == base, F.when(r == high, F.upper(letter)).when(r == low, letter).otherwise(".")).otherwise(".")
 
-    return F.array_join(F.transform(a, one), "")
+    return F.array_join(F.transform(zipped, one), "")
 
 
 # -- choice among aligner instances ---------------------------------------------------------------------------

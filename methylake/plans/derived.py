@@ -20,7 +20,7 @@ def letters():
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chr, seq): the letters of each document as bases."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chr"), F.translate(letters(), _ABC, _BASES).alias("seq"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chr"), F.translate(letters(), _ABC, _BASES).alias("seq")).repartition("chr")
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, chr, start, xm, xr, xg, cigar): the letters of each document as a call string, with three CIGAR shapes."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.translate(letters(), _ABC, _CALLS).alias("xm")).where("length(xm) > 0")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.translate(letters(), _ABC, _CALLS).alias("xm")).where("length(xm) > 0").repartition("doc_id")
     n, i = F.length("xm"), F.col("doc_id")
     cigar = F.when((n < 40) | (i % 3 == 0), F.concat(n.cast("string"), F.lit("M")))
     cigar = cigar.when(i % 3 == 1, F.concat((n - 20).cast("string"), F.lit("M2D20M"))).otherwise(F.concat(F.lit("10S"), (n - 25).cast("string"), F.lit("M5I10M")))
