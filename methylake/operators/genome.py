@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from methylake.functions.expr import context, convert_genome, converted_bases, revcomp
 
-CORE, HALO = 512, 6
+CORE, HALO = 64, 6
 
 
 def tiles(genome: DataFrame, core: int = CORE, halo: int = HALO) -> DataFrame:
