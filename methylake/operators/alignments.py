@@ -177,25 +177,84 @@ def call_string(read, window, genome_conversion: str = "CT", five_base: bool = F
 # -- choice among aligner instances ---------------------------------------------------------------------------
 
 
-def best_single(records: DataFrame) -> DataFrame:
-    """(read_id, decision, inst, score, second) from the first record of each instance: (read_id, inst, chr, pos, as_i, xs_i).
+def _choice(records: DataFrame, *locus: str) -> DataFrame:
+    """(read_id, decision, inst, score, second) from records (read_id, inst, scan, score, second, *locus), one of each instance.
 
-    In the order of instances, a read is ambiguous when a record of the best score has an equal second score of its
-    own. Else the stored records, those at least as good as all before them and without such a tie, the last at each
+    In the order of scan, a read is ambiguous when a record of the best score has an equal second score of its own.
+    Else the stored records, those at least as good as all before them and without such a tie, the last at each
     locus, decide: none, one, a tie of the two best, or the best with the larger of its own and the runner-up's score.
     """
-    w = Window.partitionBy("read_id").orderBy("inst")
-    r = records.withColumn("prior", F.max("as_i").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("top", F.max("as_i").over(Window.partitionBy("read_id")))
-    tied = F.coalesce(F.col("xs_i") == F.col("as_i"), F.lit(False))
-    r = r.withColumn("amb", tied & (F.col("as_i") == F.col("top"))).withColumn("stored", ~tied & (F.col("prior").isNull() | (F.col("as_i") >= F.col("prior"))))
-    loci = r.groupBy("read_id", "chr", "pos").agg(F.bool_or("amb").alias("amb"), F.max_by(F.struct("as_i", "xs_i", "inst"), F.when(F.col("stored"), F.col("inst"))).alias("v"), F.bool_or("stored").alias("any"))
-    ranked = F.reverse(F.array_sort(F.collect_list(F.when(F.col("any"), F.struct(F.col("v.as_i").alias("as_i"), (-F.col("v.inst")).alias("k"), F.col("v.xs_i").alias("xs_i"), F.col("v.inst").alias("inst"))))))
+    w = Window.partitionBy("read_id").orderBy("scan")
+    r = records.withColumn("prior", F.max("score").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("top", F.max("score").over(Window.partitionBy("read_id")))
+    tied = F.coalesce(F.col("second") == F.col("score"), F.lit(False))
+    r = r.withColumn("amb", tied & (F.col("score") == F.col("top"))).withColumn("stored", ~tied & (F.col("prior").isNull() | (F.col("score") >= F.col("prior"))))
+    loci = r.groupBy("read_id", *locus).agg(F.bool_or("amb").alias("amb"), F.max_by(F.struct("score", "second", "inst", "scan"), F.when(F.col("stored"), F.col("scan"))).alias("v"), F.bool_or("stored").alias("any"))
+    ranked = F.reverse(F.array_sort(F.collect_list(F.when(F.col("any"), F.struct(F.col("v.score").alias("score"), (-F.col("v.scan")).alias("k"), F.col("v.second").alias("second"), F.col("v.inst").alias("inst"))))))
     d = loci.groupBy("read_id").agg(F.bool_or("amb").alias("amb"), ranked.alias("s"))
     n, best, runner = F.size("s"), F.try_element_at("s", F.lit(1)), F.try_element_at("s", F.lit(2))
-    decision = F.when(F.col("amb"), "ambiguous").when(n == 0, "none").when((n > 1) & (best["as_i"] == runner["as_i"]), "ambiguous").otherwise("unique")
-    second = F.when(n == 1, best["xs_i"]).otherwise(F.greatest(best["xs_i"], runner["as_i"]))
+    decision = F.when(F.col("amb"), "ambiguous").when(n == 0, "none").when((n > 1) & (best["score"] == runner["score"]), "ambiguous").otherwise("unique")
+    second = F.when(n == 1, best["second"]).otherwise(F.greatest(best["second"], runner["score"]))
+    unique = F.col("decision") == "unique"
+    return d.withColumn("decision", decision).select("read_id", "decision", *(F.when(unique, c).alias(a) for c, a in ((best["inst"], "inst"), (best["score"], "score"), (second, "second"))))
+
+
+def reject(decisions: DataFrame, *instances: int) -> DataFrame:
+    """decisions where a unique choice of one of the instances is rejected, as a directional library does."""
+    gone = (F.col("decision") == "unique") & F.col("inst").isin(*instances)
+    return decisions.select("read_id", F.when(gone, "rejected").otherwise(F.col("decision")).alias("decision"), *(F.when(~gone, F.col(c)).alias(c) for c in ("inst", "score", "second")))
+
+
+def best_single(records: DataFrame) -> DataFrame:
+    """(read_id, decision, inst, score, second) from the first record of each instance: (read_id, inst, chr, pos, as_i, xs_i)."""
+    return _choice(records.select("read_id", "inst", F.col("inst").alias("scan"), F.col("as_i").alias("score"), F.col("xs_i").alias("second"), "chr", "pos"), "chr", "pos")
+
+
+# The instances of a pair in the order in which they are looked at.
+PAIR_SCAN = (0, 3, 1, 2)
+
+
+def best_pair(records: DataFrame, mate1_second: bool = True) -> DataFrame:
+    """(read_id, decision, inst, score, second) from the first pair of each instance: (read_id, inst, chr, pos1, pos2,
+    as1, xs1, as2, xs2). Scores are sums over the mates; where one mate has a second score, the other's defaults to its
+    own score, and without mate1_second mate 1's is never used. Such pairs meet in a locus whatever their mates' order,
+    pairs without a second score only in the same order."""
+    xs1 = F.col("xs1") if mate1_second else F.lit(None).cast("int")
+    second = F.when(xs1.isNotNull() | F.col("xs2").isNotNull(), F.coalesce(xs1, "as1") + F.coalesce("xs2", "as2"))
+    scan = F.array_position(F.array(*(F.lit(i) for i in PAIR_SCAN)), F.col("inst")).cast("int")
+    low = F.when(second.isNotNull(), F.least("pos1", "pos2")).otherwise(F.col("pos1"))
+    high = F.when(second.isNotNull(), F.greatest("pos1", "pos2")).otherwise(F.col("pos2"))
+    rows = records.select("read_id", "inst", scan.alias("scan"), (F.col("as1") + F.col("as2")).alias("score"), second.alias("second"), "chr", low.alias("low"), high.alias("high"))
+    return _choice(rows, "chr", "low", "high")
+
+
+def best_combined(records: DataFrame) -> DataFrame:
+    """(read_id, decision, inst, score, second, spurious) from lines against one genome of both conversions:
+    (read_id, conv of the read, flag, rname, pos, as_i).
+
+    A line is of an instance when the read's conversion, its direction and the converted genome fit, else spurious.
+    Of the lines with the best score, spurious ones alone give none (spurious true), along with others ambiguous; two
+    loci are ambiguous; else the largest instance at the locus is it. second is the score of the second line. Unmapped
+    lines only keep their read. A read's lines meet in one shuffle.
+    """
+    reverse, ct = F.col("flag").bitwiseAND(16) > 0, F.col("conv") == "CT"
+    genome = F.regexp_extract("rname", "_(CT|GA)_converted$", 1)
+    mapped = F.col("flag").bitwiseAND(4) == 0
+    inst = F.when(genome == "CT", F.when(ct & ~reverse, 0).when(~ct & reverse, 2)).when(genome == "GA", F.when(ct & reverse, 1).when(~ct & ~reverse, 3))
+    inst = F.when(mapped & (genome == ""), F.raise_error(F.concat(F.lit("not a converted chromosome: "), "rname")).cast("int")).otherwise(inst)
+    r = records.select("read_id", inst.alias("inst"), F.struct("rname", "pos").alias("line"), F.when(mapped, F.col("as_i")).alias("score"), genome.alias("genome"))
+    r = r.withColumn("locus", F.struct(F.regexp_replace("line.rname", "_(CT|GA)_converted$", "").alias("chr"), F.col("line.pos").alias("pos")))
+    r = r.withColumn("top", F.max("score").over(Window.partitionBy("read_id")))
+    best = F.col("score") == F.col("top")
+    valid = best & F.col("inst").isNotNull()
+    d = r.groupBy("read_id").agg(
+        F.max("top").alias("score"), F.count_if(best).alias("n"), F.coalesce(F.bool_or(best & F.col("inst").isNull()), F.lit(False)).alias("odd"), F.count_if(valid).alias("good"),
+        F.min(F.when(valid, F.col("locus"))).alias("l1"), F.max(F.when(valid, F.col("locus"))).alias("l2"), F.max(F.when(valid, F.col("inst"))).alias("inst"), F.max(F.when(F.col("score") < F.col("top"), F.col("score"))).alias("next"),
+    )
+    decision = F.when(F.col("good") == 0, "none").when(F.col("odd") | (F.col("l1") != F.col("l2")), "ambiguous").otherwise("unique")
     unique = F.col("decision") == "unique"
-    return d.withColumn("decision", decision).select("read_id", "decision", *(F.when(unique, c).alias(a) for c, a in ((best["inst"], "inst"), (best["as_i"], "score"), (second, "second"))))
+    second = F.when(F.col("n") > 1, F.col("score")).otherwise(F.col("next"))
+    d = d.withColumn("decision", decision)
+    return d.select("read_id", "decision", *(F.when(unique, c).alias(a) for c, a in ((F.col("inst"), "inst"), (F.col("score"), "score"), (second, "second"))), (F.col("odd") & (F.col("good") == 0)).alias("spurious"))
 
 
 def run_counters(decisions: DataFrame) -> DataFrame:

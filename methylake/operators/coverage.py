@@ -146,3 +146,25 @@ def last_of_block(cov: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("ord")
     blocks = cov.withColumn("new", F.coalesce((F.col("chr") != F.lag("chr").over(w)).cast("int"), F.lit(1))).withColumn("block", F.sum("new").over(w))
     return blocks.groupBy("file", "block", "chr", "pos").agg(F.max_by(F.struct("m", "u"), "ord").alias("v")).select("file", "block", "chr", "pos", "v.m", "v.u")
+
+
+def nome_per_read(genome: DataFrame, calls: DataFrame) -> DataFrame:
+    """(read, chr, start, end, meth_cg, unmeth_cg, meth_gpc, unmeth_gpc) of reads' calls (read, ord, chr, pos, meth, call, start, end).
+
+    chr, start and end are those of a read's first call; start lies after end on a reverse read. A read counts only
+    where start > 3 and its length and 2 more bases fit from start on. The last call at a position wins. CpG calls
+    count where the 3-mer one base before is ACG or TCG, others where it starts with GC; their letter must fit the
+    genome's context. A read without such calls has zeros, as one whose end is 2 or less.
+    """
+    size = F.abs(F.col("end") - F.col("start")) + 1
+    reads = calls.groupBy("read").agg(F.min_by(F.struct("chr", "start", "end"), "ord").alias("f")).select("read", "f.*")
+    reads = reads.join(genome.select("chr", F.length("seq").alias("chr_len")), "chr").where((F.col("start") > 3) & (F.col("chr_len") >= F.col("start") + size + 2))
+    reads = reads.select("read", "chr", F.least("start", "end").alias("start"), F.greatest("start", "end").alias("end"))
+    last = calls.groupBy("read", "pos").agg(F.max_by(F.struct("meth", "call"), "ord").alias("c")).select("read", "pos", "c.*")
+    inside = reads.join(last, "read").where(F.col("pos").between(F.col("start"), F.col("end")) & (F.col("start") > 2))
+    motif = F.when(F.col("context") == "CG", F.when(F.col("upstream").isin("ACG", "TCG"), "z")).when(F.col("upstream").startswith("GC"), F.when(F.col("context") == "CHG", "x").otherwise("h"))
+    sites = cytosine_positions(genome).select("chr", "pos", motif.alias("letter")).where("letter is not null")
+    hits = inside.join(sites, ["chr", "pos"]).where(F.lower("call") == F.col("letter"))
+    n = lambda meth, cpg: F.count_if((F.col("meth") == meth) & ((F.col("letter") == "z") == F.lit(cpg)))
+    sums = hits.groupBy("read").agg(n("+", True).alias("meth_cg"), n("-", True).alias("unmeth_cg"), n("+", False).alias("meth_gpc"), n("-", False).alias("unmeth_gpc"))
+    return reads.join(sums, "read", "left").fillna(0, ["meth_cg", "unmeth_cg", "meth_gpc", "unmeth_gpc"])

@@ -430,6 +430,63 @@ def best_alignment_se(spark, d):
     return A.best_single(D.reads(spark, d).select("read_id", "inst", "chr", "pos", "as_i", "xs_i"))
 
 
+_PAIRS = f"""{SQL['reads']}, pairs AS (SELECT read_id, inst, chr, pos AS pos1, (pos + ord % 2) % 3 AS pos2, as_i AS as1, xs_i AS xs1, as_i // 2 AS as2, CASE WHEN ord % 7 < 2 THEN as_i // 2 - 3 * (ord % 7) END AS xs2 FROM reads),
+  ps AS (SELECT *, as1 + as2 AS score, list_position([0, 3, 1, 2], inst) AS scan, CASE WHEN xs1 IS NOT NULL OR xs2 IS NOT NULL THEN coalesce(xs1, as1) + coalesce(xs2, as2) END AS sec FROM pairs),
+  r AS (SELECT *, CASE WHEN sec IS NULL THEN pos1 ELSE least(pos1, pos2) END AS low, CASE WHEN sec IS NULL THEN pos2 ELSE greatest(pos1, pos2) END AS high, coalesce(sec = score, false) AS tied,
+    max(score) OVER (PARTITION BY read_id) AS top, max(score) OVER (PARTITION BY read_id ORDER BY scan ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM ps),
+  amb AS (SELECT read_id, bool_or(tied AND score = top) AS amb FROM r GROUP BY 1),
+  st AS (SELECT *, row_number() OVER (PARTITION BY read_id, chr, low, high ORDER BY scan DESC) AS k FROM r WHERE NOT tied AND (prior IS NULL OR score >= prior)),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, scan) AS p, lead(score) OVER (PARTITION BY read_id ORDER BY score DESC, scan) AS runner FROM st WHERE k = 1),
+  d0 AS (SELECT a.read_id, CASE WHEN amb THEN 'ambiguous' WHEN p IS NULL THEN 'none' WHEN runner = score THEN 'ambiguous' WHEN inst IN (1, 2) THEN 'rejected' ELSE 'unique' END AS decision, inst, score, CASE WHEN runner IS NULL THEN sec WHEN sec > runner THEN sec ELSE runner END AS sec FROM amb a LEFT JOIN rk ON a.read_id = rk.read_id AND p = 1)"""
+
+
+@query(f"WITH {_PAIRS} SELECT read_id, decision, CASE WHEN decision = 'unique' THEN inst END AS inst, CASE WHEN decision = 'unique' THEN score END AS score, CASE WHEN decision = 'unique' THEN sec END AS second FROM d0")
+def best_alignment_pe(spark, d):
+    o, s = F.col("ord"), F.floor(F.col("as_i") / 2).cast("int")
+    xs2 = F.when(o % 7 < 2, s - 3 * (o % 7)).cast("int")
+    pairs = D.reads(spark, d).select("read_id", "inst", "chr", F.col("pos").alias("pos1"), ((F.col("pos") + o % 2) % 3).alias("pos2"), F.col("as_i").alias("as1"), F.col("xs_i").alias("xs1"), s.alias("as2"), xs2.alias("xs2"))
+    return A.reject(A.best_pair(pairs), 1, 2)
+
+
+@query(
+    f"""WITH {SQL['reads']}, l AS (SELECT read_id, chr, pos % 2 AS pos, CASE WHEN ord % 13 <> 0 THEN as_i END AS score,
+    CASE WHEN ord % 13 = 0 THEN NULL ELSE list_extract([0, 1, 2, 3, 0, 1, 2, 3, 0, 3, NULL], CAST(ord % 11 + 1 AS INT)) END AS inst FROM reads),
+    t AS (SELECT *, max(score) OVER (PARTITION BY read_id) AS top, row_number() OVER (PARTITION BY read_id ORDER BY score DESC NULLS LAST) AS k FROM l),
+    g AS (SELECT read_id, max(top) AS top, max(CASE WHEN k = 2 THEN score END) AS sec, count(*) FILTER (score = top AND inst IS NULL) AS odd, count(DISTINCT chr || ':' || pos) FILTER (score = top AND inst IS NOT NULL) AS loci, max(inst) FILTER (score = top) AS inst FROM t GROUP BY 1),
+    d AS (SELECT *, CASE WHEN loci = 0 THEN 'none' WHEN odd > 0 OR loci > 1 THEN 'ambiguous' ELSE 'unique' END AS decision FROM g)
+    SELECT read_id, decision, CASE WHEN decision = 'unique' THEN inst END AS inst, CASE WHEN decision = 'unique' THEN top END AS score, CASE WHEN decision = 'unique' THEN sec END AS second, odd > 0 AND loci = 0 AS spurious FROM d"""
+)
+def combined_index_choice(spark, d):
+    # lines as (conversion of the read, flag, conversion of the genome), the last of the four fitting none
+    o = F.col("ord")
+    shape = F.element_at(F.array(*(F.lit(x) for x in ("CT 0 CT", "CT 16 GA", "GA 16 CT", "GA 0 GA", "CT 0 CT", "CT 16 GA", "GA 16 CT", "GA 0 GA", "CT 0 CT", "GA 0 GA", "CT 16 CT"))), (o % 11 + 1).cast("int"))
+    f = F.split(shape, " ")
+    flag = F.when(o % 13 == 0, 4).otherwise(f[1].cast("int"))
+    return A.best_combined(D.reads(spark, d).select("read_id", f[0].alias("conv"), flag.alias("flag"), F.concat("chr", F.lit("_"), f[2], F.lit("_converted")).alias("rname"), (F.col("pos") % 2).alias("pos"), "as_i"))
+
+
+@query(
+    f"""WITH {_SITES}, {SQL['calls'].replace('l_linestatus AS status', 'l_linestatus AS status, l_linenumber AS ord, l_partkey AS part')},
+    c AS (SELECT read_id, ord, CAST(read_id % 40 AS VARCHAR) AS chr, 2 + read_id % 97 + (part * 7 + ord) % 60 AS pos, meth, call, 2 + read_id % 97 AS lo, 61 + read_id % 97 AS hi, read_id % 3 = 0 AS rev FROM calls),
+    g AS (SELECT chr, length(seq) AS n FROM genome), rd AS (SELECT DISTINCT c.read_id, c.chr, lo, hi FROM c JOIN g USING (chr) WHERE CASE WHEN rev THEN hi ELSE lo END > 3 AND n >= CASE WHEN rev THEN hi ELSE lo END + 62),
+    last AS (SELECT *, row_number() OVER (PARTITION BY read_id, pos ORDER BY ord DESC) AS k FROM c),
+    h AS (SELECT l.read_id, l.meth, s.context FROM last l JOIN rd USING (read_id) JOIN sites s ON s.chr = l.chr AND s.pos = l.pos WHERE k = 1 AND l.lo > 2 AND
+      ((context = 'CG' AND upstream IN ('ACG', 'TCG') AND lower(call) = 'z') OR (upstream LIKE 'GC%' AND ((context = 'CHG' AND lower(call) = 'x') OR (context = 'CHH' AND lower(call) = 'h'))))),
+    t AS (SELECT read_id, count(*) FILTER (meth = '+' AND context = 'CG') AS a, count(*) FILTER (meth = '-' AND context = 'CG') AS b, count(*) FILTER (meth = '+' AND context <> 'CG') AS c, count(*) FILTER (meth = '-' AND context <> 'CG') AS d FROM h GROUP BY 1)
+    SELECT read_id AS read, chr, lo AS start, hi AS "end", coalesce(a, 0) AS meth_cg, coalesce(b, 0) AS unmeth_cg, coalesce(c, 0) AS meth_gpc, coalesce(d, 0) AS unmeth_gpc FROM rd LEFT JOIN t USING (read_id)"""
+)
+def nome_per_read(spark, d):
+    up = F.col("l_discount") >= 0.05
+    letter = F.element_at(F.array(F.lit("z"), F.lit("x"), F.lit("h")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    read, n = F.col("l_orderkey"), F.col("l_linenumber")
+    low = 2 + read % 97
+    rows = D.table(spark, d, "lineitem").select(
+        read.alias("read"), n.alias("ord"), (read % 40).cast("string").alias("chr"), (low + (F.col("l_partkey") * 7 + n) % 60).alias("pos"), F.when(up != (F.col("l_quantity") == 7), "+").otherwise("-").alias("meth"),
+        F.when(up, F.upper(letter)).otherwise(letter).alias("call"), F.when(read % 3 == 0, low + 59).otherwise(low).alias("start"), F.when(read % 3 == 0, low).otherwise(low + 59).alias("end"),
+    )
+    return C.nome_per_read(D.genome(spark, d), rows)
+
+
 @query(_BEST + " SELECT decision, count(*) AS n FROM d GROUP BY 1")
 def run_counters(spark, d):
     return A.run_counters(best_alignment_se(spark, d))
