@@ -88,6 +88,13 @@ def _tag(name: str, kind: str = "Z"):
     return (v.try_cast("int") if kind == "i" else v).alias(name.lower())
 
 
+def whole_alignments(out: DataFrame) -> DataFrame:
+    """The mapped records of out; a missing XM, XR or XG, or an XM not as long as SEQ, raises."""
+    out = out.where(F.col("flag").bitwiseAND(4) == 0)
+    whole = F.coalesce((F.length("xm") == F.length("seq")) & F.col("xr").isNotNull() & F.col("xg").isNotNull(), F.lit(False))
+    return out.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("XM, XR or XG missing or of the wrong length: "), F.col("qname"))).cast("boolean")))
+
+
 def sam(spark: SparkSession, path: str | list[str], mapped_only: bool = True) -> DataFrame:
     """Alignments of SAM text: file, ord, the eleven columns and the tags nm, md, xm, xr, xg, rx, cb, ur.
 
@@ -97,11 +104,7 @@ def sam(spark: SparkSession, path: str | list[str], mapped_only: bool = True) ->
     f = numbered(spark, path).where(~F.col("value").startswith("@") & (F.col("value") != "")).withColumn("f", F.split("value", "\t"))
     kinds = [("qname", "string"), ("flag", "int"), ("chr", "string"), ("pos", "long"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "long"), ("tlen", "int"), ("seq", "string"), ("qual", "string")]
     out = f.select("file", "ord", *(F.col("f")[i].cast(k).alias(n) for i, (n, k) in enumerate(kinds)), _tag("NM", "i"), *(_tag(t) for t in ("MD", "XM", "XR", "XG", "RX", "CB", "UR")))
-    if not mapped_only:
-        return out
-    out = out.where(F.col("flag").bitwiseAND(4) == 0)
-    whole = F.coalesce((F.length("xm") == F.length("seq")) & F.col("xr").isNotNull() & F.col("xg").isNotNull(), F.lit(False))
-    return out.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("XM, XR or XG missing or of the wrong length: "), F.col("qname"))).cast("boolean")))
+    return whole_alignments(out) if mapped_only else out
 
 
 def paired_end(spark: SparkSession, path: str, program: str) -> bool | None:
