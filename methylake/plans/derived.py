@@ -48,7 +48,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     pick = lambda n, *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (n + 1).cast("int"))
     umi = pick(e % 4, "ACGT", "TTGA", "ACG+TTA", "TTA+ACG")
-    score = ((e * 7919) % 4 * -6).cast("int")
+    score = (F.floor(e * 2654435761 / 65536) % 4 * -6).cast("int")
     xs = F.when(e % 5 == 0, score).when(e % 5 == 1, score - 6)
     return table(spark, sf_dir, "events").select(
         F.lit(0).alias("file_ord"), e.alias("ord"), e.alias("id"), F.concat(F.lit("r "), e.cast("string"), F.lit(":"), umi).alias("qname"), (e % 3).cast("string").alias("chr"), (F.col("user_id") % 500 + 1).alias("start"),
@@ -64,7 +64,7 @@ SQL = {
     "aln": f"""aln0 AS (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{_ABC}', '{_CALLS}') AS xm FROM documents),
       aln AS (SELECT doc_id AS id, CAST(doc_id % 7 AS VARCHAR) AS chr, doc_id * 10 + 1 AS start, xm, length(xm) AS n, CASE WHEN doc_id % 4 < 2 THEN 'CT' ELSE 'GA' END AS xr, CASE WHEN doc_id % 2 = 0 THEN 'CT' ELSE 'GA' END AS xg,
       CASE WHEN length(xm) < 40 THEN 0 ELSE doc_id % 3 END AS shape, CASE doc_id % 4 WHEN 0 THEN 'OT' WHEN 1 THEN 'OB' WHEN 2 THEN 'CTOT' ELSE 'CTOB' END AS strand FROM aln0 WHERE length(xm) > 0)""",
-    "reads": """reads0 AS (SELECT *, list_extract(['ACGT', 'TTGA', 'ACG+TTA', 'TTA+ACG'], CAST(event_id % 4 + 1 AS INT)) AS umi, CAST((event_id * 7919) % 4 * -6 AS INT) AS as_i FROM events),
+    "reads": """reads0 AS (SELECT *, list_extract(['ACGT', 'TTGA', 'ACG+TTA', 'TTA+ACG'], CAST(event_id % 4 + 1 AS INT)) AS umi, CAST((event_id * 2654435761 // 65536) % 4 * -6 AS INT) AS as_i FROM events),
       reads AS (SELECT event_id AS ord, event_id AS id, 'r ' || event_id || ':' || umi AS qname, CAST(event_id % 3 AS VARCHAR) AS chr, user_id % 500 + 1 AS start, umi,
       list_extract([50, 52, 45], CAST(event_id % 3 + 1 AS INT)) AS span, CASE WHEN (event_id // 4) % 4 < 2 THEN 'CT' ELSE 'GA' END AS xr, CASE WHEN (event_id // 4) % 2 = 0 THEN 'CT' ELSE 'GA' END AS xg,
       CASE (event_id // 4) % 4 WHEN 0 THEN 'OT' WHEN 1 THEN 'OB' WHEN 2 THEN 'CTOT' ELSE 'CTOB' END AS strand, list_extract([0, 16, 4, 256, 2048], CAST(event_id % 5 + 1 AS INT)) AS flag,
