@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from methylake.functions.expr import revcomp_iupac
 from methylake.sources.text import whole_alignments
 
 #: Bytes of a split, and compressed bytes that are looked at to find its first record.
@@ -258,6 +259,29 @@ def bam(spark: SparkSession, path: str | list[str], mapped_only: bool = True, sp
     return whole_alignments(out) if mapped_only else out
 
 
+def bam_reads(records: DataFrame) -> DataFrame:
+    """(file, ord, id, mate, seq, qual) of the reads in bam(mapped_only=False), as of a FASTQ file.
+
+    Secondary and supplementary records go; reverse records are turned back; a missing quality is B for each base.
+    mate is 1 or 2 for a paired read that says so, else null.
+    """
+    flag = F.col("flag")
+    reverse = flag.bitwiseAND(16) > 0
+    seq = F.when(F.col("seq") == "*", "").otherwise(F.col("seq"))
+    # a quality of one base may be a star itself: Q9
+    missing = (F.col("qual") == "*") & (F.length(seq) != 1)
+    qual = F.when(missing, F.repeat(F.lit("B"), F.length(seq))).otherwise(F.when(reverse, F.reverse("qual")).otherwise(F.col("qual")))
+    mate = F.when(flag.bitwiseAND(1) > 0, F.when(flag.bitwiseAND(64) > 0, 1).when(flag.bitwiseAND(128) > 0, 2))
+    out = records.where(flag.bitwiseAND(2304) == 0)
+    return out.select("file", "ord", F.col("qname").alias("id"), mate.alias("mate"), F.when(reverse, revcomp_iupac(seq)).otherwise(seq).alias("seq"), qual.alias("qual"))
+
+
+def paired_reads(records: DataFrame) -> DataFrame:
+    """(file, paired): whether the first primary record of each file is of a pair."""
+    first = records.where(F.col("flag").bitwiseAND(2304) == 0).groupBy("file").agg(F.min_by("flag", "ord").alias("f"))
+    return first.select("file", (F.col("f").bitwiseAND(1) > 0).alias("paired"))
+
+
 # -- writing --------------------------------------------------------------------------------------------------
 
 

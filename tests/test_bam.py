@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from methylake.sources.bam import bam, write_bam
+from methylake.sources.bam import bam, bam_reads, paired_reads, write_bam
 
 CHROMOSOMES = [("chr1", 1_000_000), ("chr2", 500_000)]
 
@@ -55,3 +55,14 @@ def test_missing_call_string_raises(spark, tmp_path):
     assert bam(spark, str(tmp_path / "x"), mapped_only=False).count() == 1
     with pytest.raises(Exception, match="XM, XR or XG missing"):
         bam(spark, str(tmp_path / "x")).collect()
+
+
+def test_reads(spark, tmp_path):
+    rest = ("*", 0, 0, "*", "*", 0, 0)
+    tags = (None,) * 8
+    data = [("a", 77, *rest, "ACGR", "IIH!", *tags), ("a", 141 | 16, *rest, "ACGR", "IIH!", *tags), ("b", 4, *rest, "ACG", "*", *tags), ("c", 256, *rest, "ACG", "III", *tags), ("d", 2048, *rest, "ACG", "III", *tags), ("e", 4, *rest, "*", "*", *tags)]
+    write_bam(spark.createDataFrame(data, TYPES).coalesce(1), str(tmp_path / "x"), CHROMOSOMES).collect()
+    records = bam(spark, str(tmp_path / "x"), mapped_only=False)
+    got = [tuple(r) for r in bam_reads(records).orderBy("ord").select("id", "mate", "seq", "qual").collect()]
+    assert got == [("a", 1, "ACGR", "IIH!"), ("a", 2, "YCGT", "!HII"), ("b", None, "ACG", "BBB"), ("e", None, "", "")]
+    assert [r.paired for r in paired_reads(records).collect()] == [True]
