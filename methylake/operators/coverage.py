@@ -152,7 +152,7 @@ def nome_per_read(genome: DataFrame, calls: DataFrame) -> DataFrame:
     """(read, chr, start, end, meth_cg, unmeth_cg, meth_gpc, unmeth_gpc) of reads' calls (read, ord, chr, pos, meth, call, start, end).
 
     chr, start and end are those of a read's first call; start lies after end on a reverse read. A read counts only
-    where start > 3 and its length and 2 more bases fit from start on. The last call at a position wins. CpG calls
+    where start > 3 and its length and 2 more bases fit from start on. The last call at a position wins; ord is unique in a read. CpG calls
     count where the 3-mer one base before is ACG or TCG, others where it starts with GC; their letter must fit the
     genome's context. A read without such calls has zeros, as one whose end is 2 or less.
     """

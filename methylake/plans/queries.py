@@ -469,7 +469,7 @@ def combined_index_choice(spark, d):
     f"""WITH {_SITES}, {SQL['calls'].replace('l_linestatus AS status', 'l_linestatus AS status, l_linenumber AS ord, l_partkey AS part')},
     c AS (SELECT read_id, ord, CAST(read_id % 40 AS VARCHAR) AS chr, 2 + read_id % 97 + (part * 7 + ord) % 60 AS pos, meth, call, 2 + read_id % 97 AS lo, 61 + read_id % 97 AS hi, read_id % 3 = 0 AS rev FROM calls),
     g AS (SELECT chr, length(seq) AS n FROM genome), rd AS (SELECT DISTINCT c.read_id, c.chr, lo, hi FROM c JOIN g USING (chr) WHERE CASE WHEN rev THEN hi ELSE lo END > 3 AND n >= CASE WHEN rev THEN hi ELSE lo END + 62),
-    last AS (SELECT *, row_number() OVER (PARTITION BY read_id, pos ORDER BY ord DESC) AS k FROM c),
+    last AS (SELECT *, row_number() OVER (PARTITION BY read_id, pos ORDER BY ord DESC, meth DESC, call DESC) AS k FROM c),
     h AS (SELECT l.read_id, l.meth, s.context FROM last l JOIN rd USING (read_id) JOIN sites s ON s.chr = l.chr AND s.pos = l.pos WHERE k = 1 AND l.lo > 2 AND
       ((context = 'CG' AND upstream IN ('ACG', 'TCG') AND lower(call) = 'z') OR (upstream LIKE 'GC%' AND ((context = 'CHG' AND lower(call) = 'x') OR (context = 'CHH' AND lower(call) = 'h'))))),
     t AS (SELECT read_id, count(*) FILTER (meth = '+' AND context = 'CG') AS a, count(*) FILTER (meth = '-' AND context = 'CG') AS b, count(*) FILTER (meth = '+' AND context <> 'CG') AS c, count(*) FILTER (meth = '-' AND context <> 'CG') AS d FROM h GROUP BY 1)
@@ -484,7 +484,8 @@ def nome_per_read(spark, d):
         read.alias("read"), n.alias("ord"), (read % 40).cast("string").alias("chr"), (low + (F.col("l_partkey") * 7 + n) % 60).alias("pos"), F.when(up != (F.col("l_quantity") == 7), "+").otherwise("-").alias("meth"),
         F.when(up, F.upper(letter)).otherwise(letter).alias("call"), F.when(read % 3 == 0, low + 59).otherwise(low).alias("start"), F.when(read % 3 == 0, low).otherwise(low + 59).alias("end"),
     )
-    return C.nome_per_read(D.genome(spark, d), rows)
+    # line numbers repeat within an order: the call decides among equal ones
+    return C.nome_per_read(D.genome(spark, d), rows.withColumn("ord", F.struct("ord", "meth", "call")))
 
 
 @query(_BEST + " SELECT decision, count(*) AS n FROM d GROUP BY 1")
