@@ -43,6 +43,8 @@ BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[{O}]+|[{S
 WORD_END = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[{O}]+")
 
 _OUTSIDE = re.compile(f"[^\\u0000-\\u{_LAST:04x}]")
+#: As _OUTSIDE, and characters with a lower case of several characters or beyond _LAST, for which the classes have no place.
+_LOWER_OUTSIDE = re.compile(f"[^{_cls(lambda c: len(c.lower()) == 1 and ord(c.lower()) <= _LAST)}]")
 
 
 def plain(text: str, specials: tuple[str, ...]) -> bool:
@@ -51,8 +53,8 @@ def plain(text: str, specials: tuple[str, ...]) -> bool:
 
 
 def lower_plain(text: str, specials: tuple[str, ...]) -> bool:
-    """As plain(), and NFC leaves it alone and its lower case is the same character by character."""
-    return text.isascii() and not any(s in text for s in specials) or plain(text, specials) and "İ" not in text and unicodedata.is_normalized("NFC", text)
+    """As plain(), for the lower case too, which is the same character by character, and NFC leaves it alone."""
+    return (text.isascii() or not _LOWER_OUTSIDE.search(text) and unicodedata.is_normalized("NFC", text)) and not any(s in text for s in specials)
 
 
 class PieceCache(dict):

@@ -234,6 +234,21 @@ def test_token_files(hard, empty, file_ids, monkeypatch):
     assert token_files.token_file_round_trip(empty, path).count() == 0
 
 
+def test_patterns_match_the_library():
+    from tokenizers import Tokenizer
+
+    around = ("{0}", "{0}hmad", "a{0}b", "1{0}2", " {0} ", ".{0}!", "it'{0}", "{0}'s", "{0}'S", "{0}{0}", "\n{0}")
+    rows = [x.format(chr(c)) for c in range(0x250) for x in around]
+    path = queries.tokenizer("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in rows]
+    assert [x for x, a, b in zip(rows, token_files.encode_texts(rows, path), want, strict=True) if a != b] == []
+    path = queries.tokenizer("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    want = [len(t.encode(x, add_special_tokens=False).ids) for x in rows]
+    assert [x for x, a, b in zip(rows, token_counts.count_texts(rows, path), want, strict=True) if a != b] == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 65, 70_000, 140_000])
 def test_rans(n):
     ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 49_000).astype(np.uint32)
