@@ -2,10 +2,11 @@
 
 Words are runs of ASCII letters, digits and bytes beyond ASCII, A-Z lower-cased. A shingle of k words weighs as
 many bytes as its words have; windows and items are weighted multisets of shingles, and their similarity is the
-sum of the smaller weights over the sum of the larger ones. A window without any shingle of an item has similarity
-0, so only windows that share one are fingerprinted; that loses nothing. A fingerprint within RADIUS bits of an
-item's is equal to it but for RADIUS // BLOCKS bits in one of BLOCKS blocks at least, so tables of block values give
-all fingerprints within the radius; the exact similarity then decides.
+sum of the smaller weights over the sum of the larger ones. A text shorter than an item is one window as a
+whole. A window without any shingle of an item has similarity 0, so only windows that share one are
+fingerprinted; that loses nothing. A fingerprint within RADIUS bits of an item's is equal to it but for RADIUS
+// BLOCKS bits in one of BLOCKS blocks at least, so tables of block values give all fingerprints within the
+radius; the exact similarity then decides.
 """
 
 from __future__ import annotations
@@ -145,10 +146,9 @@ class Benchmark:
                 sizes.setdefault(n, []).append(p)
         best: dict[int, tuple[float, int, int]] = {}
         for n, places in sizes.items():
-            span = n - width + 1
+            # a text of fewer words is one window
+            span = min(n - width + 1, len(shingles))
             last = len(shingles) - span
-            if last < 0:
-                continue
             p = np.array(places)
             starts = np.unique((p[:, None] - np.arange(span)).ravel())
             starts = starts[(starts >= 0) & (starts <= last)]
@@ -168,7 +168,7 @@ class Benchmark:
                     weight = dict(zip(item.shingles.tolist(), item.weights.tolist(), strict=True)) | dict(zip(window.tolist(), weights[w : w + span].tolist(), strict=True))
                     s = similarity(window, item.shingles, weight)
                     if s >= least and (item.item_id not in best or s > best[item.item_id][0]):
-                        best[item.item_id] = (s, w, n)
+                        best[item.item_id] = (s, w, span + width - 1)
         return [(i, *v) for i, v in sorted(best.items())]
 
 
@@ -205,6 +205,7 @@ def _parts(benchmark: DataFrame, k: int, item_col: str, item_text: str):
 def contaminated(df: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id_col, item_id, similarity, first_word, n_words): a row for each document and item with a window of the
     item's number of words whose weighted shingle similarity is least or more; the best window, the first of equal ones.
+    A document of fewer words than the item is one window as a whole, and n_words is its own number of words.
 
     Items of fewer than k words are one shingle of all their words. A null or empty text or item, or one without
     words, matches nothing. Repeated rows of df give repeated results; a null id stays null. Repeated items with the

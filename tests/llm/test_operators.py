@@ -175,6 +175,38 @@ def test_decontamination(spark, hard, empty):
     assert decontaminate.contaminated(hard, bench.limit(0)).count() == 0
 
 
+def brute_contaminated(docs, items, k=5, least=0.8):
+    """(doc_id, item_id, similarity, first_word, n_words), by comparing every window with every item."""
+    split = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode().lower())
+    out = []
+    for i, text in docs:
+        doc = split(text)
+        for j, passage in items:
+            item = split(passage)
+            n, width = min(len(item), len(doc)), min(k, len(item))
+            bags = lambda ws: collections.Counter(tuple(ws[a : a + width]) for a in range(len(ws) - width + 1))  # noqa: B023, E731
+            size = lambda bag: sum(c * sum(map(len, s)) for s, c in bag.items())
+            want = bags(item)
+            found = [(size(bag & want) / size(bag | want), -a) for a in range(len(doc) - n + 1) if n and (bag := bags(doc[a : a + n]))]
+            if found and max(found)[0] >= least:
+                out.append((i, j, max(found)[0], -max(found)[1], n))
+    return out
+
+
+def test_decontamination_of_short_documents(spark):
+    item, other = words(59, 30).split(), words(59, 31).split()
+    bench = [(1, " ".join(item)), (2, "four words and no more"), (3, "just three words"), (4, words(20, 32))]
+    docs = [(n, " ".join(item[:n])) for n in range(1, 60)] + [(100 + n, " ".join(item[n:])) for n in range(1, 59)]
+    docs += [(200 + n, " ".join(item[:n] + other[n : n + 1] + item[n + 1 : 58])) for n in range(58)]
+    docs += [(300, " ".join(other[:58])), (301, "just three"), (302, "four words and no"), (303, "words"), (304, ""), (305, words(19, 32)), (306, words(12, 32))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    want = brute_contaminated(docs, bench)
+    assert (58, 1) in {w[:2] for w in want} and (30, 1) not in {w[:2] for w in want} and (305, 4) in {w[:2] for w in want}
+    same(decontaminate.contaminated(df, items).collect(), want)
+    same(decontaminate.decontaminate(df, items).select("doc_id").collect(), [(i,) for i, _ in docs if i not in {w[0] for w in want}])
+
+
 def test_hamming_index_is_complete():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 256, (40, 8), dtype=np.uint8)
