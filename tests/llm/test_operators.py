@@ -187,6 +187,8 @@ def brute_contaminated(docs, items, k=5, least=0.8):
             bags = lambda ws: collections.Counter(tuple(ws[a : a + width]) for a in range(len(ws) - width + 1))  # noqa: B023, E731
             size = lambda bag: sum(c * sum(map(len, s)) for s, c in bag.items())
             want = bags(item)
+            if not bags(doc) & want:
+                continue  # similarity 0 everywhere
             found = [(size(bag & want) / size(bag | want), -a) for a in range(len(doc) - n + 1) if n and (bag := bags(doc[a : a + n]))]
             if found and max(found)[0] >= least:
                 out.append((i, j, max(found)[0], -max(found)[1], n))
@@ -207,6 +209,29 @@ def test_decontamination_of_short_documents(spark):
     same(decontaminate.decontaminate(df, items).select("doc_id").collect(), [(i,) for i, _ in docs if i not in {w[0] for w in want}])
 
 
+def altered(passage, changes, seed):
+    """passage with so many of its words replaced, dropped or doubled."""
+    r, out = random.Random(seed), passage.split()
+    for _ in range(changes):
+        at, kind = r.randrange(len(out)), r.randrange(3)
+        out[at : at + 1] = [["changed"], [], [out[at]] * 2][kind]
+    return " ".join(out)
+
+
+def test_decontamination_of_altered_passages(spark):
+    bench = [(n, words(n, 40 + n, 4000)) for n in (6, 9, 14, 25, 40, 59, 80, 120, 200)]
+    docs = [(i, words(i % 40, 500 + i, 4000) + " " + altered(bench[i % 9][1], i // 9 % 8, i) + " " + words(i % 31, 900 + i, 4000)) for i in range(720)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    want = brute_contaminated(docs, bench, least=0.7)
+    assert sum(0.7 <= w[2] < 0.8 for w in want) > 20 and sum(0.8 <= w[2] < 1 for w in want) > 100
+    got = decontaminate.contaminated(df, items, least=0.7).collect()
+    same(got, want)
+    least = [w for w in want if w[2] >= 0.8]
+    same(decontaminate.contaminated(df, items).collect(), least)
+    same(decontaminate.decontaminate(df, items).select("doc_id").collect(), [(i,) for i, _ in docs if i not in {w[0] for w in least}])
+
+
 def test_hamming_index_is_complete():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 256, (40, 8), dtype=np.uint8)
@@ -397,3 +422,41 @@ def test_pipeline(spark, tmp_path):
     assert not [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert not [i for i, r in rows.items() if any(x in r.text for x in items)]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import sentencepiece
+
+    sf = "/root/testdata/sf0.001"
+    tables = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels", "benchmark")}
+    source = sorted(tables["documents"].collect(), key=lambda r: r.doc_id)
+    items = [(r.item_id, r.text) for r in tables["benchmark"].collect()]
+    model = quality.train(tables["documents"], tables["labels"])
+    good = [r for r in source if model.score(pa.array([r.text]))[0] >= 0.5]
+    place = list(tables["documents"].columns).index("text")
+    made = [altered(r.text, n, n) for n, r in enumerate(good[:24])]
+    made += [altered(x, n % 6, n) for n, (_, x) in enumerate(items[:12])] + [x.rsplit(" ", 1)[0] for _, x in items[:12]]
+    made += [good[n].text + " " + altered(x, n % 6, n) for n, (_, x) in enumerate(items[:12])]
+    first = max(r.doc_id for r in source) + 1
+    rows = [tuple(r) for r in source] + [(first + n, *tuple(source[0])[1:place], t, *tuple(source[0])[place + 1 :]) for n, t in enumerate(made)]
+    tables["documents"] = spark.createDataFrame(rows, tables["documents"].schema)
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    model = quality.train(tables["documents"], tables["labels"])
+    kept = [r for r in rows if model.score(pa.array([r[place]]))[0] >= 0.5]
+    sets = {r[0]: shingle_set(r[place], 5) for r in kept}
+    root = {i: i for i in sets}
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if x == high else x for i, x in root.items()}
+    distinct = [r for r in kept if root[r[0]] == r[0]]
+    dirty = {w[0] for w in brute_contaminated([(r[0], r[place]) for r in distinct], items)}
+    assert len(kept) < len(rows) and len(distinct) < len(kept) and dirty
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
+    want = [(*r[:place], sp.decode(sp.encode(r[place])), *r[place + 1 :], sp.encode(r[place])) for r in distinct if r[0] not in dirty]
+    same(corpus_pipeline.run(spark, str(tmp_path)).collect(), want)
