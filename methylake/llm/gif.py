@@ -26,6 +26,8 @@ DELAY = 10
 #: Bins of a channel in a colour histogram.
 BINS = 8
 _GREY = bytes(x for v in range(256) for x in (v, v, v))
+#: The grey bin, of BINS, of each bin of a colour histogram: that of its brightness.
+_GREY_BIN = np.tensordot([299, 587, 114], np.indices((BINS,) * 3), 1).ravel() // 1000
 
 
 # -- LZW ------------------------------------------------------------------------------------------------------
@@ -286,19 +288,20 @@ def media_frames(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", size_col: str = "n_bytes") -> DataFrame:
     """Reads every stored GIF back: (id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature). feature: frames, total hundredths of a second and the frames' summed grey histogram.
-    On the grey palette a frame covers its screen's rows, so its samples give the histogram of what it draws."""
+    media_sha256, feature). feature: frames, total hundredths of a second and the summed grey histogram of the frames'
+    own areas as the rendered screens show them, by the brightness of the colour histogram's bins."""
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for media in batch.column(2).to_pylist():
-            count, time, parts = 0, 0, []
-            for f in read_frames(media, screens=False):
+            count, time, parts, colours = 0, 0, [], np.zeros(BINS**3, np.int64)
+            for f in read_frames(media):
                 count += 1
                 time += f.delay
                 parts.append(f.samples.tobytes())
+                colours += histogram(f.screen[f.top : f.top + f.height, f.left : f.left + f.width])
             payload = b"".join(parts)
-            bins = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=BINS)
+            bins = np.bincount(_GREY_BIN, weights=colours, minlength=BINS).astype(np.int64)
             feature = f"frames={count};cs={time};grey={','.join(map(str, bins.tolist()))}"
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

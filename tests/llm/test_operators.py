@@ -380,6 +380,22 @@ def test_gif_rules():
     assert next(gif.read_frames(tall)).samples.ravel().tolist() == [0, 2, 1, 2, 1, 2, 2, 3, 0]
 
 
+def test_gif_feature_is_of_the_rendered_frames(spark, hard):
+    for r in gif.media_digest(gif.to_media(hard)).collect():
+        raw = (dict(texts())[r.doc_id]).encode()
+        grey = np.bincount(np.frombuffer(raw + b"\xff" * (r.payload_bytes - len(raw)), np.uint8) >> 5, minlength=8)
+        frames = -(-r.payload_bytes // (576 * 64))
+        assert r.feature == f"frames={frames};cs={10 * frames};grey={','.join(map(str, grey))}"
+    media = gif.store(b"\x00" * 500 + b"\x41" * 76)
+    other = [bytes(x for v in range(256) for x in c(v)) for c in (lambda v: (255 - v,) * 3, lambda v: (255, 255, 255), lambda v: (v, 0, 0))]
+    at = media.index(b"\x21\xf9") + 3
+    clear = media[:at] + bytes([media[at] | 1]) + media[at + 1 : at + 3] + b"\x41" + media[at + 4 :]
+    rows = [(0, media), *((n + 1, media[:13] + p + media[13 + 768 :]) for n, p in enumerate(other)), (4, clear)]
+    got = gif.media_digest(spark.createDataFrame([(i, 576, m) for i, m in rows], "doc_id long, n_bytes long, media binary")).collect()
+    want = {0: {0: 500, 2: 76}, 1: {7: 500, 5: 76}, 2: {7: 576}, 3: {0: 576}, 4: {0: 500}}
+    same([(r.doc_id, r.feature.split("grey=")[1]) for r in got], [(i, ",".join(str(w.get(b, 0)) for b in range(8))) for i, w in want.items()])
+
+
 def test_quality(spark, hard, empty):
     r = random.Random(1)
     good = [(i, words(60 + i % 50, i)) for i in range(2000, 2400)]
