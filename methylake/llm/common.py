@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: whole texts are some kB each, so this bounds a Python worker's memory.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch, whichever comes first: they bound a Python worker's memory but for a text that is
+#: longer on its own.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 _LOCAL_ROOT: dict[str, str] = {}
 
@@ -72,23 +73,32 @@ def attempt_name() -> str:
     return f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch for this session's Python stages."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bounds the Arrow batches of the session's Python stages. Spark has no such setting for one plan alone, so smaller
+    values of the session stand and larger ones are lowered for good."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of bounded rows and bytes."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """map_arrow with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := function(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only (id long, text string): other columns, whatever their names, never reach an operator."""
+    """Only (id long, text string): other columns, whatever their names, never reach an operator. Ids are whole
+    numbers; a text that is none is an error under ANSI casts, and null without them."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

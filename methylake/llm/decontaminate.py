@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import id_text, map_batches
+from methylake.llm.common import id_text, map_arrow, map_batches
 from methylake.llm.wordhash import PUNCTUATED, constants, hash_runs, lowered, mix, pieces, text_buffer, word_bounds
 
 #: Bits that a fingerprint may differ in, and the blocks of 8 bits of the index. Similarity 0.8 means about 10 bits.
@@ -241,5 +241,5 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, k: int = 5, least: float
                 clean[[row for row, _ in _scan(shared.value, batch.column(at).cast(pa.string()), least)]] = False
                 yield batch.filter(pa.array(clean))
 
-        df = df.mapInArrow(run, df.schema)
+        df = map_arrow(df, run, df.schema)
     return df

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from methylake.llm.common import id_text, map_batches
+from methylake.llm.common import id_text, map_arrow, map_batches
 
 #: Samples in a row of a stored payload, and rows of a frame at most.
 WIDTH, ROWS = 576, 64
@@ -283,7 +283,7 @@ def media_frames(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "frame", "start_cs", "delay_cs", "left", "top", "width", "height", "disposal", "samples", "histogram"])
 
     rows = df.select(df[id_col].cast("long").alias("id"), media_col)
-    return rows.mapInArrow(read, "id long, frame int, start_cs int, delay_cs int, left int, top int, width int, height int, disposal int, samples binary, histogram array<long>").withColumnRenamed("id", id_col)
+    return map_arrow(rows, read, "id long, frame int, start_cs int, delay_cs int, left int, top int, width int, height int, disposal int, samples binary, histogram array<long>").withColumnRenamed("id", id_col)
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", size_col: str = "n_bytes") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from methylake.llm.common import id_text, map_batches, written
+from methylake.llm.common import id_text, map_arrow, map_batches, written
 from methylake.llm.graph import connected_components
 from methylake.llm.wordhash import constants, mix, shingle_sets
 
@@ -199,7 +199,7 @@ def _confirm(members: DataFrame, percent: int) -> DataFrame:
     def _links(found):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return map_arrow(pairs, run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from methylake.llm.common import id_text, map_batches
+from methylake.llm.common import id_text, map_arrow, map_batches
 from methylake.llm.pretoken import PieceCache
 
 SPACE = "▁"
@@ -254,7 +254,7 @@ def with_pieces(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
             columns[at] = pa.array(decoded, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, ids_col])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
+    return map_arrow(df, run, StructType([*df.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def piece_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

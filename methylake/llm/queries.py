@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methylake.llm import decontaminate, gif, minhash, pieces_fst, quality, sharding, token_counts, token_files, url_filters, warc
-from methylake.llm.common import small_batches
 
 #: (host, path, verdict) of the URL filter's query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -20,7 +19,6 @@ def tokenizer(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

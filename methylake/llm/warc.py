@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import attempt_name, filesystem, fresh_dir, write_file, written
+from methylake.llm.common import attempt_name, filesystem, fresh_dir, map_arrow, write_file, written
 
 #: Compressed bytes after which an archive is closed; a task holds one at a time.
 ARCHIVE_BYTES = 8 << 20
@@ -221,7 +221,7 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             close()
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "records"])
 
-    return written(decided.mapInArrow(write, "path string, records long"), "warc-archives")
+    return written(map_arrow(decided, write, "path string, records long"), "warc-archives")
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
@@ -252,7 +252,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
             columns["payload"] = pa.array([r.payload if r.record_type == "response" else None for r in rs], pa.binary())
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return paths.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
+    return map_arrow(paths, read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
 def warc_round_trip(df: DataFrame, **options) -> DataFrame:
