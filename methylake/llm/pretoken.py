@@ -1,8 +1,9 @@
-"""Pre-tokens of the public tokenizers' own patterns, by the re module, for texts whose characters allow it.
+"""Pre-tokens of the public tokenizers' own patterns.
 
 Over U+0000 to U+024F the general categories are the same in every Unicode version in use, so a pattern with
-explicit classes matches what the tokenizers library matches. Any other text, and any text that may hold a
-special token or changes under NFC, is given whole to the library.
+explicit classes, in the re module, matches what the tokenizers library matches. Any other text, and any text that may
+hold a special token or changes under NFC, is cut by the library's own normaliser and pre-tokenizer, special tokens
+being taken out first as the library does. Both ways give the same pre-tokens, so both meet in the same dictionaries.
 """
 
 from __future__ import annotations
@@ -58,16 +59,19 @@ def lower_plain(text: str, specials: tuple[str, ...]) -> bool:
 
 
 class PieceCache(dict):
-    """cache[piece] is make(piece), worked out once while the piece is held; at most `most` pieces are held."""
+    """cache[piece] is make(piece), worked out once while the piece is held. At most `most` pieces are held, none of
+    more than `longest` characters, so its bytes are bounded too; longer ones are worked out each time."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 300_000, longest: int = 64):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, piece):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[piece] = self.make(piece)
+        value = self.make(piece)
+        if len(piece) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = value
         return value
 
 
@@ -94,3 +98,27 @@ _LETTERS = _byte_letters()
 def byte_level(piece: str) -> str:
     """A pre-token as the library's model takes it."""
     return piece.encode().decode("latin-1").translate(_LETTERS)
+
+
+_BYTES = {ord(letter): b for b, letter in _LETTERS.items()}
+
+
+def from_byte_level(piece: str) -> str:
+    """The inverse of byte_level."""
+    return piece.translate(_BYTES).encode("latin-1").decode()
+
+
+def special_cutter(specials: tuple[str, ...]) -> re.Pattern | None:
+    """Cuts a text at special tokens, which stand at odd places of its split()."""
+    return re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
+
+
+def library_pieces(tokenizer, cutter: re.Pattern | None, text: str) -> list[str]:
+    """Byte-level pre-tokens and, as they are, special tokens of a text, by the library."""
+    normalizer, cut, out = tokenizer.normalizer, tokenizer.pre_tokenizer.pre_tokenize_str, []
+    for i, part in enumerate(cutter.split(text) if cutter else [text]):
+        if i % 2:
+            out.append(part)
+        elif part:
+            out += [piece for piece, _ in cut(normalizer.normalize_str(part) if normalizer else part)]
+    return out

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from methylake.llm.common import attempt_name, filesystem, fresh_dir, id_text, write_file, written
-from methylake.llm.pretoken import WORD_END, PieceCache, byte_level, load, lower_plain, specials_of
+from methylake.llm.common import attempt_name, filesystem, fresh_dir, id_text, map_arrow, write_file, written
+from methylake.llm.pretoken import WORD_END, PieceCache, byte_level, library_pieces, load, lower_plain, special_cutter, specials_of
 from methylake.llm.rans import decode_file, encode_file
 
 #: Ids after which a file is closed.
@@ -29,19 +29,19 @@ _STATE: dict[str, tuple] = {}
 def _state(path: str):
     if path not in _STATE:
         t = load(path)
-        tokenize = t.model.tokenize
-        _STATE[path] = (t, specials_of(t), PieceCache(lambda word: b"".join([x.id.to_bytes(4, "little") for x in tokenize(byte_level(word))])))
+        specials, tokenize = specials_of(t), t.model.tokenize
+        own = {x: t.token_to_id(x).to_bytes(4, "little") for x in specials}
+        join = lambda piece: b"".join([x.id.to_bytes(4, "little") for x in tokenize(piece)])
+        # dictionaries of plain words and of byte-level words; no word is like a special token
+        _STATE[path] = (t, specials, special_cutter(specials), PieceCache(lambda word: join(byte_level(word))), PieceCache(lambda word: own.get(word) or join(word)))
     return _STATE[path]
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian uint32 bytes, as the library gives them without added special tokens."""
-    tokenizer, specials, cache = _state(path)
-    get, join, words = cache.__getitem__, b"".join, WORD_END.findall
-    return [
-        join(map(get, words(t.lower()))) if lower_plain(t, specials) else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        for t in texts
-    ]
+    tokenizer, specials, cutter, plain_words, library_words = _state(path)
+    get, other, join, words = plain_words.__getitem__, library_words.__getitem__, b"".join, WORD_END.findall
+    return [join(map(get, words(t.lower()))) if lower_plain(t, specials) else join(map(other, library_pieces(tokenizer, cutter, t))) for t in texts]
 
 
 def write_token_files(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,7 +79,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int, id_col: str = "doc_
             ["part", "seq", "path", "docs", "ids"],
         )
 
-    return written(docs.mapInArrow(write, "part int, seq int, path string, docs long, ids long"), "token-files")
+    return written(map_arrow(docs, write, "part int, seq int, path string, docs long, ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -108,7 +108,7 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return placed.mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return map_arrow(placed, read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_file_round_trip(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

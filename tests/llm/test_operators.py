@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from methylake.llm import decontaminate, gif, graph, minhash, pieces_fst, quality, queries, rans, sharding, token_counts, token_files, url_filters, warc
 
@@ -48,16 +49,42 @@ def same(got, want):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
 
 
-def test_token_counts(hard, empty):
+def any_script(n):
+    """Texts of many scripts, of characters that change in lower case or NFC, and of special tokens."""
+    r, out = random.Random(3), []
+    alphabets = ["ab c", "’“—…é ß", "привет мир Ёж", " 日本語テキスト。", "مرحبا بالعالم ", "🙂👍🏽👨\u200d👩\u200d👧 ", "e\u0301\u2009\u200b\u3000\n\t", "It's we'll ٣٤५ Ⅷ½", "İıſẞΣς ﬁ Ǆǅ K"]
+    for i in range(n):
+        letters = "".join(r.sample(alphabets, r.randrange(1, 4)))
+        x = "".join(r.choice(letters) for _ in range(r.randrange(30)))
+        if i % 3 == 0:
+            x += r.choice(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " <|endoftext|> it’s"]) + "".join(r.choice(letters) for _ in range(5))
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize(("head", "held"), [(1 << 17, 1 << 18), (40, 50), (0, 1)])
+def test_token_counts(spark, hard, empty, head, held, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_counts, "HEAD", head)
+    monkeypatch.setattr(token_counts, "HELD", held)
     path = queries.tokenizer("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    want = [(i, len(x.encode()), n := len(t.encode(x, add_special_tokens=False).ids), n > 1024) for i, x in texts()]
-    same(token_counts.token_counts(hard, path).collect(), want)
+    scripts = [(500 + i, x) for i, x in enumerate(any_script(300))]
+    want = [(i, len(x.encode()), n := len(t.encode(x, add_special_tokens=False).ids), n > 1024) for i, x in texts() + scripts]
+    df = hard.withColumn("n", F.lit(1)).withColumn("piece", F.lit("clash"))
+    more = spark.createDataFrame([(i, x, 7, "s", "z") for i, x in scripts], SCHEMA).withColumn("n", F.lit(1)).withColumn("piece", F.lit("clash"))
+    same(token_counts.token_counts(df.union(more), path).collect(), want)
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_pre_tokens_are_counted_once(spark, hard):
+    path = queries.tokenizer("byte_bpe_50k.json")
+    rows = token_counts.pre_token_table(hard.select(F.col("doc_id").alias("id"), "text"), path).collect()
+    want = sum((token_counts.frequencies(x, path) for _, x in texts()), collections.Counter())
+    assert {r.piece: r.freq for r in rows} == dict(want) and len(rows) == len(want)
+
+
 def test_url_filter(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("a.b", "/x", "allow"), ("b", "/x/y", "block"), ("b", "/xz", "block")]
     urls = [None, "", "nothing", "http://", "HTTP://WWW.Example.ORG/en/12?q#f", "http://example.org/es", "http://example.org/es/", "http://org", "http://org/", "http://xorg/", "http://a.b/x/y", "http://a.b/xz", "http://org?x/y", "http://u@b:80/x", "http://org/" + "p/" * 20000]
@@ -295,15 +322,15 @@ def test_patterns_match_the_library():
     from tokenizers import Tokenizer
 
     around = ("{0}", "{0}hmad", "a{0}b", "1{0}2", " {0} ", ".{0}!", "it'{0}", "{0}'s", "{0}'S", "{0}{0}", "\n{0}")
-    rows = [x.format(chr(c)) for c in range(0x250) for x in around]
+    rows = [x.format(chr(c)) for c in range(0x250) for x in around] + any_script(3000)
     path = queries.tokenizer("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in rows]
     assert [x for x, a, b in zip(rows, token_files.encode_texts(rows, path), want, strict=True) if a != b] == []
     path = queries.tokenizer("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    want = [len(t.encode(x, add_special_tokens=False).ids) for x in rows]
-    assert [x for x, a, b in zip(rows, token_counts.count_texts(rows, path), want, strict=True) if a != b] == []
+    count = lambda x: sum(n * token_counts.count_pieces(p, path) for p, n in token_counts.frequencies(x, path).items())
+    assert [x for x in rows if count(x) != len(t.encode(x, add_special_tokens=False).ids)] == []
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 65, 70_000, 140_000])
