@@ -23,7 +23,7 @@ from methylake.llm.common import id_text, map_arrow, map_batches, written
 from methylake.llm.pretoken import BYTE_LEVEL, byte_level, from_byte_level, library_pieces, load, plain, special_cutter, specials_of
 
 #: Pre-tokens, and bytes of them, that are broadcast at most.
-HEAD, HEAD_BYTES = 1 << 17, 16 << 20
+HEAD, HEAD_BYTES = 1 << 19, 16 << 20
 #: Pre-tokens, and characters of them, after which a task passes its sums on.
 HELD, HELD_CHARS = 1 << 18, 16 << 20
 
@@ -56,7 +56,8 @@ def count_pieces(pre_token: str, path: str) -> int:
 
 
 def pre_token_table(docs: DataFrame, path: str) -> DataFrame:
-    """(piece, freq, n) of every distinct pre-token of docs (id, text): its corpus frequency and its number of tokens."""
+    """(piece, freq, level, n) of every distinct pre-token of docs (id, text): its corpus frequency, 16 times the
+    frequency's binary logarithm, and its number of tokens."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, chars = Counter(), 0
@@ -76,23 +77,23 @@ def pre_token_table(docs: DataFrame, path: str) -> DataFrame:
         yield give()
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([count_pieces(p, path) for p in batch.column(0).to_pylist()], pa.int64())], ["piece", "freq", "n"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([count_pieces(p, path) for p in batch.column(0).to_pylist()], pa.int64())], ["piece", "freq", "level", "n"])
 
     distinct = map_arrow(docs, collect, "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
-    return map_batches(distinct, count, "piece string, freq long, n long")
+    return map_batches(distinct.withColumn("level", F.floor(16 * F.log2("freq")).cast("int")), count, "piece string, freq long, level int, n long")
 
 
 def _head(table: DataFrame) -> int:
-    """The least frequency, a power of two, from which on pre-tokens fit into HEAD entries and HEAD_BYTES bytes."""
-    sizes = table.groupBy(F.floor(F.log2("freq")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("piece")).alias("size")).collect()
+    """The least level from which on pre-tokens fit into HEAD entries and HEAD_BYTES bytes."""
+    sizes = table.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("piece")).alias("size")).collect()  # 1009 rows at most
     count = size = 0
-    least = 62
-    for row in sorted(sizes, key=lambda r: -r["level"]):  # a row for each power of two
+    least = 1 << 10
+    for row in sorted(sizes, key=lambda r: -r["level"]):
         count, size = count + row["n"], size + row["size"]
         if count > HEAD or size > HEAD_BYTES:
             break
         least = row["level"]
-    return 1 << least
+    return least
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
@@ -105,7 +106,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     docs = id_text(df, id_col, text_col)
     table = written(pre_token_table(docs, path), "pre-tokens")
     least = _head(table)
-    rows = table.where(F.col("freq") >= least).select("piece", "n").collect()  # HEAD of them at most
+    rows = table.where(F.col("level") >= least).select("piece", "n").collect()  # HEAD of them at most
     head = df.sparkSession.sparkContext.broadcast({r["piece"]: r["n"] for r in rows})
 
     def sum_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +131,9 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     # the key of a row is a task's random number and a place in it; writing the table fixes both
     counted = written(map_arrow(docs, sum_head, "task long, number long, id long, n_bytes long, head long, rest array<struct<piece:string,freq:long>>"), "token-counts")
-    whole = counted.where(F.size("rest") == 0).select("id", "n_bytes", F.col("head").alias("n_tokens"))
-    rest = counted.where(F.size("rest") > 0).select("task", "number", "id", "n_bytes", "head", F.inline("rest"))
-    rest = rest.join(table.where(F.col("freq") < least).select("piece", "n"), "piece")
-    rest = rest.groupBy("task", "number", "id", "n_bytes", "head").agg(F.sum(F.col("freq") * F.col("n")).alias("sum")).select("id", "n_bytes", (F.col("head") + F.col("sum")).alias("n_tokens"))
-    return whole.unionByName(rest).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rest = counted.where(F.size("rest") > 0).select("task", "number", F.inline("rest"))
+    rest = rest.join(table.where(F.col("level") < least).select("piece", "n"), "piece")
+    sums = rest.groupBy("task", "number").agg(F.sum(F.col("freq") * F.col("n")).alias("sum"))
+    out = counted.select("task", "number", "id", "n_bytes", "head").join(sums, ["task", "number"], "left")
+    total = F.col("head") + F.coalesce("sum", F.lit(0))
+    return out.select(F.col("id").alias(id_col), "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
