@@ -42,10 +42,49 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back: lineage is cut and the rows survive lost executors."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As written(), with the table's path."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of the shared folder that nothing will read again."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes everything that the operators have left in the shared folder. Results are read from there lazily, so
+    this is for the time after they have been written elsewhere, and no other session may use the folder."""
+    discard(spark, f"{shared_root(spark)}/methylake")
+
+
+#: Rows of a key that one task takes, and keys with more than that, which are broadcast; more rows make the first grow.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """big joined with small, which has one row for each key and in count the number of big's rows, total in all, with
+    it. Keys with many rows are dealt to several tasks: at most total / rows of a key, HOT_KEYS, are, so they are broadcast."""
+    rows = max(HOT_ROWS, -(-total // HOT_KEYS))
+    parts = F.ceil(F.col(count) / rows).cast("int")
+    hot = small.where(F.col(count) > rows).select(*keys, parts.alias("_parts"))
+    dealt = F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("_parts")).cast("int"), F.lit(0))
+    left = big.join(F.broadcast(hot), keys, "left").select(*big.columns, dealt.alias("_part"))
+    right = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right, [*keys, "_part"]).drop("_part")
+
+
+def counted_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """spread_join of any two tables, small having one row a key: big's rows of each key are counted first."""
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
+    return spread_join(big, small.join(counts, keys), keys, "_count", big.count()).drop("_count")
 
 
 def filesystem(uri: str):
