@@ -6,9 +6,11 @@
 2. Documents with equal sets are one class, so copies never meet in a bucket.
 3. In each bucket every class is tied to the smallest one (a star, never pairs); the components of these ties are
    candidate families: two classes that share a bucket are in one family.
-4. Each family's sets go to tasks in blocks of bounded size, every two blocks of a family meeting once; there all
-   members are compared on full sets by blocked matrix products, and a spanning forest of the confirmed links comes
-   out, so a family of n members gives O(n) rows and large families are spread over many tasks.
+4. Each family's sets go to tasks in blocks of bounded size and are compared on full sets by blocked matrix products,
+   of which a spanning forest of the confirmed links comes out, so a family of n members gives O(n) rows. In a family
+   of several blocks the first one, chosen by hashes, meets all others; what it links is contracted, and only members
+   outside the largest component that this gives meet all blocks in a second pass. Members within that component are
+   connected already, so no link between different components is lost.
 5. The components of the confirmed links, over all documents.
 """
 
@@ -20,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from methylake.llm.common import id_text, map_arrow, map_batches, written
+from methylake.llm.common import id_text, map_arrow, map_batches, spread_join, written
 from methylake.llm.graph import connected_components
 from methylake.llm.wordhash import constants, mix, shingle_sets
 
@@ -96,7 +97,7 @@ def _signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """(node, family, blocks, block, shingles) with shingles the set's hashes as bytes, where the set is the wanted one."""
+    """(node, family, active, blocks, block, shingles) with shingles the set's hashes as bytes, where the set is the wanted one."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keep, blobs = [], []
@@ -109,9 +110,9 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
         if not keep:
             return None
         rest = batch.take(pa.array(keep))
-        return pa.RecordBatch.from_arrays([rest.column(0), *(rest.column(j) for j in (4, 5, 6)), pa.array(blobs, pa.binary())], ["node", "family", "blocks", "block", "shingles"])
+        return pa.RecordBatch.from_arrays([rest.column(0), *(rest.column(j) for j in (4, 5, 6, 7)), pa.array(blobs, pa.binary())], ["node", "family", "active", "blocks", "block", "shingles"])
 
-    return map_batches(rows, make, "node long, family long, blocks int, block int, shingles binary")
+    return map_batches(rows, make, "node long, family long, active int, blocks int, block int, shingles binary")
 
 
 def linked(inter: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
@@ -168,8 +169,9 @@ def confirmed(nodes: list[int], sets: list[np.ndarray], percent: int, left: np.n
 
 
 def _confirm(members: DataFrame, percent: int) -> DataFrame:
-    """members (node, family, blocks, block, shingles) -> confirmed links (a, b)."""
-    mates = F.sequence(F.lit(0), F.col("blocks") - 1)
+    """members (node, family, active, blocks, block, shingles) -> confirmed links (a, b): blocks below active meet
+    themselves and all blocks of their family."""
+    mates = F.sequence(F.lit(0), F.when(F.col("block") < F.col("active"), F.col("blocks")).otherwise(F.col("active")) - 1)
     pairs = members.withColumn("mate", F.explode(mates)).select(
         "family", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"), "block", "node", "shingles"
     )
@@ -202,6 +204,45 @@ def _confirm(members: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs, run, "a long, b long")
 
 
+def _blocks(n="n"):
+    """Blocks that rows of a group need."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
+
+
+def _dealt(blocks):
+    return F.pmod(F.xxhash64("node", "k1"), blocks).cast("int")
+
+
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links of members (node, k1, k2, family, active, blocks, block), a finished table."""
+    members = members.select(F.col("node").alias("id"), "k1", "k2", "family", "active", "blocks", "block")
+    if members.count() <= BROADCAST_MEMBERS:  # else both sides are shuffled by id
+        members = F.broadcast(members)
+    texts = docs.where("id is not null").join(members, "id").select("id", "text", "k1", "k2", "family", "active", "blocks", "block")
+    return written(_confirm(_sets(texts, k), percent), "minhash-links")
+
+
+def _family_links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """A spanning forest of the links within the families of members (node, n, k1, k2, family)."""
+    sizes = members.groupBy("family").agg(_blocks().alias("blocks"))
+    placed = written(members.join(sizes, "family").withColumns({"active": F.lit(1), "block": _dealt(F.col("blocks"))}), "minhash-blocks")
+    links = _links(docs, placed, k, percent)
+    large = placed.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    parts = connected_components(links.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
+    large = large.select("node", "n", "k1", "k2", "family").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = large.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
+    large = written(large.join(most, "family").withColumn("apart", F.col("component") != F.col("most")), "minhash-apart")
+    out = large.where("apart").groupBy("family").agg(_blocks().alias("active"))
+    within = large.where("not apart").groupBy("family").agg(_blocks().alias("rest"))
+    again = large.join(out.join(within, "family"), "family")
+    block = F.when(F.col("apart"), _dealt(F.col("active"))).otherwise(F.col("active") + _dealt(F.col("rest")))
+    again = written(again.select("node", "k1", "k2", "family", "active", (F.col("active") + F.col("rest")).alias("blocks"), block.alias("block")), "minhash-blocks")
+    return links if again.isEmpty() else links.unionByName(_links(docs, again, k, percent))
+
+
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of df.
 
@@ -219,34 +260,32 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     linkable = signed.where("n > 0 and id is not null")
 
     # one class for equal sets; copies are pre-aggregated in their tasks
-    classes = written(linkable.groupBy("n", "k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "minhash-classes")
+    classes = written(linkable.groupBy("n", "k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("c")), "minhash-classes")
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "hub")
-    ties = buckets.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    ties = spread_join(buckets, hubs, ["bucket"], "c", classes.count() * bands).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     families = connected_components(ties).select("node", F.col("component").alias("family"))
-
-    members = written(classes.select("node", "n", "k1", "k2").join(families, "node"), "minhash-members")
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node", "k1"), F.col("blocks")).cast("int"))
-    members = members.select(F.col("node").alias("id"), "k1", "k2", "family", "blocks", "block")
-    if members.count() <= BROADCAST_MEMBERS:  # else both sides are shuffled by id
-        members = F.broadcast(members)
-    texts = docs.join(members, "id").select("id", "text", "k1", "k2", "family", "blocks", "block")
-    wanted = _sets(texts, k)
-    links = written(_confirm(wanted, percent), "minhash-links")
+    links = _family_links(docs, classes.select("node", "n", "k1", "k2").join(families, "node"), k, percent)
 
     # a document's class, then the class's component
-    same = linkable.join(classes.select("n", "k1", "k2", "node"), ["n", "k1", "k2"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    same = spread_join(linkable.select("id", "n", "k1", "k2"), classes.select("n", "k1", "k2", "node", "c"), ["n", "k1", "k2"], "c", linkable.count())
+    same = same.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     parts = connected_components(links.unionByName(same)).select(F.col("node").alias("id"), "component")
-    out = signed.select("id", "n").join(parts, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    # rows without an id stay out of the join, where they would meet in one task
+    out = signed.where("id is not null").select("id", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    out = out.unionByName(signed.where("id is null").select("id", "n", F.lit(None).cast("long").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("component") == F.col("id")).alias("kept"))
 
 
 def keep_one(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each component of near_duplicates(), that with the smallest id; of rows that repeat this id,
-    the one whose text has the least hash. Rows with a null id all stay."""
-    gone = near_duplicates(df, k, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    left = df.join(gone, df[id_col] == gone["_gone"], "left_anti")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return left.withColumn("_first", first).where((F.col("_first") == 1) | F.col(id_col).isNull()).drop("_first")
+    the one whose text has the least hash. Rows with a null id all stay. df's columns and types stay, whatever their
+    names; null and empty texts are in no group, and an empty table gives an empty one."""
+    found = written(near_duplicates(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), k, percent, "id", "text").where("id is not null").select("id", "kept"), "minhash-kept")
+    gone = found.where("not kept").select("id").distinct()
+    again = found.where("kept").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+    key = df[id_col].cast("long")
+    special = gone.unionByName(again)
+    single = df.where(key.isNotNull()).join(special, key == special["id"], "left_anti")
+    first = df.join(again, key == again["id"], "left_semi").groupBy(key).agg(F.min_by(F.struct(*(df[c] for c in df.columns)), F.xxhash64(df[text_col])).alias("row")).select("row.*")
+    return single.unionByName(df.where(key.isNull())).unionByName(first)
