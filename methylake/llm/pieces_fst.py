@@ -1,23 +1,28 @@
 """Operator 8, SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a .model file: the normaliser (identity, with the dummy prefix and white space
-escaped to U+2581), the pieces, and byte fallback. An input composed with them is a lattice over its characters, and
-its segmentation is the lattice's shortest path in the tropical semiring.
-
-For a unigram model an arc weighs minus its piece's score. For a BPE model the order of merges decides, not a sum
-of scores, so the pieces' machine remembers its last piece and has an arc from piece a to piece b, of weight 0, only
-if merging the characters of a + b gives exactly a and b; all other weights are infinite. A sequence whose
-neighbours all fit is the one that merging the whole text gives, so exactly one path is finite, and it is found
-depth first, longest pieces first, with dead states remembered.
-
-No piece holds a change between the classes of characters that the cut pattern parts (checked while compiling), so
-merges never cross its cuts, and each distinct segment is worked out once in a bounded dictionary.
+Three machines are compiled from a .model file:
+
+- the normaliser, which rewrites the longest match of the model's own map of characters (a double-array automaton over
+  UTF-8 bytes), drops extra white space if the model wants it, puts the dummy prefix and escapes spaces to U+2581;
+- the pieces, an automaton of numbered states over characters whose final states give a piece;
+- the fallback, an arc for every character that is no piece: its bytes, or the unknown piece.
+
+An input is run through the first, which is deterministic, and composed with the other two as the path goes: a state
+of the composition is a place in the text and the piece that ended there. Encoding is the composition's shortest path
+in the tropical semiring, found place by place. For a unigram model an arc weighs minus its piece's score. For a BPE
+model the order of merges decides, not a sum of scores: the arc of a piece after another weighs 0 where merging the
+characters of both gives exactly the two, and is infinite elsewhere. Pieces that all fit their neighbours are those
+that merging the whole text gives, so every prefix has one finite path and one state is kept a place.
+
+Where no piece holds a change between the classes of characters that a cut pattern parts (checked while compiling),
+paths meet at its cuts, and each distinct segment is worked out once in a bounded dictionary.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -34,48 +39,141 @@ SPACE = "▁"
 FINE = re.compile(f"{SPACE}*(?:[^\\W\\d_]+|\\d|(?:[^\\w{SPACE}]|_)+)|{SPACE}+")
 COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-# Fixed values of the .model format: kinds of model and of pieces.
+# Fixed values of the .model format: kinds of model and of pieces, what an unknown character's score lies below the
+# least one, and what unknown pieces decode to by default.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNKNOWN_PENALTY = 10.0
+
+#: Pairs of pieces of which a worker remembers whether they fit.
+PAIRS = 500_000
 
 _STATE: dict[str, tuple] = {}
 
 
+class CharacterMap:
+    """The normaliser's map of characters, as the model holds it: u32 size, a double array of u32 units, and the
+    rewritten strings, each ended by a zero byte."""
+
+    def __init__(self, blob: bytes):
+        size = struct.unpack_from("<I", blob)[0]
+        self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
+        self.strings = blob[4 + size :]
+        self.known: dict[bytes, bool] = {}
+
+    def longest(self, raw: bytes, at: int) -> tuple[int, bytes] | None:
+        """(length, rewritten) of the longest match at a place. A unit has its label in the low 8 bits, a bit 8 for
+        a value, and the place of its children by exclusive or with bits 10 and up, times 256 if bit 9 is set."""
+        units, found = self.units, None
+        unit = units[0]
+        node = (unit >> 10) << ((unit & 0x200) >> 6)
+        for i in range(at, len(raw)):
+            node ^= raw[i]
+            unit = units[node]
+            if unit & 0x800000FF != raw[i]:
+                break
+            node ^= (unit >> 10) << ((unit & 0x200) >> 6)
+            if unit >> 8 & 1:
+                begin = units[node] & 0x7FFFFFFF
+                found = (i + 1 - at, begin)
+        return found and (found[0], self.strings[found[1] : self.strings.index(b"\0", found[1])])
+
+    def rewrite(self, text: str) -> list[str]:
+        """text in rewritten units, one for each match or character."""
+        raw, at, out = text.encode(), 0, []
+        while at < len(raw):
+            match = self.longest(raw, at)
+            if match:
+                out.append(match[1].decode())
+                at += match[0]
+            else:
+                end = at + 1
+                while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                    end += 1
+                out.append(raw[at:end].decode())
+                at = end
+        return out
+
+
+class Normaliser:
+    """The first machine: texts to normalised ones, spaces escaped."""
+
+    def __init__(self, spec):
+        self.map = CharacterMap(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
+        self.squeeze, self.prefix = spec.remove_extra_whitespaces, SPACE if spec.add_dummy_prefix else ""
+
+    def __call__(self, text: str) -> str:
+        if self.map is None and not self.squeeze:
+            return self.prefix + text.replace(" ", SPACE) if text else ""
+        out, after_space = [], self.squeeze
+        for unit in self.map.rewrite(text) if self.map else text:
+            if after_space:
+                unit = unit.lstrip(" ")
+            if unit:
+                out.append(unit)
+                after_space = self.squeeze and unit.endswith(" ")
+        plain = "".join(out)
+        if self.squeeze:
+            plain = plain.rstrip(f" {SPACE}")
+        return self.prefix + plain.replace(" ", SPACE) if plain else ""
+
+
 class Pieces:
     """The compiled machines of a model."""
 
-    def __init__(self, path: str):
-        from sentencepiece import sentencepiece_model_pb2 as proto
+    def __init__(self, path: str | None = None, proto: bytes | None = None):
+        from sentencepiece import sentencepiece_model_pb2 as model
 
-        m = proto.ModelProto()
-        with open(path, "rb") as f:
-            m.ParseFromString(f.read())
+        if proto is None:
+            with open(path, "rb") as f:
+                proto = f.read()
+        m = model.ModelProto()
+        m.ParseFromString(proto)
         n, t = m.normalizer_spec, m.trainer_spec
-        if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces or t.treat_whitespace_as_suffix or t.model_type not in (UNIGRAM, BPE) or any(p.type == USER for p in m.pieces):
-            raise ValueError("only models with the identity normaliser and without user-defined pieces can be compiled")
-        self.kind, self.prefix = t.model_type, SPACE if n.add_dummy_prefix else ""
+        if not n.escape_whitespaces or t.treat_whitespace_as_suffix or t.model_type not in (UNIGRAM, BPE) or any(p.type == USER for p in m.pieces):
+            raise ValueError("only unigram and BPE models without user-defined pieces and with a prefixed, escaped space can be compiled")
+        self.kind, self.normalise = t.model_type, Normaliser(n)
         self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}
+        self.pieces = [p.piece for p in m.pieces]
         self.scores = {p.piece: p.score for p in m.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
         self.fallback = t.byte_fallback and len(self.bytes) == 256
-        self.longest = max(map(len, self.ids), default=1)
-        #: prefixes of pieces: a walk of the pieces' machine ends where no longer piece begins so
-        self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
-        #: pieces that the fine cuts would part; a text that holds one is cut coarsely
-        self.odd = [p for p in self.ids if not FINE.fullmatch(p)]
-        self.floor = min(self.scores.values(), default=0.0) - 10.0
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: the pieces' machine: arcs of each state by character, and the piece that ends in it
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final: list[int] = [-1]
+        for piece, i in self.ids.items():
+            state = 0
+            for c in piece:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.final.append(-1)
+                state = self.arcs[state][c]
+            self.final[state] = i
+        #: weights of a unigram model's arcs by piece, and of its fallback
+        self.weight = [-p.score for p in m.pieces]
+        self.lost = UNKNOWN_PENALTY - min(self.scores.values(), default=0.0)
+        self._cuts()
+        self.fits: dict[int, bool] = {}
         self.histories: dict[str, tuple[bool, list[float], list[str], list[str]]] = {}
         self.out = [b""] * len(m.pieces)
         for i, p in enumerate(m.pieces):
             if p.type == BYTE:
                 self.out[i] = bytes([int(p.piece[1:-1], 16)])
             elif p.type == UNKNOWN:
-                self.out[i] = " ⁇ ".encode()
+                self.out[i] = t.unk_surface.encode()
             elif p.type != CONTROL:
                 self.out[i] = p.piece.replace(SPACE, " ").encode()
 
+    def _cuts(self) -> None:
+        """Chooses the cut pattern: the coarse one, where all pieces lie within its segments; of BPE models with byte
+        fallback, whose segments don't touch each other, the fine one for texts without a piece that it would part."""
+        coarse = SPACE in self.ids and all(COARSE.fullmatch(p) for p in self.ids)
+        self.cut = COARSE if coarse else None
+        self.odd = [p for p in self.ids if not FINE.fullmatch(p)]
+        self.fine = coarse and self.kind == BPE and self.fallback
+
     def history(self, p: str) -> tuple[bool, list[float], list[str], list[str]]:
         """Merging the characters of p, best score first and leftmost of equal ones: (does it end in p alone, the
         merges' scores, first symbol before each merge and at the end, last symbol likewise)."""
@@ -120,80 +218,85 @@ class Pieces:
             else:
                 j += 1
 
-    def fit(self, a: str, b: str) -> bool:
-        key = (a, b)
+    def fit(self, a: int, b: int) -> bool:
+        """Whether the arc of piece b after piece a weighs 0; -1 is the text's begin or an unknown character, which
+        merges with nothing."""
+        key = a * len(self.pieces) + b
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            known = self.fits[key] = self.merges_to(a, b)
+            known = self.fits[key] = self.merges_to(self.pieces[a], self.pieces[b]) if a >= 0 else self.history(self.pieces[b])[0]
         return known
 
-    def arcs(self, s: str, at: int) -> list[str]:
-        """Pieces of s from place at on, and its next character, longest first."""
-        out, n = [s[at]], at + 2
-        if s[at] in self.prefixes:
-            while n <= len(s) and (p := s[at:n]) in self.prefixes:
-                if p in self.ids:
-                    out.append(p)
-                n += 1
-        return out[::-1]
-
-    def shortest(self, s: str) -> list[str]:
-        """The pieces of the shortest path through the lattice of a segment; unknown characters are pieces of their own."""
-        if self.kind == UNIGRAM:
-            best: list[tuple[float, int]] = [(0.0, 0), *[(math.inf, 0)] * len(s)]
-            for at in range(len(s)):
-                for p in self.arcs(s, at):
-                    cost = best[at][0] - self.scores.get(p, self.floor)
-                    if cost < best[at + len(p)][0]:
-                        best[at + len(p)] = (cost, at)
-            path, at = [], len(s)
-            while at:
-                path.append(s[best[at][1] : at])
-                at = best[at][1]
-            return path[::-1]
-        path, at, dead = [], 0, set()
-        ways = [iter(self.arcs(s, 0))]
-        while at < len(s):
-            last = path[-1] if path else ""
-            for p in ways[-1]:
-                if (at + len(p), p) not in dead and (self.fit(last, p) if last else self.history(p)[0]):
-                    path.append(p)
-                    at += len(p)
-                    ways.append(iter(self.arcs(s, at)) if at < len(s) else iter(()))
+    def shortest(self, s: str) -> list[tuple[int, int]]:
+        """(piece or -1 for an unknown character, where it ends) along the shortest path through a segment."""
+        n, arcs, final, fit, unigram = len(s), self.arcs, self.final, self.fit, self.kind == UNIGRAM
+        cost: list[float] = [0.0, *[math.inf] * n]
+        ended, begun = [-1] * (n + 1), [0] * (n + 1)
+        for at in range(n):
+            here, last = cost[at], ended[at]
+            if here == math.inf:
+                continue
+            state, end = arcs[0].get(s[at]), at + 1
+            if state is None or final[state] < 0:
+                # the fallback's arc
+                there = here + (self.lost if unigram else 0.0)
+                if there < cost[end]:
+                    cost[end], ended[end], begun[end] = there, -1, at
+            while state is not None:
+                piece = final[state]
+                if piece >= 0:
+                    if unigram:
+                        there = here + self.weight[piece]
+                        if there < cost[end]:
+                            cost[end], ended[end], begun[end] = there, piece, at
+                    elif cost[end] and fit(last, piece):
+                        cost[end], ended[end], begun[end] = 0.0, piece, at
+                if end == n:
                     break
-            else:
-                dead.add((at, last))
-                ways.pop()
-                at -= len(path.pop())
-        return path
+                state = arcs[state].get(s[end])
+                end += 1
+        path, at = [], n
+        while at:
+            path.append((ended[at], at))
+            at = begun[at]
+        return path[::-1]
 
     def encode_segment(self, s: str) -> bytes:
         """Ids of a segment as little-endian int32 bytes, unknown characters as bytes or, without fallback, one unknown id a run."""
         ids: list[int] = []
         lost = False
-        for p in self.shortest(s):
-            i = self.ids.get(p)
-            if i is not None:
-                ids.append(i)
+        for piece, end in self.shortest(s):
+            if piece >= 0:
+                ids.append(piece)
             elif self.fallback:
-                ids += [self.bytes[b] for b in p.encode()]
+                ids += [self.bytes[b] for b in s[end - 1].encode()]
             elif not lost:
                 ids.append(self.unknown)
-            lost = i is None
+            lost = piece < 0
         return np.array(ids, "<i4").tobytes()
 
     def segments(self, text: str) -> list[str]:
-        if not text:
+        s = self.normalise(text)
+        if not s:
             return []
-        s = self.prefix + text.replace(" ", SPACE)
-        cut = COARSE if self.kind == UNIGRAM or any(p in s for p in self.odd) else FINE
-        return cut.findall(s)
+        if self.cut is None:
+            return [s]
+        return (FINE if self.fine and not any(p in s for p in self.odd) else self.cut).findall(s)
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        """The text of ids. The escaped space that begins the first piece falls away with a dummy prefix or squeezing;
+        with squeezing, if nothing is left of the piece, so does that of the next one."""
+        parts = [*map(self.out.__getitem__, ids)]
+        if self.normalise.prefix or self.normalise.squeeze:
+            for i, piece in enumerate(ids):
+                if not self.pieces[piece].startswith(SPACE):
+                    break
+                parts[i] = parts[i][1:]
+                if parts[i] or not self.normalise.squeeze:
+                    break
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 def _state(path: str) -> tuple[Pieces, PieceCache]:
@@ -225,7 +328,9 @@ def encode_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def decode_pieces(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id_col, text) for every row of df (id_col, ids_col array<int>); null ids give a null text, none an empty one."""
+    """(id_col, text) for every row of df (id_col, ids_col array<int>). Null ids give a null text, none an empty one;
+    null row ids stay null, repeated rows give repeated results, an empty table an empty one; other columns are not
+    read. Bytes that are no UTF-8 become U+FFFD."""
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces, _ = _state(path)
@@ -239,8 +344,10 @@ def decode_pieces(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
 
 
 def with_pieces(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with its texts replaced by what their ids decode to and a column of those ids (array<int>); a null text
-    stays null and has no ids."""
+    """df with its texts replaced by what their ids decode to and a last column of those ids (array<int>), which
+    replaces a column of that name in any case. A null text stays null and has no ids, an empty one has none either;
+    texts are encoded whole, repeated rows give repeated results, an empty table an empty one."""
+    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != ids_col.lower()))
     at = df.columns.index(text_col)
 
     def run(batches):
