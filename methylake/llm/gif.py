@@ -213,7 +213,10 @@ def read_frames(data: bytes, screens: bool = True):
                 at += 3 * n
             least = data[at]
             stream, at = _gather(data, at + 1)
-            samples = np.frombuffer(lzw_decode(stream, least, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+            raw = lzw_decode(stream, least, w * h)
+            if len(raw) < w * h:
+                raise ValueError(f"a frame of {w * h} samples has only {len(raw)}")
+            samples = np.frombuffer(raw, np.uint8).reshape(h, w)
             if own & 0x40:
                 order = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
                 plain = np.empty_like(samples)
@@ -286,27 +289,42 @@ def media_frames(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     return map_arrow(rows, read, "id long, frame int, start_cs int, delay_cs int, left int, top int, width int, height int, disposal int, samples binary, histogram array<long>").withColumnRenamed("id", id_col)
 
 
+#: A frame as media_digest() gives it: when and how long it is shown, where it lies, what becomes of it, and the colour
+#: histogram of its own area of the rendered screen, as the bins that hold pixels and their numbers.
+FRAME = "struct<start_cs:int,delay_cs:int,left:int,top:int,width:int,height:int,disposal:int,bins:array<int>,pixels:array<long>>"
+_FRAME = pa.struct([*((c, pa.int32()) for c in ("start_cs", "delay_cs", "left", "top", "width", "height", "disposal")), ("bins", pa.list_(pa.int32())), ("pixels", pa.list_(pa.int64()))])
+
+
 def media_digest(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", size_col: str = "n_bytes") -> DataFrame:
     """Reads every stored GIF back: (id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature). feature: frames, total hundredths of a second and the summed grey histogram of the frames'
-    own areas as the rendered screens show them, by the brightness of the colour histogram's bins."""
+    media_sha256, feature, frames array<FRAME>). The payload is the samples of all frames. feature: frames, total
+    hundredths of a second and the summed grey histogram of the frames, by the brightness of their histograms' bins.
+
+    A null media gives nulls, one without frames an empty payload; one that is no GIF, is cut off or has codes that
+    no encoder writes is an error. Null ids stay null, repeated rows give repeated results, an empty table an empty one;
+    other columns are not read."""
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for media in batch.column(2).to_pylist():
-            count, time, parts, colours = 0, 0, [], np.zeros(BINS**3, np.int64)
+            if media is None:
+                rows.append((None,) * 7)
+                continue
+            frames, time, parts, colours = [], 0, [], np.zeros(BINS**3, np.int64)
             for f in read_frames(media):
-                count += 1
+                own = histogram(f.screen[f.top : f.top + f.height, f.left : f.left + f.width])
+                bins = np.flatnonzero(own)
+                frames.append({"start_cs": time, "delay_cs": f.delay, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "bins": bins.tolist(), "pixels": own[bins].tolist()})
                 time += f.delay
                 parts.append(f.samples.tobytes())
-                colours += histogram(f.screen[f.top : f.top + f.height, f.left : f.left + f.width])
+                colours += own
             payload = b"".join(parts)
-            bins = np.bincount(_GREY_BIN, weights=colours, minlength=BINS).astype(np.int64)
-            feature = f"frames={count};cs={time};grey={','.join(map(str, bins.tolist()))}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            grey = np.bincount(_GREY_BIN, weights=colours, minlength=BINS).astype(np.int64)
+            feature = f"frames={len(frames)};cs={time};grey={','.join(map(str, grey.tolist()))}"
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, frames))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_FRAME)]
         columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"])
 
     rows = df.select(df[id_col].cast("long").alias("id"), df[size_col].cast("long").alias("n_bytes"), media_col)
-    return map_batches(rows, read, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    return map_batches(rows, read, f"id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<{FRAME}>").withColumnRenamed("id", id_col)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from methylake.llm import decontaminate, gif, graph, minhash, pieces_fst, quality, queries, rans, sharding, token_counts, token_files, url_filters, warc
+from methylake.llm import common, decontaminate, gif, graph, minhash, pieces_fst, quality, queries, rans, sharding, token_counts, token_files, url_filters, warc
 
 SCHEMA = "doc_id long, text string, shard int, size string, id string"  # with clashing extra columns
 
@@ -85,7 +85,7 @@ def test_pre_tokens_are_counted_once(spark, hard):
     assert {r.piece: r.freq for r in rows} == dict(want) and len(rows) == len(want)
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("a.b", "/x", "allow"), ("b", "/x/y", "block"), ("b", "/xz", "block")]
     urls = [None, "", "nothing", "http://", "HTTP://WWW.Example.ORG/en/12?q#f", "http://example.org/es", "http://example.org/es/", "http://org", "http://org/", "http://xorg/", "http://a.b/x/y", "http://a.b/xz", "http://org?x/y", "http://u@b:80/x", "http://org/" + "p/" * 20000]
     df = spark.createDataFrame([(i, u, "clash", 1) for i, u in enumerate(urls)] + [(0, None, "clash", 1)], "page_id long, url string, host string, rule int")
@@ -96,10 +96,26 @@ def test_url_filter(spark):
         host, slash, path = rest.partition("/")
         host, path = re.sub("[A-Z]", lambda m: m[0].lower(), host), slash + path
         fit = [(len(h + p), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        best = max(fit, default=None)
+        best = max(fit, key=lambda f: (f[0], f[1], [-ord(c) for c in f[2]]), default=None)
         return host, path, best and best[2], best[3] if best else "allow"
 
     same(url_filters.url_filter(df, rules).collect(), [(i, *brute(u)) for i, u in [*enumerate(urls), (0, None)]])
+    r = random.Random(2)
+    part = lambda: "".join(r.choice("ab/") for _ in range(r.randrange(5)))
+    rules[:] += [(r.choice(("org", "a.org", "B", "a.b", "x.a.b")), r.choice(("/", "")) + part(), r.choice(("allow", "block"))) for _ in range(120)]
+    rules[:] = {(h.lower(), p): (h, p, v) for h, p, v in sorted(rules)}.values()
+    brutal = [(h.lower(), p, v) for h, p, v in rules]
+    many = [f"http://{r.choice(('org', 'a.org', 'y.x.a.b', 'B', 'ab', 'www.B'))}{r.choice(('/', ''))}{part()}{part()}" for _ in range(300)]
+    rules, listed = brutal, list(rules)
+    more = spark.createDataFrame([(i, u, "clash", 1) for i, u in enumerate(many)] + [(9999, many[0], "clash", 1)] * 700, "page_id long, url string, host string, rule int")
+    want = [(i, *brute(u)) for i, u in enumerate(many)] + [(9999, *brute(many[0]))] * 700
+    same(url_filters.url_filter(more, listed).collect(), want)
+    monkeypatch.setattr(url_filters, "MAX_RULES", 10)
+    table = spark.createDataFrame(listed, "host string, path string, verdict string")
+    same(url_filters.url_filter(more, table).collect(), want)
+    same(url_filters.url_filter(df, listed).collect(), [(i, *brute(u)) for i, u in [*enumerate(urls), (0, None)]])
+    monkeypatch.undo()
+    same(url_filters.url_filter(more, table).collect(), want)
     assert url_filters.url_filter(df.limit(0), rules).count() == 0
     with pytest.raises(ValueError):
         url_filters.build_trie([("h", "/", "maybe")])
@@ -156,9 +172,27 @@ def brute_components(rows, k, percent):
     return [(i, len(s), None if i is None else find(i), None if i is None else find(i) == i) for i, s in sets]
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 256), (5, 80, 4)])
-def test_near_duplicates(spark, hard, empty, k, percent, block, monkeypatch):
+def one_document_per_id(rows):
+    """brute_components' rows where those that repeat an id join the components of all its texts."""
+    root, merged = {}, True
+    for i, _, c, _ in rows:
+        root.setdefault(c, c)
+    while merged:
+        merged = False
+        for i, _, c, _ in rows:
+            for j, _, e, _ in rows:
+                if i is not None and i == j and root[c] != root[e]:
+                    low, high = sorted((root[c], root[e]))
+                    root = {x: low if y == high else y for x, y in root.items()}
+                    merged = True
+    return [(i, n, c and root[c], c and root[c] == i) for i, n, c, _ in rows]
+
+
+@pytest.mark.parametrize(("k", "percent", "block", "most"), [(3, 85, 256, 1_000_000), (5, 80, 4, 1_000_000), (3, 85, 3, 0)])
+def test_near_duplicates(spark, hard, empty, k, percent, block, most, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(minhash, "BROADCAST_MEMBERS", most)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     near = []
     for g in range(6):
         w = words(150, 50 + g).split()
@@ -168,7 +202,11 @@ def test_near_duplicates(spark, hard, empty, k, percent, block, monkeypatch):
                 v[(17 * e + 3 * c) % len(v)] = f"e{g}{c}{e}"
             near.append((1000 + 100 * g + c, " ".join(v)))
     extra = spark.createDataFrame([(i, x, 7, "s", "z") for i, x in near], SCHEMA)
-    same(minhash.near_duplicates(hard.union(extra), k, percent).collect(), brute_components(texts() + near, k, percent))
+    copies = [(5000 + i, near[0][1]) for i in range(40)] + [(None, near[3][1])] * 30 + [(1001, near[9][1])]
+    extra = extra.union(spark.createDataFrame([(i, x, 7, "s", "z") for i, x in copies], SCHEMA))
+    df = hard.union(extra).withColumnsRenamed({"shard": "n", "size": "component_id"})
+    got = minhash.near_duplicates(df, k, percent).collect()
+    same(got, one_document_per_id(brute_components(texts() + near + copies, k, percent)))
     assert minhash.near_duplicates(empty, k, percent).count() == 0
 
 
@@ -178,6 +216,12 @@ def test_keep_one(hard):
     ids = sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i))
     want = {i for i, _, _, keep in brute_components(texts(), 3, 85) if keep}
     assert ids == [*sorted(want), None]
+    odd = hard.withColumnsRenamed({"shard": "_first", "size": "kept", "id": "row"})
+    again = odd.union(odd.where("doc_id = 11")).union(odd.where("doc_id is null"))
+    rows = minhash.keep_one(again, 3, 85)
+    assert rows.columns == odd.columns and rows.schema == odd.schema
+    assert sorted((r.doc_id for r in rows.collect()), key=lambda i: (i is None, i)) == [*sorted(want), None, None]
+    assert minhash.keep_one(odd.limit(0)).count() == 0
 
 
 def test_components(spark):
@@ -245,7 +289,11 @@ def altered(passage, changes, seed):
     return " ".join(out)
 
 
-def test_decontamination_of_altered_passages(spark):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_decontamination_of_altered_passages(spark, parts, monkeypatch):
+    if parts > 1:
+        monkeypatch.setattr(decontaminate, "MAX_ITEMS", 4)
+        monkeypatch.setattr(decontaminate, "RUN", 7)
     bench = [(n, words(n, 40 + n, 4000)) for n in (6, 9, 14, 25, 40, 59, 80, 120, 200)]
     docs = [(i, words(i % 40, 500 + i, 4000) + " " + altered(bench[i % 9][1], i // 9 % 8, i) + " " + words(i % 31, 900 + i, 4000)) for i in range(720)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
@@ -259,13 +307,43 @@ def test_decontamination_of_altered_passages(spark):
     same(decontaminate.decontaminate(df, items).select("doc_id").collect(), [(i,) for i, _ in docs if i not in {w[0] for w in least}])
 
 
-def test_hamming_index_is_complete():
+def test_hamming_index_is_complete_and_filters():
     rng = np.random.default_rng(3)
-    prints = rng.integers(0, 256, (40, 8), dtype=np.uint8)
-    probes = prints[rng.integers(0, 40, 500)] ^ np.packbits(rng.random((500, 64)) < 0.3, axis=1)
-    got = set(zip(*(x.tolist() for x in decontaminate.HammingIndex(prints)(probes)), strict=True))
+    radius = decontaminate.radius_for(0.8)
+    prints = rng.integers(0, 256, (200, 32), dtype=np.uint8)
+    probes = prints[rng.integers(0, 200, 1000)] ^ np.packbits(rng.random((1000, 256)) < rng.uniform(0, 0.4, (1000, 1)), axis=1)
+    index = decontaminate.HammingIndex(prints, radius)
+    got = set(zip(*(x.tolist() for x in index(probes)), strict=True))
     apart = np.bitwise_count(probes[:, None] ^ prints[None]).sum(axis=2)
-    assert got == {(q, p) for q, p in zip(*(x.tolist() for x in np.nonzero(apart <= decontaminate.RADIUS)), strict=True)}
+    assert got == {(q, p) for q, p in zip(*(x.tolist() for x in np.nonzero(apart <= radius)), strict=True)}
+    assert 200 < len(got) < 1000
+    assert len(index.candidates(rng.integers(0, 256, (2000, 32), dtype=np.uint8))[0]) < 0.005 * 2000 * 200
+
+
+def test_fingerprints_lose_little_at_the_threshold():
+    r, lost, near = random.Random(8), 0, 0
+    for case in range(1500):
+        item = words(r.choice((12, 20, 40, 80, 200)), case, 5000)
+        text = altered(item, 1 + len(item.split()) // 45 + case % 3, case)
+        w = brute_contaminated([(0, text)], [(1, item)])
+        if w and w[0][2] < 0.9:
+            near += 1
+            b = decontaminate.Benchmark([(1, item)], 5, 0.8)
+            lost += [x[1][:2] for x in decontaminate._scan(b, pa.array([text]))] != [w[0][1:3]]
+    assert near > 150 and lost <= near // 100
+
+
+def test_decontamination_of_long_repetitive_texts():
+    import tracemalloc
+
+    item = "again and again the same five words " * 400
+    for text in (item * 60, "and again " * 60_000 + item):
+        b = decontaminate.Benchmark([(1, item), (2, words(30, 3))], 5, 0.8)
+        tracemalloc.start()
+        found = decontaminate._scan(b, pa.array([text]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [(i, x[0], x[1]) for i, x in found] == [(0, 1, 1.0)] and peak < 200 << 20
 
 
 @pytest.mark.parametrize("least", [0, 4])
@@ -360,6 +438,8 @@ def test_sentencepiece(hard, empty):
     assert pieces_fst.piece_round_trip(empty, path).count() == 0
     with_ids = pieces_fst.with_pieces(hard, path)
     assert with_ids.columns == [*hard.columns, "ids"]
+    clash = pieces_fst.with_pieces(hard.withColumn("IDS", F.lit(3)), path)
+    assert clash.columns == [*hard.columns, "ids"] and clash.count() == hard.count()
     assert with_ids.where("text is null").count() == 1
 
 
@@ -375,6 +455,52 @@ def test_sentencepiece_random_strings():
         assert got == [sp.encode(x) for x in xs]
 
 
+def made_model(kind, fallback, rule, squeeze, prefix, seed):
+    """A model that nobody trained: pieces of random letters with random scores, with a rule's map of characters."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as model
+
+    m = model.ModelProto()
+    if rule:
+        m.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    del m.pieces[:]
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = kind, fallback
+    m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.escape_whitespaces = squeeze, prefix, True
+    r = random.Random(seed)
+    rows = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256)] * fallback
+    letters = [*"▁abcdeklé日.1"]
+    own = dict.fromkeys(letters + ["".join(r.choice(letters[1:]) for _ in range(r.randrange(2, 6))) for _ in range(150)] + ["▁" + "".join(r.choice(letters[1:]) for _ in range(r.randrange(1, 5))) for _ in range(80)])
+    scores = [*range(len(own))]
+    r.shuffle(scores)
+    rows += [(p, -s, 1) for p, s in zip(own, scores, strict=True)]
+    for piece, score, form in rows:
+        m.pieces.add(piece=piece, score=score, type=form)
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize(("fallback", "rule", "squeeze", "prefix"), [(True, "", False, True), (False, "nmt_nfkc", True, True), (True, "nfkc_cf", True, False), (False, "nmt_nfkc_cf", False, True)])
+def test_machines_of_made_models(kind, fallback, rule, squeeze, prefix):
+    import sentencepiece
+
+    proto = made_model(kind, fallback, rule, squeeze, prefix, 7)
+    sp, own = sentencepiece.SentencePieceProcessor(model_proto=proto), pieces_fst.Pieces(proto=proto)
+    r = random.Random(5)
+    xs = ["".join(r.choice("  aabcdekléÉ日.1xﬁ①Ａ\u3000\t") for _ in range(r.randrange(40))) for _ in range(600)] + any_script(300)
+    for x in xs:
+        ids = np.frombuffer(b"".join(own.encode_segment(s) for s in own.segments(x)), "<i4").tolist()
+        assert ids == sp.encode(x), x
+        assert own.decode(ids) == sp.decode(ids), x
+    if kind == 1:  # the path's weight is the least of all segmentations
+        for x in xs[:200]:
+            s, low = own.normalise(x)[:9], {0: 0.0}
+            for at in range(len(s)):
+                arcs = [(p, -w) for p, w in own.scores.items() if s.startswith(p, at)]
+                for p, w in arcs + [(s[at], own.lost)] * (s[at] not in own.scores):
+                    low[at + len(p)] = min(low.get(at + len(p), 1e9), low[at] + w)
+            assert sum(own.lost if p < 0 else own.weight[p] for p, _ in own.shortest(s)) == pytest.approx(low[len(s)])
+
+
 def test_gif_round_trip(hard, empty):
     got = gif.media_digest(gif.to_media(hard)).collect()
     want = []
@@ -390,6 +516,64 @@ def test_gif_round_trip(hard, empty):
     assert sum(sum(r.histogram) for r in frames) == 576 * (64 + 64)
 
 
+def plain_gif_samples(data):
+    """All frames' samples of a GIF with a global palette of 256 colours, read bit by bit and code by code."""
+    at, out = 13 + 768, []
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            at += 2
+            while data[at]:
+                at += data[at] + 1
+            at += 1
+            continue
+        assert data[at] == 0x2C and data[at + 9] == 0
+        size, at, stream = data[at + 10], at + 11, b""
+        while data[at]:
+            stream += data[at + 1 : at + 1 + data[at]]
+            at += data[at] + 1
+        at += 1
+        place, width, table, last, samples = 0, size + 1, {}, None, bytearray()
+        while True:
+            code = sum((stream[(place + i) // 8] >> (place + i) % 8 & 1) << i for i in range(width))
+            place += width
+            if code == 1 << size:
+                width, last, table = size + 1, None, {i: bytes([i]) for i in range(1 << size)}
+                free = (1 << size) + 2
+                continue
+            if code == (1 << size) + 1:
+                break
+            entry = table[code] if code in table else last + last[:1]
+            samples += entry
+            if last is not None and free < 4096:
+                table[free] = last + entry[:1]
+                free += 1
+            if free == 1 << width and width < 12:
+                width += 1
+            last = entry
+        out.append(bytes(samples))
+    return out
+
+
+def test_gif_against_a_plain_decoder():
+    r = random.Random(4)
+    for n, letters in ((0, 256), (10, 3), (5000, 2), (60_000, 256), (90_000, 5)):
+        payload = gif.padded(bytes(r.randrange(letters) for _ in range(n)))
+        media = gif.store(payload)
+        assert b"".join(plain_gif_samples(media)) == payload
+        assert b"".join(f.samples.tobytes() for f in gif.read_frames(media)) == payload
+    cut = media[: 13 + 768 + 8 + 10 + 1] + gif._blocks(gif.lzw_encode(payload[:4000])[:100]) + b";"
+    with pytest.raises(ValueError):
+        list(gif.read_frames(cut))
+
+
+def test_gif_digest_of_hard_rows(spark):
+    rows = [(1, 5, None, 3), (None, None, gif.store(gif.padded(b"abc")), 3), (2, 0, b"GIF89a" + bytes(7) + b";", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary, frames int")
+    got = {r.doc_id: r for r in gif.media_digest(df).collect()}
+    assert got[1].payload_bytes is None and got[2].payload_bytes == 0 and got[2].frames == []
+    assert [(f.start_cs, f.delay_cs, f.width, f.height, sum(f.pixels)) for f in got[None].frames] == [(0, 10, 576, 1, 576)]
+
+
 def test_gif_rules():
     def image(x, y, w, h, samples, control=None, palette=b"", flags=0):
         return (b"\x21\xf9\x04" + control + b"\0" if control else b"") + b"\x2c" + np.array([x, y, w, h], "<u2").tobytes() + bytes([flags]) + palette + b"\x02" + gif._blocks(gif.lzw_encode(bytes(samples), 2))
