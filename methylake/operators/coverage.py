@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from methylake.functions.expr import exact_round, percent, ucsc_name
-from methylake.operators.genome import cytosine_positions, drach_sites, gpc_sites
+from methylake.operators.genome import as_cytosines, as_drach, as_gpc, at_positions, bases, chromosomes, tile_of, tiles
 
 
 def consistent_calls(calls: DataFrame) -> DataFrame:
@@ -42,14 +42,24 @@ def merge_samples(samples: list[DataFrame]) -> DataFrame:
     return out.withColumn("pct", exact_round(percent(F.col("m"), F.col("u")), 2))
 
 
-def covered(sites: DataFrame, cov: DataFrame, how: str = "left") -> DataFrame:
-    """sites with m and u at (chr, pos), zeros where there is no coverage; an equi-join that shuffles by position, never by chromosome alone."""
-    return sites.join(cov.select("chr", "pos", "m", "u"), ["chr", "pos"], how).withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("m", "u")})
+def covered(genome: DataFrame, cov: DataFrame) -> DataFrame:
+    """The C and G bases of the genome that cov has, placed, with m and u."""
+    return at_positions(genome, cov.select("chr", "pos", "m", "u"))
+
+
+def all_covered(tiled: DataFrame, cov: DataFrame) -> DataFrame:
+    """Every C and G base of the tiles, placed, with m and u, zeros where there is no coverage. Coverage is grouped by
+    tile before the join, so what is shuffled is tiles, and bases come into being after it."""
+    rows = cov.where("pos > 0").select("chr", tile_of(F.col("pos")).alias("tile"), F.struct((F.col("pos") - 1).alias("p"), "m", "u").alias("c"))
+    near = tiled.join(rows.groupBy("chr", "tile").agg(F.collect_list("c").alias("cov")), ["chr", "tile"], "left")
+    here = F.filter("cov", lambda x: x["p"] == F.col("i"))
+    at = bases(near).select("*", F.inline_outer(here)).drop("cov", "p")
+    return at.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("m", "u")})
 
 
 def uncovered_chromosomes(genome: DataFrame, cov: DataFrame) -> DataFrame:
     """Chromosomes of the genome without any row in cov."""
-    return genome.select("chr").join(cov.select("chr").distinct(), "chr", "left_anti")
+    return chromosomes(genome).select("chr").join(cov.select("chr").distinct(), "chr", "left_anti")
 
 
 def cytosine_report(genome: DataFrame, cov: DataFrame, cx: bool = False, threshold: int = 0, nome: bool = False, ffs: bool = False, zero_based: bool = False) -> DataFrame:
@@ -58,21 +68,24 @@ def cytosine_report(genome: DataFrame, cov: DataFrame, cx: bool = False, thresho
     Without cx only CpGs. A chromosome without coverage is reported only at threshold 0 and not with nome; nome keeps
     CpGs whose upstream 3-mer is ACG or TCG.
     """
-    at = cytosine_positions(genome, ffs)
+    least = max(threshold, 1) if nome else threshold
+    if least > 0:
+        at = covered(genome, cov)
+    else:
+        tiled = tiles(genome)
+        at = all_covered(tiled if cx else tiled.where(F.col("text").contains("CG")), cov)
+    out = as_cytosines(at, ffs).where(F.col("m") + F.col("u") >= least)
     if not cx:
-        at = at.where("context = 'CG'")
+        out = out.where("context = 'CG'")
     if nome:
-        at = at.where("context <> 'CG' or upstream in ('ACG', 'TCG')")
-    least = max(threshold, 1) if nome else threshold
-    out = covered(at, cov, "left" if least == 0 else "inner").where(F.col("m") + F.col("u") >= least)
+        out = out.where("context <> 'CG' or upstream in ('ACG', 'TCG')")
     return out.select("chr", (F.col("pos") - int(zero_based)).alias("pos"), "strand", "m", "u", "context", "tri", *(["tetra", "penta", "hexa"] if ffs else []))
 
 
 def context_summary(genome: DataFrame, cov: DataFrame, threshold: int = 0) -> DataFrame:
     """64 rows (upstream, c_context, full_context, m, u, pct): calls by the base before a cytosine and its 3-mer, over covered chromosomes."""
-    chrs = cov.select("chr").distinct()
     # positions without coverage add nothing, so the inner join gives the same sums as the full walk
-    at = covered(cytosine_positions(genome), cov, "inner").where(F.col("m") + F.col("u") >= threshold).join(chrs, "chr", "left_semi")
+    at = as_cytosines(covered(genome, cov)).where(F.col("m") + F.col("u") >= threshold)
     sums = at.groupBy(F.substring("upstream", 1, 1).alias("upstream"), F.col("tri").alias("c_context")).agg(F.sum("m").alias("m"), F.sum("u").alias("u"))
     rows = [(a, f"C{b}{c}", f"{a}C{b}{c}") for a in "ACGT" for b in "ACGT" for c in "ACGT"]
     spine = genome.sparkSession.createDataFrame(rows, "upstream string, c_context string, full_context string")
@@ -80,15 +93,22 @@ def context_summary(genome: DataFrame, cov: DataFrame, threshold: int = 0) -> Da
     return out.select("upstream", "c_context", "full_context", "m", "u", percent(F.col("m"), F.col("u")).alias("pct"))
 
 
+def _given(threshold: int) -> int:
+    """A threshold of covered positions, which is 1 or more."""
+    if threshold < 1:
+        raise ValueError(f"threshold {threshold}: must be 1 or more")
+    return threshold
+
+
 def gpc_report(genome: DataFrame, cov: DataFrame, threshold: int = 1, nome: bool = False) -> DataFrame:
     """(chr, pos, strand, m, u, context, tri) of covered GpC cytosines; nome leaves out those in CG context."""
-    out = covered(gpc_sites(genome), cov, "inner").where(F.col("m") + F.col("u") >= max(threshold, 1))
+    out = as_gpc(covered(genome, cov)).where(F.col("m") + F.col("u") >= _given(threshold))
     return (out.where("context <> 'CG'") if nome else out).select("chr", "pos", "strand", "m", "u", "context", "tri")
 
 
 def drach_report(genome: DataFrame, cov: DataFrame, threshold: int = 1) -> DataFrame:
     """(chr, pos, strand, m, u, drach, tri) of covered cytosines in DRACH motifs."""
-    return covered(drach_sites(genome), cov, "inner").where(F.col("m") + F.col("u") >= threshold).select("chr", "pos", "strand", "m", "u", "drach", "tri")
+    return as_drach(covered(genome, cov)).where(F.col("m") + F.col("u") >= _given(threshold)).select("chr", "pos", "strand", "m", "u", "drach", "tri")
 
 
 def paired_cpgs(report: DataFrame) -> DataFrame:
@@ -158,13 +178,13 @@ def nome_per_read(genome: DataFrame, calls: DataFrame) -> DataFrame:
     """
     size = F.abs(F.col("end") - F.col("start")) + 1
     reads = calls.groupBy("read").agg(F.min_by(F.struct("chr", "start", "end"), "ord").alias("f")).select("read", "f.*")
-    reads = reads.join(genome.select("chr", F.length("seq").alias("chr_len")), "chr").where((F.col("start") > 3) & (F.col("chr_len") >= F.col("start") + size + 2))
+    reads = reads.join(chromosomes(genome), "chr").where((F.col("start") > 3) & (F.col("chr_len") >= F.col("start") + size + 2))
     reads = reads.select("read", "chr", F.least("start", "end").alias("start"), F.greatest("start", "end").alias("end"))
     last = calls.groupBy("read", "pos").agg(F.max_by(F.struct("meth", "call"), "ord").alias("c")).select("read", "pos", "c.*")
     inside = reads.join(last, "read").where(F.col("pos").between(F.col("start"), F.col("end")) & (F.col("start") > 2))
     motif = F.when(F.col("context") == "CG", F.when(F.col("upstream").isin("ACG", "TCG"), "z")).when(F.col("upstream").startswith("GC"), F.when(F.col("context") == "CHG", "x").otherwise("h"))
-    sites = cytosine_positions(genome).select("chr", "pos", motif.alias("letter")).where("letter is not null")
-    hits = inside.join(sites, ["chr", "pos"]).where(F.lower("call") == F.col("letter"))
+    sites = as_cytosines(at_positions(genome, inside.select("chr", "pos", "read", "meth", "call")))
+    hits = sites.withColumn("letter", motif).where(F.lower("call") == F.col("letter"))
     n = lambda meth, cpg: F.count_if((F.col("meth") == meth) & ((F.col("letter") == "z") == F.lit(cpg)))
     sums = hits.groupBy("read").agg(n("+", True).alias("meth_cg"), n("-", True).alias("unmeth_cg"), n("+", False).alias("meth_gpc"), n("-", False).alias("unmeth_gpc"))
     return reads.join(sums, "read", "left").fillna(0, ["meth_cg", "unmeth_cg", "meth_gpc", "unmeth_gpc"])

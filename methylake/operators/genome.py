@@ -1,7 +1,9 @@
 """Genome tables: tiles with a halo, cytosine positions, motifs and base composition.
 
-A genome is (chr string, seq string). Nothing below explodes a chromosome in one piece: tiles of CORE bases carry HALO
-bases of context on both sides, so every motif window is a substring of its own tile.
+A genome is (chr, seq), a row for each chromosome, or the stretches that sources.text.genome_stretches reads: (chr,
+chr_len, start, left, seq, right, tail), where no row holds a whole chromosome. Either is cut in one walk into tiles of
+CORE bases with HALO bases of context on both sides, so every motif window is a substring of its own tile, and anything
+that has a position meets its tile in an equi-join on (chr, tile).
 """
 
 from __future__ import annotations
@@ -9,29 +11,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.functions.expr import context, convert_genome, converted_bases, revcomp
+from methylake.functions.expr import context, convert_genome, converted_bases, occurrences, revcomp
 
 CORE, HALO = 64, 6
 
 
+def stretches(genome: DataFrame) -> DataFrame:
+    """(chr, chr_len, start, left, seq, right, tail) of either form of a genome; empty chromosomes have none. left and
+    right: HALO bases before and after seq; tail: the chromosome's last two bases, for windows that wrap around its start."""
+    if "left" in genome.columns:
+        return genome
+    none = F.lit("")
+    return genome.where(F.length("seq") > 0).select("chr", F.length("seq").cast("long").alias("chr_len"), F.lit(0).cast("long").alias("start"), none.alias("left"), "seq", none.alias("right"), F.right("seq", F.lit(2)).alias("tail"))
+
+
+def chromosomes(genome: DataFrame) -> DataFrame:
+    """(chr, chr_len) of either form of a genome."""
+    return genome.select("chr", "chr_len").distinct() if "left" in genome.columns else genome.select("chr", F.length("seq").cast("long").alias("chr_len"))
+
+
 def tiles(genome: DataFrame, core: int = CORE, halo: int = HALO) -> DataFrame:
-    """(chr, chr_len, tile_start, core_len, pad, text, tail): pad bases of halo precede the core in text; tail holds
-    the chromosome's last two bases, for windows that wrap around its start. An empty chromosome has no tiles."""
-    n = F.length("seq")
-    start = (F.col("k") * core).cast("int")
-    cut = genome.where(n > 0).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / core).cast("int"))))
-    pad = F.least(start, F.lit(halo))
-    return cut.select(
-        "chr", n.alias("chr_len"), start.alias("tile_start"), F.least(F.lit(core), n - start).alias("core_len"), pad.alias("pad"),
-        F.substring("seq", start - pad + 1, pad + core + halo).alias("text"), F.right("seq", F.lit(2)).alias("tail"),
-    )
+    """(chr, tile, chr_len, tile_start, core_len, pad, text, tail): pad bases of halo precede the core in text. Cutting
+    is one walk over a sequence, however long."""
+    cut = stretches(genome).withColumn("c", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{core}}}"), F.lit(0)))
+    n = F.size("c")
+    before = F.concat(F.array("left"), F.slice(F.transform("c", lambda x: F.right(x, F.lit(halo))), F.lit(1), n - 1))
+    after = F.concat(F.slice(F.transform("c", lambda x: F.left(x, F.lit(halo))), F.lit(2), n), F.array("right"))
+    cut = cut.select("chr", "chr_len", "start", "tail", F.posexplode(F.arrays_zip(F.col("c"), before.alias("before"), after.alias("after"))).alias("k", "z"))
+    start = F.col("start") + F.col("k").cast("long") * core
+    return cut.select("chr", F.floor(start / core).alias("tile"), "chr_len", start.alias("tile_start"), F.length("z.c").alias("core_len"), F.length("z.before").alias("pad"), F.concat("z.before", "z.c", "z.after").alias("text"), "tail")
+
+
+def tile_of(pos, core: int = CORE):
+    """The tile of a 1-based position."""
+    return F.floor((pos - 1) / core)
+
+
+def placed(at: DataFrame, kinds: str) -> DataFrame:
+    """Rows with tile columns and k, a place in the core, with o (1-based place in text), i (0-based one in the
+    chromosome) and base, where that is one of kinds."""
+    at = at.withColumn("o", (F.col("pad") + F.col("k") + 1).cast("int")).withColumn("base", F.substring("text", F.col("o"), F.lit(1)))
+    return at.where(F.col("base").isin(*kinds)).withColumn("i", F.col("tile_start") + F.col("k"))
 
 
 def bases(tiled: DataFrame, kinds: str = "CG") -> DataFrame:
-    """A row for each base of a kind: tile columns plus i (0-based place), o (1-based place in text) and base."""
-    spread = tiled.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("core_len") - 1)))
-    spread = spread.withColumn("o", F.col("pad") + F.col("k") + 1).withColumn("base", F.substring("text", F.col("o"), F.lit(1)))
-    return spread.where(F.col("base").isin(*kinds)).withColumn("i", F.col("tile_start") + F.col("k"))
+    """A row for each base of a kind."""
+    return placed(tiled.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("core_len") - 1))), kinds)
+
+
+def at_positions(genome: DataFrame, rows: DataFrame, kinds: str = "CG") -> DataFrame:
+    """rows (chr, pos, ...) with the columns of placed(), where the genome has a base of a kind at pos: one equi-join
+    on (chr, tile) of the rows and the tiles, neither of which is exploded."""
+    at = rows.withColumn("tile", tile_of(F.col("pos"))).join(tiles(genome), ["chr", "tile"]).withColumn("k", F.col("pos") - 1 - F.col("tile_start"))
+    return placed(at.where((F.col("k") >= 0) & (F.col("k") < F.col("core_len"))).drop("pos"), kinds)
 
 
 def around(before: int, n: int):
@@ -40,58 +72,68 @@ def around(before: int, n: int):
     return F.when(F.col("i") < before, F.lit("")).otherwise(F.substring("text", begin, F.lit(n)))
 
 
-def cytosine_positions(genome: DataFrame, ffs: bool = False) -> DataFrame:
-    """Every cytosine of both strands with a context: (chr, pos, strand, context, tri, upstream[, tetra, penta, hexa]).
+def as_cytosines(at: DataFrame, ffs: bool = False) -> DataFrame:
+    """Places of C and G with pos, strand, context, tri, upstream[, tetra, penta, hexa], where that is a cytosine with a
+    context; other columns stay.
 
     pos is 1-based; G bases are cytosines of the - strand. Positions without a full 3-mer and the last base of a
     chromosome are left out, as are 3-mers without a context.
     """
-    at = bases(tiles(genome))
-    plus = F.col("base") == "C"
+    plus, i = F.col("base") == "C", F.col("i")
     tri = F.when(plus, around(0, 3)).otherwise(revcomp(around(2, 3)))
     # at the first base the window before it wraps to the chromosome's last base
-    up = F.when(plus & (F.col("i") == 0), F.right("tail", F.lit(1))).when(plus, around(1, 3)).otherwise(revcomp(around(1, 3)))
-    out = at.select("*", tri.alias("tri"), up.alias("upstream"), F.when(plus, "+").otherwise("-").alias("strand"))
-    out = out.where((F.length("tri") == 3) & (F.col("i") + 1 < F.col("chr_len"))).withColumn("context", context(F.col("tri"))).where("context is not null")
-    keep = ["chr", (F.col("i") + 1).cast("long").alias("pos"), "strand", "context", "tri", "upstream"]
-    if ffs:
-        left, i = F.col("chr_len") - F.col("i"), F.col("i")
-        wrap = F.when(i >= 2, around(2, 6)).otherwise(F.right("tail", F.lit(2) - i))
-        keep += [
-            F.when(plus, F.when(left >= 4, around(0, 4)).otherwise("")).otherwise(F.when(i >= 3, revcomp(around(3, 4))).otherwise("")).alias("tetra"),
-            F.when(plus, F.when(left >= 5, around(0, 5)).otherwise("")).otherwise(F.when(i >= 4, revcomp(around(4, 5))).otherwise("")).alias("penta"),
-            F.when(plus, F.when(left >= 4, wrap).otherwise("")).otherwise(F.when(i >= 3, revcomp(around(3, 6))).otherwise("")).alias("hexa"),
-        ]
-    return out.select(*keep)
+    up = F.when(plus & (i == 0), F.right("tail", F.lit(1))).when(plus, around(1, 3)).otherwise(revcomp(around(1, 3)))
+    out = at.withColumns({"tri": tri, "upstream": up, "strand": F.when(plus, "+").otherwise("-"), "pos": (i + 1).cast("long")})
+    out = out.where((F.length("tri") == 3) & (i + 1 < F.col("chr_len"))).withColumn("context", context(F.col("tri"))).where("context is not null")
+    if not ffs:
+        return out
+    left = F.col("chr_len") - i
+    wrap = F.when(i >= 2, around(2, 6)).otherwise(F.right("tail", (F.lit(2) - i).cast("int")))
+    return out.withColumns({
+        "tetra": F.when(plus, F.when(left >= 4, around(0, 4)).otherwise("")).otherwise(F.when(i >= 3, revcomp(around(3, 4))).otherwise("")),
+        "penta": F.when(plus, F.when(left >= 5, around(0, 5)).otherwise("")).otherwise(F.when(i >= 4, revcomp(around(4, 5))).otherwise("")),
+        "hexa": F.when(plus, F.when(left >= 4, wrap).otherwise("")).otherwise(F.when(i >= 3, revcomp(around(3, 6))).otherwise("")),
+    })
 
 
-def gpc_sites(genome: DataFrame) -> DataFrame:
-    """Both cytosines of every GC: (chr, pos, strand, context, tri); a GC with an edge or an unknown context has none."""
-    at = bases(tiles(genome), "G").where(F.substring("text", F.col("o") + 1, F.lit(1)) == "C")
-    top, bottom = F.substring("text", F.col("o") + 1, F.lit(3)), revcomp(around(2, 3))
-    out = at.select("chr", "i", top.alias("top"), bottom.alias("bottom")).where("length(top) = 3 and length(bottom) = 3")
-    out = out.select("chr", "i", "top", "bottom", context(F.col("top")).alias("ct"), context(F.col("bottom")).alias("cb")).where("ct is not null and cb is not null")
-    pair = F.array(
-        F.struct((F.col("i") + 1).cast("long").alias("pos"), F.lit("-").alias("strand"), F.col("cb").alias("context"), F.col("bottom").alias("tri")),
-        F.struct((F.col("i") + 2).cast("long").alias("pos"), F.lit("+").alias("strand"), F.col("ct").alias("context"), F.col("top").alias("tri")),
-    )
-    return out.select("chr", F.inline(pair))
+def cytosine_positions(genome: DataFrame, ffs: bool = False) -> DataFrame:
+    """Every cytosine of both strands with a context: (chr, pos, strand, context, tri, upstream[, tetra, penta, hexa])."""
+    return as_cytosines(bases(tiles(genome)), ffs).select("chr", "pos", "strand", "context", "tri", "upstream", *(["tetra", "penta", "hexa"] if ffs else []))
 
 
-def drach_sites(genome: DataFrame) -> DataFrame:
-    """Cytosines of DRACH motifs: (chr, pos, strand, drach, tri). A first base may be missing only by wrapping around
-    the start; a missing last base passes."""
-    at = bases(tiles(genome), "AG")
+def as_gpc(at: DataFrame) -> DataFrame:
+    """Places of C and G with pos, strand, context and tri, where they are a cytosine of a GC; a GC of which either
+    cytosine has an edge or an unknown context has none. The G is the - strand's cytosine."""
+    g = F.col("base") == "G"
     following = F.substring("text", F.col("o") + 1, F.lit(1))
-    i = F.col("i")
-    top = at.where((F.col("base") == "A") & (following == "C")).select(
-        "chr", (i + 2).cast("long").alias("pos"), F.lit("+").alias("strand"), F.when(i >= 2, around(2, 5)).otherwise(F.right("tail", F.lit(2) - i)).alias("drach"), F.substring("text", F.col("o") + 1, F.lit(3)).alias("tri")
-    )
-    bottom = at.where((F.col("base") == "G") & (following == "T") & (i >= 2)).select(
-        "chr", (i + 1).cast("long").alias("pos"), F.lit("-").alias("strand"), revcomp(around(1, 5)).alias("drach"), revcomp(around(2, 3)).alias("tri")
-    )
+    at = at.where(F.when(g, following == "C").otherwise(around(1, 1) == "G"))
+    top = F.when(g, F.substring("text", F.col("o") + 1, F.lit(3))).otherwise(around(0, 3))
+    at = at.withColumns({"top": top, "bottom": revcomp(F.when(g, around(2, 3)).otherwise(around(3, 3)))}).where("length(top) = 3 and length(bottom) = 3")
+    at = at.withColumns({"ct": context(F.col("top")), "cb": context(F.col("bottom"))}).where("ct is not null and cb is not null")
+    return at.withColumns({
+        "pos": (F.col("i") + 1).cast("long"), "strand": F.when(g, "-").otherwise("+"), "context": F.when(g, F.col("cb")).otherwise(F.col("ct")), "tri": F.when(g, F.col("bottom")).otherwise(F.col("top")),
+    })
+
+
+def gpc_sites(genome: DataFrame) -> DataFrame:
+    """Both cytosines of every GC: (chr, pos, strand, context, tri)."""
+    return as_gpc(bases(tiles(genome).where(F.col("text").contains("GC")))).select("chr", "pos", "strand", "context", "tri")
+
+
+def as_drach(at: DataFrame) -> DataFrame:
+    """Places of C and G with pos, strand, drach and tri, where they are the cytosine of a DRACH motif. Its first bases
+    may be missing only by wrapping around the start; a missing last base passes."""
+    plus, i = F.col("base") == "C", F.col("i")
+    at = at.where(F.when(plus, around(1, 1) == "A").otherwise((F.substring("text", F.col("o") + 1, F.lit(1)) == "T") & (i >= 2)))
+    drach = F.when(plus, F.when(i >= 3, around(3, 5)).otherwise(F.right("tail", (F.lit(3) - i).cast("int")))).otherwise(revcomp(around(1, 5)))
+    at = at.withColumns({"drach": drach, "tri": F.when(plus, around(0, 3)).otherwise(revcomp(around(2, 3))), "pos": (i + 1).cast("long"), "strand": F.when(plus, "+").otherwise("-")})
     d, r, h = (F.substring("drach", k, 1) for k in (1, 2, 5))
-    return top.unionByName(bottom).where((F.length("tri") == 3) & (d != "C") & r.isin("A", "G") & (h != "G"))
+    return at.where((F.length("tri") == 3) & (d != "C") & r.isin("A", "G") & (h != "G"))
+
+
+def drach_sites(genome: DataFrame) -> DataFrame:
+    """Cytosines of DRACH motifs: (chr, pos, strand, drach, tri)."""
+    return as_drach(bases(tiles(genome).where(F.col("text").contains("AC") | F.col("text").contains("GT")))).select("chr", "pos", "strand", "drach", "tri")
 
 
 def converted(genome: DataFrame, slam: bool = False) -> DataFrame:
@@ -101,13 +143,16 @@ def converted(genome: DataFrame, slam: bool = False) -> DataFrame:
 
 
 def composition(genome: DataFrame) -> DataFrame:
-    """(word, n) of bases other than N and of overlapping pairs without N; partial counts are summed in each task."""
-    at = bases(tiles(genome), "ACGT")
-    pair = F.substring("text", F.col("o"), F.lit(2))
-    # a last base has no pair: its window is the base again
-    last = (F.col("i") + 1 == F.col("chr_len"))
-    words = at.select(F.explode(F.when(last, F.array("base")).otherwise(F.array(F.col("base"), pair))).alias("word"))
-    return words.where("word rlike '^[ACGT]+$'").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n) of bases other than N and of overlapping pairs without N, of those that occur. Words are counted in
+    whole stretches, without a row for a base: an equal pair XX as often as there are X less the runs of X."""
+    rows = stretches(genome).select("seq", F.concat("seq", F.left("right", F.lit(1))).alias("text"))
+    pairs = [a + b for a in "ACGT" for b in "ACGT"]
+    # a run that goes on into the next stretch has its next base in text
+    runs = lambda x: occurrences(F.col("text"), x) - F.regexp_count("text", F.lit(f"{x}+"))
+    n = {x: occurrences(F.col("seq"), x) for x in "ACGT"}
+    n |= {p: runs(p[0]) if p[0] == p[1] else (F.length("text") - F.length(F.replace("text", F.lit(p), F.lit("")))) / 2 for p in pairs}
+    sums = rows.agg(*(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(w) for w, c in n.items()))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(w).alias("word"), F.col(w).alias("n")) for w in n)))).where("n > 0")
 
 
 # The order of words in the composition report.

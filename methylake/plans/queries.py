@@ -55,9 +55,17 @@ _EXTRACT = SQL["aln"] + """, eb AS (SELECT id, chr, start, n, shape, strand, unn
 # -- genome ---------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_SITES} SELECT chr, context, strand, count(*) AS n, sum(pos)::BIGINT AS pos_sum FROM sites GROUP BY 1, 2, 3")
+def _digest(*columns):
+    """A sum of 32-bit hashes of whole rows: a check of each row of a table that is too large to be returned."""
+    return F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns))), 1, 8), 16, 10).cast("long")).alias("digest")
+
+
+_DIGEST = lambda *columns: f"CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in columns)})), 1, 8) AS BIGINT)) AS BIGINT) AS digest"
+
+
+@query(f"WITH {_SITES} SELECT chr, context, strand, count(*) AS n, {_DIGEST('pos', 'tri', 'upstream')} FROM sites GROUP BY 1, 2, 3")
 def cytosine_positions(spark, d):
-    return G.cytosine_positions(D.genome(spark, d)).groupBy("chr", "context", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"))
+    return G.cytosine_positions(D.genome(spark, d)).groupBy("chr", "context", "strand").agg(F.count(F.lit(1)).alias("n"), _digest("pos", "tri", "upstream"))
 
 
 @query(_REPORT + " SELECT chr, pos, strand, m, u, context, tri FROM rep WHERE context = 'CG'")
@@ -70,9 +78,14 @@ def cytosine_report_threshold(spark, d):
     return C.cytosine_report(D.genome(spark, d), _cov(spark, d), cx=True, threshold=1)
 
 
-@query(_REPORT + " SELECT chr, context, strand, count(*) AS n, sum(m)::BIGINT AS m, sum(u)::BIGINT AS u FROM rep GROUP BY 1, 2, 3")
+@query(_REPORT + f" SELECT chr, context, strand, count(*) AS n, sum(m)::BIGINT AS m, sum(u)::BIGINT AS u, {_DIGEST('pos', 'm', 'u', 'tri')} FROM rep GROUP BY 1, 2, 3")
 def cytosine_report_cx(spark, d):
-    return C.cytosine_report(D.genome(spark, d), _cov(spark, d), cx=True).groupBy("chr", "context", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"), F.sum("u").alias("u"))
+    return C.cytosine_report(D.genome(spark, d), _cov(spark, d), cx=True).groupBy("chr", "context", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"), F.sum("u").alias("u"), _digest("pos", "m", "u", "tri"))
+
+
+@query(f"WITH {_WALK}, g AS (SELECT chr, i, p1 || p2 || p3 AS top, {_RC('m2 || m1 || b')} AS bottom FROM w WHERE b = 'G' AND p1 = 'C') SELECT chr, CAST(2 * count(*) AS BIGINT) AS n FROM g WHERE length(top) = 3 AND length(bottom) = 3 AND {_CTX('top')} IS NOT NULL AND {_CTX('bottom')} IS NOT NULL GROUP BY 1")
+def gpc_sites(spark, d):
+    return G.gpc_sites(D.genome(spark, d)).groupBy("chr").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_REPORT + " SELECT chr, pos, strand, m, u, context, tri FROM rep WHERE context = 'CG' AND upstream IN ('ACG', 'TCG') AND m + u >= 1")
@@ -130,17 +143,18 @@ def drach_report(spark, d):
     return C.drach_report(D.genome(spark, d), _cov(spark, d))
 
 
-_PAIRS = _REPORT + ", pr AS (SELECT a.chr, a.pos, a.m AS m1, a.u AS u1, z.m AS m2, z.u AS u2 FROM rep a JOIN rep z ON a.chr = z.chr AND z.pos = a.pos + 1 WHERE a.context = 'CG' AND z.context = 'CG' AND a.strand = '+' AND z.strand = '-')"
+_CPG_PAIRS = _REPORT + """, ld AS (SELECT chr, pos, strand, m AS m1, u AS u1, lead(pos) OVER o AS p2, lead(strand) OVER o AS s2, lead(m) OVER o AS m2, lead(u) OVER o AS u2 FROM rep WHERE context = 'CG' WINDOW o AS (PARTITION BY chr ORDER BY pos)),
+  pr AS (SELECT * FROM ld WHERE strand = '+' AND s2 = '-' AND p2 = pos + 1)"""
 _R6 = lambda m, u: f"CAST(printf('%.6f', CAST({m} AS DOUBLE) / CAST({m} + {u} AS DOUBLE) * 100) AS DOUBLE)"
 
 
-@query(_PAIRS + " SELECT chr, pos AS start, pos + 1 AS \"end\", CAST(m1 + m2 AS DOUBLE) / CAST(m1 + m2 + u1 + u2 AS DOUBLE) * 100 AS pct, m1 + m2 AS m, u1 + u2 AS u FROM pr WHERE m1 + m2 + u1 + u2 > 0")
+@query(_CPG_PAIRS + " SELECT chr, pos AS start, pos + 1 AS \"end\", CAST(m1 + m2 AS DOUBLE) / CAST(m1 + m2 + u1 + u2 AS DOUBLE) * 100 AS pct, m1 + m2 AS m, u1 + u2 AS u FROM pr WHERE m1 + m2 + u1 + u2 > 0")
 def merge_cpgs(spark, d):
     return C.merge_cpgs(C.cytosine_report(D.genome(spark, d), _cov(spark, d)))
 
 
 @query(
-    _PAIRS + f", dd AS (SELECT * FROM pr WHERE CASE WHEN m1 + u1 > 0 AND m2 + u2 > 0 THEN abs({_R6('m1', 'u1')} - {_R6('m2', 'u2')}) > 20 ELSE false END), r AS (SELECT chr, pos, '+' AS strand, m1 AS m, u1 AS u FROM dd UNION ALL SELECT chr, pos + 1, '-', m2, u2 FROM dd) SELECT chr, pos, strand, {_PCT} AS pct, m, u FROM r"
+    _CPG_PAIRS + f", dd AS (SELECT * FROM pr WHERE CASE WHEN m1 + u1 > 0 AND m2 + u2 > 0 THEN abs({_R6('m1', 'u1')} - {_R6('m2', 'u2')}) > 20 ELSE false END), r AS (SELECT chr, pos, '+' AS strand, m1 AS m, u1 AS u FROM dd UNION ALL SELECT chr, pos + 1, '-', m2, u2 FROM dd) SELECT chr, pos, strand, {_PCT} AS pct, m, u FROM r"
 )
 def discordant_cpgs(spark, d):
     return C.discordant_cpgs(C.cytosine_report(D.genome(spark, d), _cov(spark, d)), 20)
@@ -250,10 +264,10 @@ def cigar_spans(spark, d):
     return A.spans(D.alignments(spark, d)).select("id", "ref_span", "read_span", "end")
 
 
-@query(f"WITH {_EXTRACT} SELECT id, ctx, strand, count(*) AS n, CAST(count(*) FILTER (methylated) AS BIGINT) AS m, CAST(sum(pos) AS BIGINT) AS pos_sum, CAST(sum(rp - 3) AS BIGINT) AS read_pos_sum FROM xc WHERE rp >= 3 AND rp < n - 2 GROUP BY 1, 2, 3")
+@query(f"WITH {_EXTRACT} SELECT id, ctx, strand, count(*) AS n, CAST(count(*) FILTER (methylated) AS BIGINT) AS m, CAST(sum(pos) AS BIGINT) AS pos_sum, CAST(sum(rp - 3) AS BIGINT) AS read_pos_sum, {_DIGEST('pos', 'rp - 3', 'call')} FROM xc WHERE rp >= 3 AND rp < n - 2 GROUP BY 1, 2, 3")
 def extract_calls_se(spark, d):
     c = A.extract_calls(D.alignments(spark, d), 3, 2)
-    return c.groupBy("id", "ctx", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("methylated").cast("long")).alias("m"), F.sum("pos").alias("pos_sum"), F.sum("read_pos").cast("long").alias("read_pos_sum"))
+    return c.groupBy("id", "ctx", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("methylated").cast("long")).alias("m"), F.sum("pos").alias("pos_sum"), F.sum("read_pos").cast("long").alias("read_pos_sum"), _digest("pos", "read_pos", "call"))
 
 
 @query(
