@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from methylake.operators.genome import HALO
+
 #: The order in which extensions of genome files are tried, and the genome file that is always skipped.
 GENOME_TIERS = (".fa", ".fa.gz", ".fasta", ".fasta.gz")
 SKIPPED_GENOME = "Mus_musculus.NCBIM37.fa"
 
+#: Bases of a stretch of a genome, a multiple of a tile.
+STRETCH = 1 << 16
+
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, block, id, value): lines without their ends; id ascends within a block, the offset of an input split."""
@@ -63,11 +68,11 @@ def genome_files(spark: SparkSession, folder: str) -> list[str]:
     return [f"{folder.rstrip('/')}/{n}" for n in sorted(found, key=str.lower) if n != SKIPPED_GENOME]
 
 
-def genome(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(chr, seq) of FASTA files: names end at white space, bases in upper case; a name twice raises.
+def _genome_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, block, id, chr, name, seq): FASTA lines with their chromosome; name on header lines, seq on others, upper case.
 
-    A line's sequence is the last header above it: within its split by a window over the split, else the last header
-    of an earlier split, so no window spans a file. One row holds one chromosome, whose size nature bounds.
+    A line's chromosome is the last header above it: within its split by a window over the split, else the last header
+    of an earlier split, so no window spans a file.
     """
     name = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S*)", 1))
     rows = lines(spark, path).withColumn("name", name)
@@ -76,10 +81,60 @@ def genome(spark: SparkSession, path: str | list[str]) -> DataFrame:
     carried = F.last("newest", True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("file", "block", carried.alias("carried"))
     rows = rows.withColumn("chr", F.last("name", True).over(here)).join(blocks, ["file", "block"]).withColumn("chr", F.coalesce("chr", "carried")).where("chr is not null")
-    piece = F.when(F.col("name").isNull(), F.struct("file", "block", "id", F.upper(F.trim("value")).alias("seq")))
-    out = rows.groupBy("chr").agg(F.count("name").alias("n"), F.array_sort(F.collect_list(piece)).alias("p"))
+    return rows.select("file", "block", "id", "chr", "name", F.when(F.col("name").isNull(), F.upper(F.trim("value"))).alias("seq"))
+
+
+def _once(out, count: str = "n"):
+    """out, for a chromosome with one header; another one raises."""
     twice = F.raise_error(F.concat(F.lit("chromosome name used twice: "), F.col("chr")))
-    return out.select("chr", F.when(F.col("n") > 1, twice).otherwise(F.array_join(F.col("p.seq"), "")).alias("seq"))
+    return F.when(F.col(count) > 1, twice).otherwise(out)
+
+
+def genome(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(chr, seq) of FASTA files, for genomes of short chromosomes: names end at white space, bases in upper case; a name
+    twice raises. One row holds one chromosome; genome_stretches() has no such row."""
+    rows = _genome_lines(spark, path)
+    piece = F.when(F.col("seq").isNotNull(), F.struct("file", "block", "id", "seq"))
+    out = rows.groupBy("chr").agg(F.count("name").alias("n"), F.array_sort(F.collect_list(piece)).alias("p"))
+    return out.select("chr", _once(F.array_join(F.col("p.seq"), "")).alias("seq"))
+
+
+def genome_stretches(spark: SparkSession, path: str | list[str], size: int = STRETCH) -> DataFrame:
+    """(chr, chr_len, start, left, seq, right, tail) of FASTA files: stretches of size bases of each chromosome with HALO
+    bases of both sides, as operators.genome takes them; empty chromosomes have none, a name twice raises.
+
+    A line's place in its chromosome is a sum within its split and one over the chromosome's few splits. Lines are dealt
+    by (chromosome, stretch), so no task and no row holds a chromosome.
+    """
+    rows = _genome_lines(spark, path)
+    n = F.coalesce(F.length("seq"), F.lit(0)).cast("long")
+    here = Window.partitionBy("file", "block", "chr").orderBy("id")
+    rows = rows.withColumns({
+        "n": n, "before": F.coalesce(F.sum(n).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "two": F.when(n > 0, F.right(F.concat(F.coalesce(F.last(F.when(n > 0, F.col("seq")), True).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit("")), "seq"), F.lit(2))),
+    })
+    blocks = rows.groupBy("file", "block", "chr").agg(F.sum("n").alias("sum"), F.count("name").alias("headers"), F.max_by("two", F.when(F.col("n") > 0, F.col("id"))).alias("two"))
+    order = Window.partitionBy("chr").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = blocks.select("file", "block", "chr", F.coalesce(F.sum("sum").over(order), F.lit(0)).alias("shift"))
+    parts = F.array_sort(F.collect_list(F.struct("file", "block", F.coalesce("two", F.lit("")).alias("two"))))
+    whole = blocks.groupBy("chr").agg(F.sum("sum").alias("chr_len"), F.sum("headers").alias("headers"), F.right(F.array_join(parts["two"], ""), F.lit(2)).alias("tail"))
+
+    at = rows.where("n > 0").join(shifts, ["file", "block", "chr"]).select("chr", (F.col("shift") + F.col("before")).alias("at"), "seq", "n")
+    first, last = F.floor(F.greatest(F.col("at") - HALO, F.lit(0)) / size), F.floor((F.col("at") + F.col("n") - 1 + HALO) / size)
+    at = at.withColumn("stretch", F.explode(F.sequence(first, last)))
+    # of a long line only the part that a stretch needs
+    begin = F.greatest(F.col("at"), F.col("stretch") * size - HALO)
+    end = F.least(F.col("at") + F.col("n"), (F.col("stretch") + 1) * size + HALO)
+    at = at.select("chr", "stretch", F.struct(begin.alias("at"), F.substring("seq", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("seq")).alias("p"))
+    at = at.groupBy("chr", "stretch").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    start = F.col("stretch") * size
+    pad = (start - F.col("p")[0]["at"]).cast("int")
+    at = at.select("chr", start.alias("start"), pad.alias("pad"), F.array_join("p.seq", "").alias("text")).where(F.length("text") > F.col("pad"))
+    out = at.join(whole, "chr")
+    return out.select(
+        "chr", _once(F.col("chr_len"), "headers").alias("chr_len"), "start", F.substring("text", F.lit(1), F.col("pad")).alias("left"), F.substring("text", F.col("pad") + 1, F.lit(size)).alias("seq"),
+        F.substring("text", F.col("pad") + size + 1, F.lit(HALO)).alias("right"), "tail",
+    )
 
 
 def _tag(name: str, kind: str = "Z"):

@@ -4,6 +4,7 @@ import gzip
 
 import pytest
 
+from methylake.operators import genome
 from methylake.sources import sinks, text
 
 
@@ -58,6 +59,26 @@ def test_genome(spark, tmp_path, small_splits):
         text.genome(spark, put(tmp_path / "d.txt", ">x\nA\n>x\nC\n")).collect()
 
 
+def test_genome_stretches(spark, tmp_path, small_splits):
+    seqs = {"one": "ACGTNCCGGATCGCAGCTTAGCAC" * 40, "two": "GCATGCCGT" * 9 + "C", "tiny": "G", "three": "AC"}
+    body = ">one x\n" + "\n".join(seqs["one"][i : i + 7].lower() for i in range(0, len(seqs["one"]), 7)) + "\n>two\n\n" + seqs["two"] + "\n>empty\n>tiny\nG\n>three\nA\nC\n"
+    p = put(tmp_path / "g.fa", body)
+    whole = spark.createDataFrame(list(seqs.items()), "chr string, seq string")
+    for size in (64, 128, 4096):
+        rows = text.genome_stretches(spark, p, size)
+        got = rows.orderBy("chr", "start").collect()
+        assert {r.chr: (r.chr_len, r.tail) for r in got} == {c: (len(s), s[-2:]) for c, s in seqs.items()}
+        for r in got:
+            s = seqs[r.chr]
+            assert (r.left, r.seq, r.right) == (s[max(r.start - 6, 0) : r.start], s[r.start : r.start + size], s[r.start + size : r.start + size + 6])
+        assert sorted(genome.cytosine_positions(rows, ffs=True).collect()) == sorted(genome.cytosine_positions(whole, ffs=True).collect())
+        assert sorted(genome.drach_sites(rows).collect()) == sorted(genome.drach_sites(whole).collect())
+        assert sorted(genome.composition(rows).collect()) == sorted(genome.composition(whole).collect())
+        assert sorted(genome.chromosomes(rows).collect()) == sorted(genome.chromosomes(whole).collect())
+    with pytest.raises(Exception, match="twice"):
+        text.genome_stretches(spark, put(tmp_path / "d.txt", ">x\nA\n>x\nC\n")).collect()
+
+
 SAM = "@HD\tVN:1.0\n@PG\tID:Aligner\tCL:run -1 a -2 b\n" + "r1\t99\tchr1\t10\t42\t4M\t=\t20\t14\tACGT\tIIII\tNM:i:1\tXM:Z:.Z..\tXR:Z:CT\tXG:Z:CT\n" + "r2\t4\t*\t0\t0\t*\t*\t0\t0\tA\tI\n"
 
 
