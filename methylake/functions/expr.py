@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -227,9 +229,47 @@ def _lean(x: Column, down: Column, digits: int, lower: Column, upper: Column) ->
     return F.when(left > right, upper).otherwise(lower)
 
 
+def fixed_text(x: Column, digits: int) -> Column:
+    """A double of up to 100 as C's %.Nf prints it; null stays null."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", exact_round(x, digits)))
+
+
+#: Decimal exponents of the percentages that g15_text prints: from 100 down to what a depth of 10**8 gives.
+_DECADES = range(2, -7, -1)
+
+
+def g15_text(x: Column) -> Column:
+    """A double from 0 to 100, and 0 or 1e-6 at least, as C's %.15g prints it: 15 significant digits, rounded on the exact
+    binary value, without trailing zeros, with an exponent below 0.0001."""
+    out = F.when(x == 0, "0")
+    for e in _DECADES:
+        out = out.when(x >= 10.0**e, _g15(x, e))
+    return out.otherwise(F.raise_error(F.concat(F.lit("not a percentage: "), x.cast("string"))))
+
+
+def _g15(x: Column, e: int) -> Column:
+    """g15_text where 10**e <= x < 10**(e + 1). x * 2**s is a whole number, so x * 10**n rounds exactly."""
+    n = 14 - e
+    s = 52 - math.floor(math.log2(10.0**e))
+    down = F.floor(x * F.lit(10.0**n)).cast("long") - 1  # the product may lie a little above or below
+    exact = (x * F.lit(2.0**s)).cast("decimal(20,0)") * F.lit(str(10**n)).cast("decimal(22,0)") * F.lit(2).cast("decimal(1,0)")
+    middle = lambda k: (F.lit(2).cast("decimal(1,0)") * (down + k).cast("decimal(17,0)") + 1) * F.lit(str(2**s)).cast("decimal(22,0)")
+    # each middle between whole numbers that x lies above, or on it above an odd one, moves it up by one
+    steps = sum((F.when((exact > middle(k)) | ((exact == middle(k)) & ((down + k) % 2 != 0)), 1).otherwise(0) for k in range(3)), F.lit(0))
+    digits = down + steps
+    if e < -4:
+        whole, rest = F.floor(digits / 10**14).cast("string"), F.lpad((digits % 10**14).cast("string"), 14, "0")
+        tail = F.lit(f"e-{-e:02d}")
+    else:
+        whole, rest = F.floor(digits.cast("decimal(20,0)") / F.lit(str(10**n)).cast("decimal(19,0)")).cast("string") if n > 0 else digits.cast("string"), F.lpad((digits % 10**n).cast("string"), n, "0")
+        tail = F.lit("")
+    # digits that round up to a further one are the next power of ten
+    return F.when(digits == 10**15, f"{10.0 ** (e + 1):.15g}").otherwise(F.concat(F.regexp_replace(F.concat(whole, F.lit("."), rest), "\\.?0+$", ""), tail))
+
+
 def sam_flag(inst: Column) -> Column:
-    """FLAG of a single-end read by its strand and conversion index."""
-    return F.when(inst.isin(0, 3), 0).when(inst.isin(1, 2), 16)
+    """FLAG of a single-end read by its instance: 16 where its conversion and its strand differ."""
+    return F.when(inst.isin(0, 2), 0).when(inst.isin(1, 3), 16)
 
 
 # FLAGs of mate 1 and mate 2 by paired-end index.

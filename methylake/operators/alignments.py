@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from methylake.functions.expr import aligned_blocks, cigar_ops, exact_round, forward, mapq, occurrences, percent, read_span, ref_span, strand, trimmed_span
+from methylake.functions.expr import aligned_blocks, cigar_ops, exact_round, fixed_text, forward, mapq, occurrences, percent, read_span, ref_span, strand, trimmed_span
 
 # Contexts of the call letters.
 CONTEXTS = {"z": "CpG", "x": "CHG", "h": "CHH"}
@@ -100,9 +100,50 @@ def position_key(df: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(df: DataFrame, *key: str, order: tuple[str, ...] = ("file_ord", "ord")) -> DataFrame:
-    """df with duplicate: not the first row of its key in file order. A key's rows are ranked by a unique order, so the
-    result does not hang on partitioning."""
-    return df.withColumn("duplicate", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) > 1)
+    """df with duplicate: not the first row of its key in the order of unique columns. The first ones are found with sums
+    in each task before the shuffle, and the rows of a crowded key may be dealt to several tasks in the join back."""
+    first = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key))).agg(F.min(F.struct(*order)).alias("_first"))
+    on = [df[k].eqNullSafe(first[f"_k{i}"]) for i, k in enumerate(key)]
+    return df.join(first, on).select(*(df[c] for c in df.columns), (F.struct(*(df[c] for c in order)) > F.col("_first")).alias("duplicate"))
+
+
+def with_umi(df: DataFrame, umi) -> DataFrame:
+    """df with umi; a read without one is an error, as no read may be taken for a copy of another without a UMI."""
+    missing = F.raise_error(F.concat(F.lit("no UMI in the name of "), F.col("qname")))
+    return df.withColumn("umi", F.coalesce(umi, missing))
+
+
+def pair_mates(df: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """(file_ord, pair_id, r1, r2) of records (file_ord, ord, qname, ...) that follow each other in their file, mate 1 being
+    the first of two whatever its flag. Names that differ, or a last record without a mate, are errors. ord is unique and
+    ascends in a file but may have gaps, so records are counted in ranges of ord, no file being sorted as a whole."""
+    part = F.floor(F.col("ord") / size)
+    ranges = df.groupBy("file_ord", part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_ord").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("file_ord", "_part", before.alias("_before"))
+    at = df.select("file_ord", part.alias("_part"), "ord", F.struct(*df.columns).alias("r")).join(ranges, ["file_ord", "_part"])
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("file_ord", "_part").orderBy("ord")) - 1
+    at = at.select("file_ord", F.floor(place / 2).alias("pair_id"), (place % 2).alias("m"), "r")
+    pairs = at.groupBy("file_ord", "pair_id").agg(*(F.max_by("r", F.when(F.col("m") == i, 1)).alias(f"r{i + 1}") for i in (0, 1)))
+    alone, apart = (F.raise_error(F.concat(F.lit(t), F.col("r1.qname"))).cast("boolean") for t in ("no mate follows ", "the mate of another name follows "))
+    return pairs.where(F.when(F.col("r2").isNull(), alone).when(F.col("r1.qname") != F.col("r2.qname"), apart).otherwise(F.lit(True)))
+
+
+def pair_key(pairs: DataFrame) -> DataFrame:
+    """Pairs (file_ord, pair_id, r1, r2), mates with chr, pos, cigar, xr and xg, with strand (mate 1's), chr, start and end:
+    from mate 1's start to mate 2's reference end on a forward strand, else from mate 2's start to mate 1's end."""
+    s = strand(F.col("r1.xr"), F.col("r1.xg"))
+    ends = [F.col(f"r{i}.pos") + ref_span(cigar_ops(F.col(f"r{i}.cigar"))) - 1 for i in (1, 2)]
+    ahead = forward(F.col("strand"))
+    out = pairs.withColumns({"strand": s, "chr": F.col("r1.chr")})
+    return out.withColumns({"start": F.when(ahead, F.col("r1.pos")).otherwise(F.col("r2.pos")), "end": F.when(ahead, ends[1]).otherwise(ends[0])})
+
+
+def same_dictionary(a: list[str], b: list[str]) -> None:
+    """Raises unless two files have the same chromosomes, in whatever order: files are only deduplicated together then."""
+    missing, extra = sorted(set(a) - set(b)), sorted(set(b) - set(a))
+    if missing or extra:
+        raise ValueError(f"chromosomes differ: missing {missing}, extra {extra}")
 
 
 def duplicate_counts(marked: DataFrame, *key: str) -> DataFrame:
@@ -130,9 +171,22 @@ def unconverted_share(xm, cutoff: int, least: int = 5):
     return (total >= least) & F.coalesce(exact_round(m.cast("double") / F.when(total > 0, total).cast("double") * 100, 1) >= cutoff, F.lit(False))
 
 
+def filter_single(df: DataFrame, fails) -> DataFrame:
+    """df with removed: whether a read fails; one without a call string is kept."""
+    return df.withColumn("removed", F.coalesce(fails, F.lit(False)))
+
+
 def filter_pairs(df: DataFrame, fails, key: str = "pair_id") -> DataFrame:
-    """df (one row a mate) with removed: any mate of the pair fails."""
-    return df.withColumn("removed", F.bool_or(fails).over(Window.partitionBy(key)))
+    """df (one row a mate, with xm) with removed: any mate of the pair fails. A mate without a call string is an error."""
+    bad = F.raise_error(F.concat(F.lit("no call string in pair "), F.col(key).cast("string"))).cast("boolean")
+    return df.withColumn("removed", F.bool_or(F.when(F.col("xm").isNull(), bad).otherwise(fails)).over(Window.partitionBy(key)))
+
+
+def filter_report(filtered: DataFrame) -> DataFrame:
+    """(total, removed, pct) of rows with removed: pct is a text with one decimal, N/A without rows."""
+    n, m = F.count(F.lit(1)), F.count_if("removed")
+    out = filtered.agg(n.alias("total"), m.alias("removed"))
+    return out.withColumn("pct", F.coalesce(fixed_text(percent(F.col("removed"), F.col("total") - F.col("removed")), 1), F.lit("N/A")))
 
 
 def consistency(df: DataFrame, chh: bool = False, least: int = 5, lower: int = 10, upper: int = 90) -> DataFrame:
@@ -283,11 +337,11 @@ def template_length(start1, end1, start2, end2, flag1=None, dovetail: bool = Fal
 
 def verdict(pile: DataFrame, least: int = 2, share: float = 0.6) -> DataFrame:
     """pile (own_c, own_t, opp_c, opp_t) with verdict: undetermined under least opposite bases, variant from the share on,
-    else methylation; methylation counts (m, total) are the own strand's, and nothing for a variant."""
+    else methylation; methylation counts (m, total) are the own strand's, but nothing for a variant."""
     depth = F.col("opp_c") + F.col("opp_t")
     v = F.when(depth < least, "undetermined").when(F.col("opp_t").cast("double") / F.when(depth > 0, depth).cast("double") >= share, "variant").otherwise("methylation")
     out = pile.withColumn("verdict", v)
-    counted = F.col("verdict") == "methylation"
+    counted = F.col("verdict") != "variant"
     return out.withColumns({"m": F.when(counted, F.col("own_t")).otherwise(0).cast("long"), "total": F.when(counted, F.col("own_c") + F.col("own_t")).otherwise(0).cast("long")})
 
 

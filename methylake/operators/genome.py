@@ -142,19 +142,23 @@ def converted(genome: DataFrame, slam: bool = False) -> DataFrame:
     return copies[0].unionByName(copies[1])
 
 
-def composition(genome: DataFrame) -> DataFrame:
-    """(word, n) of bases other than N and of overlapping pairs without N, of those that occur. Words are counted in
-    whole stretches, without a row for a base: an equal pair XX as often as there are X less the runs of X."""
-    rows = stretches(genome).select("seq", F.concat("seq", F.left("right", F.lit(1))).alias("text"))
-    pairs = [a + b for a in "ACGT" for b in "ACGT"]
-    # a run that goes on into the next stretch has its next base in text
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n) of the bases other than N of seq and of the overlapping pairs without N that begin in it, right following
+    it; words that don't occur are left out. Words are counted in whole texts, without a row for a base: an equal pair XX
+    as often as there are X less the runs of X."""
+    rows = rows.select("seq", F.concat("seq", F.left("right", F.lit(1))).alias("text"))
     runs = lambda x: occurrences(F.col("text"), x) - F.regexp_count("text", F.lit(f"{x}+"))
     n = {x: occurrences(F.col("seq"), x) for x in "ACGT"}
-    n |= {p: runs(p[0]) if p[0] == p[1] else (F.length("text") - F.length(F.replace("text", F.lit(p), F.lit("")))) / 2 for p in pairs}
+    n |= {a + b: runs(a) if a == b else (F.length("text") - F.length(F.replace("text", F.lit(a + b), F.lit("")))) / 2 for a in "ACGT" for b in "ACGT"}
     sums = rows.agg(*(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(w) for w, c in n.items()))
     return sums.select(F.inline(F.array(*(F.struct(F.lit(w).alias("word"), F.col(w).alias("n")) for w in n)))).where("n > 0")
 
 
+def composition(genome: DataFrame) -> DataFrame:
+    """(word, n) of a genome's bases other than N and of overlapping pairs without N, of those that occur."""
+    return word_counts(stretches(genome))
+
+
 # The order of words in the composition report.
 WORDS = ("A", "C", "G", "T", "AA", "AC", "AG", "AT", "CA", "CC", "CG", "CT", "GA", "GC", "GG", "GT", "TA", "TC", "TG", "TT")
 

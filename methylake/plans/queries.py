@@ -396,7 +396,7 @@ def skip_upto(spark, d):
     return A.skip_upto(D.reads(spark, d), 10, 5000).select("id", "ord")
 
 
-@query(f"WITH {SQL['reads']} SELECT id, CASE WHEN inst IN (0, 3) THEN 0 ELSE 16 END AS flag, CASE inst WHEN 0 THEN 99 WHEN 1 THEN 163 WHEN 2 THEN 147 ELSE 83 END AS flag1, CASE inst WHEN 0 THEN 147 WHEN 1 THEN 83 WHEN 2 THEN 99 ELSE 163 END AS flag2 FROM reads")
+@query(f"WITH {SQL['reads']} SELECT id, CASE WHEN inst IN (0, 2) THEN 0 ELSE 16 END AS flag, CASE inst WHEN 0 THEN 99 WHEN 1 THEN 163 WHEN 2 THEN 147 ELSE 83 END AS flag1, CASE inst WHEN 0 THEN 147 WHEN 1 THEN 83 WHEN 2 THEN 99 ELSE 163 END AS flag2 FROM reads")
 def sam_flag(spark, d):
     one, two = X.pair_flags(F.col("inst"))
     return D.reads(spark, d).select("id", X.sam_flag(F.col("inst")).alias("flag"), one.alias("flag1"), two.alias("flag2"))
@@ -544,7 +544,7 @@ def slam_call(spark, d):
     """WITH p AS (SELECT l_suppkey AS site, l_partkey % 50 AS bin, CAST(count(*) FILTER (l_returnflag = 'A' AND l_discount >= 0.05) AS BIGINT) AS own_c, CAST(count(*) FILTER (l_returnflag = 'A' AND l_discount < 0.05) AS BIGINT) AS own_t,
   CAST(count(*) FILTER (l_returnflag <> 'A' AND l_discount >= 0.05) AS BIGINT) AS opp_c, CAST(count(*) FILTER (l_returnflag <> 'A' AND l_discount < 0.05) AS BIGINT) AS opp_t FROM lineitem GROUP BY 1, 2),
   v AS (SELECT *, CASE WHEN opp_c + opp_t < 2 THEN 'undetermined' WHEN CAST(opp_t AS DOUBLE) / CAST(opp_c + opp_t AS DOUBLE) >= 0.6 THEN 'variant' ELSE 'methylation' END AS verdict FROM p)
-  SELECT site, bin, verdict, CASE WHEN verdict = 'methylation' THEN own_t ELSE 0 END AS m, CASE WHEN verdict = 'methylation' THEN own_c + own_t ELSE 0 END AS total FROM v"""
+  SELECT site, bin, verdict, CASE WHEN verdict <> 'variant' THEN own_t ELSE 0 END AS m, CASE WHEN verdict <> 'variant' THEN own_c + own_t ELSE 0 END AS total FROM v"""
 )
 def pileup_verdict(spark, d):
     own, c = F.col("l_returnflag") == "A", F.col("l_discount") >= 0.05
