@@ -281,6 +281,30 @@ def best_pair(records: DataFrame, mate1_second: bool = True) -> DataFrame:
     return _choice(rows, "chr", "low", "high")
 
 
+def _combined(records: DataFrame) -> DataFrame:
+    """The choice of best_combined among records (read_id, inst, locus, score, rank): of a locus's instances the one with
+    the largest rank wins."""
+    r = records.withColumn("top", F.max("score").over(Window.partitionBy("read_id")))
+    best = F.col("score") == F.col("top")
+    valid = best & F.col("inst").isNotNull()
+    d = r.groupBy("read_id").agg(
+        F.max("top").alias("score"), F.count_if(best).alias("n"), F.coalesce(F.bool_or(best & F.col("inst").isNull()), F.lit(False)).alias("odd"), F.count_if(valid).alias("good"),
+        F.min(F.when(valid, F.col("locus"))).alias("l1"), F.max(F.when(valid, F.col("locus"))).alias("l2"), F.max_by("inst", F.when(valid, F.col("rank"))).alias("inst"), F.max(F.when(F.col("score") < F.col("top"), F.col("score"))).alias("next"),
+    )
+    decision = F.when(F.col("good") == 0, "none").when(F.col("odd") | (F.col("l1") != F.col("l2")), "ambiguous").otherwise("unique")
+    unique = F.col("decision") == "unique"
+    second = F.when(F.col("n") > 1, F.col("score")).otherwise(F.col("next"))
+    d = d.withColumn("decision", decision)
+    return d.select("read_id", "decision", *(F.when(unique, c).alias(a) for c, a in ((F.col("inst"), "inst"), (F.col("score"), "score"), (second, "second"))), (F.col("odd") & (F.col("good") == 0)).alias("spurious"))
+
+
+def _converted_chromosome(rname, mapped):
+    """(chromosome, conversion) of a converted chromosome's name; another name of a mapped line raises."""
+    genome = F.regexp_extract(rname, "_(CT|GA)_converted$", 1)
+    bad = F.raise_error(F.concat(F.lit("not a converted chromosome: "), rname))
+    return F.regexp_replace(rname, "_(CT|GA)_converted$", ""), F.when(mapped & (genome == ""), bad).otherwise(genome)
+
+
 def best_combined(records: DataFrame) -> DataFrame:
     """(read_id, decision, inst, score, second, spurious) from lines against one genome of both conversions:
     (read_id, conv of the read, flag, rname, pos, as_i).
@@ -291,24 +315,55 @@ def best_combined(records: DataFrame) -> DataFrame:
     lines only keep their read. A read's lines meet in one shuffle.
     """
     reverse, ct = F.col("flag").bitwiseAND(16) > 0, F.col("conv") == "CT"
-    genome = F.regexp_extract("rname", "_(CT|GA)_converted$", 1)
     mapped = F.col("flag").bitwiseAND(4) == 0
+    chrom, genome = _converted_chromosome(F.col("rname"), mapped)
     inst = F.when(genome == "CT", F.when(ct & ~reverse, 0).when(~ct & reverse, 2)).when(genome == "GA", F.when(ct & reverse, 1).when(~ct & ~reverse, 3))
-    inst = F.when(mapped & (genome == ""), F.raise_error(F.concat(F.lit("not a converted chromosome: "), "rname")).cast("int")).otherwise(inst)
-    r = records.select("read_id", inst.alias("inst"), F.struct("rname", "pos").alias("line"), F.when(mapped, F.col("as_i")).alias("score"), genome.alias("genome"))
-    r = r.withColumn("locus", F.struct(F.regexp_replace("line.rname", "_(CT|GA)_converted$", "").alias("chr"), F.col("line.pos").alias("pos")))
-    r = r.withColumn("top", F.max("score").over(Window.partitionBy("read_id")))
-    best = F.col("score") == F.col("top")
-    valid = best & F.col("inst").isNotNull()
-    d = r.groupBy("read_id").agg(
-        F.max("top").alias("score"), F.count_if(best).alias("n"), F.coalesce(F.bool_or(best & F.col("inst").isNull()), F.lit(False)).alias("odd"), F.count_if(valid).alias("good"),
-        F.min(F.when(valid, F.col("locus"))).alias("l1"), F.max(F.when(valid, F.col("locus"))).alias("l2"), F.max(F.when(valid, F.col("inst"))).alias("inst"), F.max(F.when(F.col("score") < F.col("top"), F.col("score"))).alias("next"),
-    )
-    decision = F.when(F.col("good") == 0, "none").when(F.col("odd") | (F.col("l1") != F.col("l2")), "ambiguous").otherwise("unique")
-    unique = F.col("decision") == "unique"
-    second = F.when(F.col("n") > 1, F.col("score")).otherwise(F.col("next"))
-    d = d.withColumn("decision", decision)
-    return d.select("read_id", "decision", *(F.when(unique, c).alias(a) for c, a in ((F.col("inst"), "inst"), (F.col("score"), "score"), (second, "second"))), (F.col("odd") & (F.col("good") == 0)).alias("spurious"))
+    return _combined(records.select("read_id", inst.alias("inst"), inst.alias("rank"), F.when(mapped, F.col("as_i")).alias("score"), F.struct(chrom.alias("chr"), "pos").alias("locus")))
+
+
+def best_combined_pair(records: DataFrame) -> DataFrame:
+    """As best_combined, for pairs of lines (read_id, conv of mate 1, flag1, flag2, rname1, rname2, pos1, pos2, as1, as2),
+    the score being the mates' sum and the instance that of a pair. A pair of two unmapped lines only keeps its read;
+    a best pair without a score or with mates on two chromosomes is an error. Of a locus's instances the last in
+    PAIR_SCAN wins."""
+    reverse, ct = F.col("flag1").bitwiseAND(16) > 0, F.col("conv") == "CT"
+    mapped = (F.col("flag1").bitwiseAND(4) == 0) | (F.col("flag2").bitwiseAND(4) == 0)
+    chrom, genome = _converted_chromosome(F.col("rname1"), mapped)
+    other = F.regexp_replace("rname2", "_(CT|GA)_converted$", "")
+    inst = F.when(genome == "CT", F.when(ct & ~reverse, 0).when(~ct & reverse, 2)).when(genome == "GA", F.when(ct & reverse, 3).when(~ct & ~reverse, 1))
+    rank = F.array_position(F.array(*(F.lit(i) for i in PAIR_SCAN)), inst)
+    lacks, apart = (F.raise_error(F.concat(F.lit(t), F.col("read_id").cast("string"))) for t in ("no score of pair ", "mates on two chromosomes: "))
+    score = F.when(mapped, F.when(F.col("as1").isNull() | F.col("as2").isNull(), lacks.cast("int")).otherwise(F.col("as1") + F.col("as2")))
+    locus = F.struct(F.when(mapped & (chrom != other), apart).otherwise(chrom).alias("chr"), "pos1", "pos2")
+    return _combined(records.select("read_id", inst.alias("inst"), rank.alias("rank"), score.alias("score"), locus.alias("locus")))
+
+
+def with_all_reads(decisions: DataFrame, reads: DataFrame) -> DataFrame:
+    """decisions with a row of none for each of reads (read_id) that no instance has a record of."""
+    return reads.select("read_id").join(decisions, "read_id", "left").withColumn("decision", F.coalesce("decision", F.lit("none")))
+
+
+def first_ambiguous(records: DataFrame) -> DataFrame:
+    """(read_id, inst) of the first record with the best score of reads that are ambiguous within an instance: (read_id,
+    inst, as_i, xs_i); of other reads there is none."""
+    r = records.withColumn("top", F.max("as_i").over(Window.partitionBy("read_id"))).where(F.col("as_i") == F.col("top"))
+    out = r.groupBy("read_id").agg(F.min("inst").alias("inst"), F.coalesce(F.bool_or(F.col("xs_i") == F.col("as_i")), F.lit(False)).alias("amb"))
+    return out.where("amb").select("read_id", "inst")
+
+
+def unaligned_reads(decisions: DataFrame, reads: DataFrame, ambiguous: bool) -> DataFrame:
+    """The reads (read_id, ...) of the decision ambiguous, or else of none."""
+    return reads.join(decisions.where(F.col("decision") == ("ambiguous" if ambiguous else "none")).select("read_id"), "read_id", "left_semi")
+
+
+def contiguous(df: DataFrame, *key: str, file: str = "file_ord", order: str = "ord") -> DataFrame:
+    """df with group: the number, within a file and key, of the run of neighbouring rows that a row is in; a key that
+    comes again after another is a new run. order is dense in a file. A row meets the one before it in an equi-join,
+    and only rows of one key are ever sorted together."""
+    before = df.select(F.col(file).alias("_file"), (F.col(order) + 1).alias("_next"), F.lit(True).alias("_same"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)))
+    on = [df[file] == before["_file"], df[order] == before["_next"], *(df[k].eqNullSafe(before[f"_k{i}"]) for i, k in enumerate(key))]
+    at = df.join(before, on, "left").select(*(df[c] for c in df.columns), F.col("_same").isNull().cast("long").alias("_begins"))
+    return at.withColumn("group", F.sum("_begins").over(Window.partitionBy(file, *key).orderBy(order))).drop("_begins")
 
 
 def run_counters(decisions: DataFrame) -> DataFrame:
@@ -316,6 +371,17 @@ def run_counters(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
+def call_totals(calls) -> list:
+    """Sums of a column of call strings, by letter: methylated and unmethylated z, x, h and u."""
+    names = {"Z": "meth_cpg", "z": "unmeth_cpg", "X": "meth_chg", "x": "unmeth_chg", "H": "meth_chh", "h": "unmeth_chh", "U": "meth_unknown", "u": "unmeth_unknown"}
+    return [F.coalesce(F.sum(occurrences(calls, letter).cast("long")), F.lit(0)).alias(n) for letter, n in names.items()]
+
+
+def alignment_counters(windows: DataFrame) -> DataFrame:
+    """(inst, extracted, discarded) of windows.call_windows() rows: reads past both edge guards, and those without."""
+    return windows.groupBy("inst").agg(F.count_if("extracted").alias("extracted"), F.count_if(~F.col("extracted")).alias("discarded"))
+
+
 def with_mapq(df: DataFrame, **options) -> DataFrame:
     return df.withColumn("mapq", mapq(F.col("length"), F.col("score"), F.col("second"), **options))
 

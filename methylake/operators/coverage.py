@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from methylake.functions.expr import exact_round, percent, ucsc_name
+from methylake.functions.expr import exact_round, percent, plain_name, ucsc_name
 from methylake.operators.genome import as_cytosines, as_drach, as_gpc, at_positions, bases, chromosomes, tile_of, tiles
 
 
@@ -27,10 +27,19 @@ def bedgraph(cov: DataFrame, ucsc: bool = False) -> DataFrame:
     return cov.select((ucsc_name(F.col("chr")) if ucsc else F.col("chr")).alias("chr"), (F.col("pos") - 1).alias("start0"), F.col("pos").alias("end"), "pct")
 
 
-def ordered(cov: DataFrame) -> DataFrame:
-    """cov with order_key and in its file order: chromosomes by the bytes of their temporary file's name, then position."""
-    key = F.concat(F.lit("chr"), F.translate("chr", "|/", "__"), F.lit(".methXtractor.temp"))
-    return cov.withColumn("order_key", key).orderBy(F.col("order_key").cast("binary"), "pos")
+# Fixed value: the end of the names of the temporary files whose order is the order of chromosomes.
+TEMPORARY = ".methXtractor.temp"
+
+
+def ordered(cov: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """cov with order_key and in its file order: chromosomes by the bytes of their temporary file's name, then position.
+    owners: (chr, file), whose file names begin those names."""
+    if owners is not None:
+        cov = cov.join(owners.select("chr", F.col("file").alias("_owner")), "chr", "left")
+    owner = F.concat(F.coalesce("_owner", F.lit("")), F.lit(".chr")) if owners is not None else F.lit("chr")
+    key = F.concat(owner, F.translate("chr", "|/", "__"), F.lit(TEMPORARY))
+    cov = cov.withColumn("order_key", key).drop("_owner")
+    return cov.orderBy(F.col("order_key").cast("binary"), "pos")
 
 
 def merge_samples(samples: list[DataFrame]) -> DataFrame:
@@ -155,6 +164,51 @@ def concordance(a: DataFrame, b: DataFrame, least: int = 1) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_diff"), F.avg(((F.col("x") >= 50) == (F.col("y") >= 50)).cast("double")).alias("agreement"))
 
 
+def concordance_detail(a: DataFrame, b: DataFrame, least: tuple[int, ...] = (1, 5, 10)) -> tuple[DataFrame, DataFrame]:
+    """Two reports (chr, pos, strand, m, u), compared where both cover a position `least` times or more:
+    (cov, n, pearson, weighted, mean_abs_diff, agreement) and (cov, bin_a, bin_b, n) of bins of 20 %.
+
+    Names of chromosomes count without a leading chr; weights are the smaller coverage; agreement is in percent. Moments
+    are summed around 50 %, in one pass, so few digits are lost; a correlation without variance is NaN."""
+    side = lambda t, x, c: t.where("m + u > 0").select(plain_name(F.col("chr")).alias("chr"), "pos", "strand", (F.lit(100.0) * F.col("m") / (F.col("m") + F.col("u"))).alias(x), (F.col("m") + F.col("u")).alias(c))
+    both = side(a, "x", "cx").join(side(b, "y", "cy"), ["chr", "pos", "strand"]).withColumn("w", F.least("cx", "cy"))
+    both = both.withColumn("cov", F.explode(F.filter(F.array(*(F.lit(t) for t in least)), lambda t: F.col("w") >= t)))
+    x, y, w = F.col("x") - 50, F.col("y") - 50, F.col("w").cast("double")
+
+    def r(weight):
+        s = {k: F.sum(weight * v) for k, v in {"1": F.lit(1.0), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}.items()}
+        return (s["xy"] - s["x"] * s["y"] / s["1"]) / F.sqrt(F.greatest((s["xx"] - s["x"] * s["x"] / s["1"]) * (s["yy"] - s["y"] * s["y"] / s["1"]), F.lit(0.0)))
+
+    rows = F.count(F.lit(1))
+    safe = lambda c: F.coalesce(F.when(F.min("x") == F.max("x"), None).when(F.min("y") == F.max("y"), None).otherwise(c), F.lit(float("nan")))
+    table = both.groupBy("cov").agg(rows.alias("n"), safe(r(F.lit(1.0))).alias("pearson"), safe(r(w)).alias("weighted"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_diff"), (100.0 * F.count_if((F.col("x") >= 50) == (F.col("y") >= 50)) / rows).alias("agreement"))
+    bins = [F.least(F.lit(4), F.floor(F.col(c) / 20)).cast("int").alias(f"bin_{n}") for c, n in (("x", "a"), ("y", "b"))]
+    return table, both.groupBy("cov", *bins).agg(rows.alias("n"))
+
+
+def variant_concordance(verdicts: DataFrame, snvs: DataFrame) -> DataFrame:
+    """One row (variants, true_variants, precision, covered, found, recall): verdicts (chr, pos, strand, verdict) against
+    snvs (chr, pos, ref, alt, filter, genotype).
+
+    Only passed C>T and G>A count. A variant is true where there is such a change of its strand's cytosine; recall is
+    over homozygous changes at places that have a verdict. Without any the rates are null."""
+    s = snvs.where("filter in ('PASS', '.') and ((ref = 'C' and alt = 'T') or (ref = 'G' and alt = 'A'))")
+    s = s.select(plain_name(F.col("chr")).alias("chr"), "pos", "ref", (F.replace("genotype", F.lit("|"), F.lit("/")) == "1/1").alias("hom"))
+    both = verdicts.select(plain_name(F.col("chr")).alias("chr"), "pos", "strand", "verdict").join(s, ["chr", "pos"], "left")
+    is_variant, hom = F.col("verdict") == "variant", F.coalesce("hom", F.lit(False))
+    fits = F.coalesce(((F.col("strand") == "+") & (F.col("ref") == "C")) | ((F.col("strand") == "-") & (F.col("ref") == "G")), F.lit(False))
+    out = both.agg(F.count_if(is_variant).alias("variants"), F.count_if(is_variant & fits).alias("true_variants"), F.count_if(hom).alias("covered"), F.count_if(hom & is_variant).alias("found"))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return out.select("variants", "true_variants", rate("true_variants", "variants").alias("precision"), "covered", "found", rate("found", "covered").alias("recall"))
+
+
+def unpaired_cpgs(report: DataFrame) -> DataFrame:
+    """CpG rows of a report without the other strand's row beside them: (chr, pos, strand); there is none in a whole report
+    but where a chromosome's edge cuts a CpG."""
+    rows = report.where("context = 'CG'").select("chr", "pos", "strand", F.when(F.col("strand") == "+", F.col("pos")).otherwise(F.col("pos") - 1).alias("cpg"))
+    return rows.groupBy("chr", "cpg").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), F.min("strand").alias("strand")).where("n = 1").select("chr", "pos", "strand")
+
+
 def owner_files(calls: DataFrame) -> DataFrame:
     """(chr, file): the first file, by file_ord, that calls a chromosome."""
     return calls.groupBy("chr").agg(F.min(F.struct("file_ord", "file")).alias("o")).select("chr", F.col("o.file").alias("file"))

@@ -4,8 +4,8 @@ import gzip
 
 import pytest
 
-from methylake.operators import genome
-from methylake.sources import sinks, text
+from methylake.operators import coverage, genome
+from methylake.sources import reports, sinks, text
 
 
 @pytest.fixture
@@ -111,10 +111,90 @@ def test_calls_and_coverage(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("chr1", 5, 1, 1), ("chr1", 7, 2, 0)]
 
 
-def test_coverage_round_trip(spark, tmp_path):
-    cov = spark.createDataFrame([("b", 7, 1, 1, 50.0), ("a", 30, 2, 0, 100.0), ("a", 4, 0, 3, 0.0)], "chr string, pos long, m long, u long, pct double")
+def test_coverage_files(spark, tmp_path):
+    cov = spark.createDataFrame([("b", 7, 1, 1), ("a", 30, 2, 0), ("a", 4, 0, 3), ("GL|1", 10, 1, 2)], "chr string, pos long, m long, u long").repartition(3)
     for zero in (False, True):
-        sinks.write_coverage(cov, str(tmp_path / "c"), zero_based=zero)
-        assert sorted(map(tuple, text.coverage(spark, str(tmp_path / "c")).collect())) == [("a", 4 - zero, 0, 3), ("a", 30 - zero, 2, 0), ("b", 7 - zero, 1, 1)]
-    sinks.write_bedgraph(cov, str(tmp_path / "b"))
-    assert [r["value"] for r in spark.read.text(str(tmp_path / "b")).collect()] == ["a\t3\t4\t0.0", "a\t29\t30\t100.0", "b\t6\t7\t50.0"]
+        path = str(tmp_path / ("c" if zero else "c.gz"))
+        sinks.write_coverage(cov, path, zero_based=zero)
+        with (open if zero else gzip.open)(path, "rt") as f:
+            assert f.read() == f"GL|1\t{10 - zero}\t10\t33.3333333333333\t1\t2\na\t{4 - zero}\t4\t0\t0\t3\na\t{30 - zero}\t30\t100\t2\t0\nb\t{7 - zero}\t7\t50\t1\t1\n"
+        assert text.coverage(spark, path).count() == 4
+    sinks.write_bedgraph(cov, str(tmp_path / "b.gz"))
+    with gzip.open(tmp_path / "b.gz", "rt") as f:
+        assert f.read() == "track type=bedGraph\nGL|1\t9\t10\t33.3333333333333\na\t3\t4\t0\na\t29\t30\t100\nb\t6\t7\t50\n"
+    owners = spark.createDataFrame([("b", "CpG_A"), ("a", "CpG_B"), ("GL|1", "CpG_A")], "chr string, file string")
+    assert [r.chr for r in coverage.ordered(cov, owners).select("chr").collect()] == ["GL|1", "b", "a", "a"]
+
+
+def test_split_files(spark, tmp_path):
+    rows = [("r1", "OT", "1", 5, "CpG", True, "Z"), ("r1", "OT", "1", 9, "CHH", False, "h"), ("r2", "OB", "1", 3, "CHG", True, "X"), ("r3", "OT", "2", 4, "CpG", False, "z")]
+    calls = spark.createDataFrame(rows, "id string, strand string, chr string, pos long, ctx string, methylated boolean, call string").repartition(3)
+    d = str(tmp_path)
+    assert sinks.write_calls(calls, d, "s", header="head\n") == ["CHG_OB_s.txt", "CHH_OT_s.txt", "CpG_OT_s.txt"]
+    assert open(tmp_path / "CpG_OT_s.txt").read() == "head\nr1\t+\t1\t5\tZ\nr3\t-\t2\t4\tz\n"
+    assert sinks.write_calls(calls, d, "s", comprehensive=True, merge_non_cpg=True, gzip=True) == ["CpG_context_s.txt.gz", "Non_CpG_context_s.txt.gz"]
+    assert gzip.open(tmp_path / "Non_CpG_context_s.txt.gz", "rt").read() == "r1\t-\t1\t9\th\nr2\t+\t1\t3\tX\n"
+    assert sinks.write_calls(calls, d, "s", merge_non_cpg=True) == ["CpG_OT_s.txt", "Non_CpG_OB_s.txt", "Non_CpG_OT_s.txt"]
+    assert text.calls(spark, str(tmp_path / "CpG_OT_s.txt")).count() == 2
+    report = spark.createDataFrame([("chr/1", 5, "+", 1, 0, "CG", "CGA"), ("b", 2, "-", 0, 0, "CG", "CGT"), ("b", 1, "+", 0, 2, "CG", "CGA")], "chr string, pos long, strand string, m long, u long, context string, tri string")
+    assert sinks.write_report(report.where("chr = 'b'"), d, "x", by_chromosome=True) == ["x.chrb.CpG_report.txt"]
+    assert open(tmp_path / "x.chrb.CpG_report.txt").read() == "b\t1\t+\t0\t2\tCG\tCGA\nb\t2\t-\t0\t0\tCG\tCGT\n"
+    assert sinks.write_report(report, d, "x", cx=True, gzip=True) == ["x.CX_report.txt.gz"]
+    assert gzip.open(tmp_path / "x.CX_report.txt.gz", "rt").read().startswith("b\t1\t+")
+    merged = spark.createDataFrame([("b", 3, 4, 100 / 3, 1, 2)], "chr string, start long, end long, pct double, m long, u long")
+    sinks.write_merged_cpgs(merged, str(tmp_path / "m.cov"), zero_based=True)
+    assert open(tmp_path / "m.cov").read() == "b\t2\t4\t33.333333\t1\t2\n"
+
+
+def test_sam_files(spark, tmp_path):
+    records = text.sam(spark, put(tmp_path / "a.sam", SAM), mapped_only=False).coalesce(1).orderBy("ord")
+    sinks.write_sam_file(records, str(tmp_path / "o.sam"), [("chr1", 50)], "ID:x")
+    assert open(tmp_path / "o.sam").read() == "@HD\tVN:1.0\tSO:unsorted\n@SQ\tSN:chr1\tLN:50\n@PG\tID:x\n" + "\n".join(SAM.splitlines()[2:]) + "\n"
+    buckets = spark.createDataFrame([("r1", "all_meth"), ("r2", "discarded")], "id string, bucket string")
+    assert sinks.write_buckets(records, buckets, str(tmp_path), [("chr1", 50)]) == ["all_meth.sam"]
+    assert open(tmp_path / "all_meth.sam").read().splitlines()[2].startswith("r1\t99")
+
+
+ALIGNMENT = """Sequences analysed in total:\t100
+Number of alignments with a unique best hit from the different alignments:\t70
+Sequences with no alignments under any condition:\t20
+Sequences did not map uniquely:\t10
+Sequences which were discarded because genomic sequence could not be extracted:\t0
+Total number of C's analysed:\t500
+Total methylated C's in CpG context:\t30
+Total methylated C's in CHG context:\t2
+Total methylated C's in CHH context:\t3
+Total unmethylated C's in CpG context:\t10
+Total unmethylated C's in CHG context:\t20
+Total unmethylated C's in CHH context:\t30
+"""
+
+
+def test_reports(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    put(tmp_path / "one.aln", ALIGNMENT)
+    put(tmp_path / "two.aln", ALIGNMENT.replace("\t500", "\t500 or so").replace("C's in CHH context:\t3\n", "C's in CHH context:\t0\n").replace("CHH context:\t30", "CHH context:\t0"))
+    put(tmp_path / "one.ded", reports.dedup_text("one.bam", 70, 5, 4, umi=True))
+    put(tmp_path / "one.spl", "Total number of C's analysed:\t400\nTotal methylated C's in CpG context:\t25\nTotal C to T conversions in CpG context:\t9\n")
+    named = lambda df: df.withColumn("sample", F.regexp_extract("file", r"([a-z]+)\.[a-z]+$", 1))
+    parts = [named(f(spark, str(tmp_path / p))) for f, p in ((reports.alignment_reports, "*.aln"), (reports.dedup_reports, "*.ded"), (reports.splitting_reports, "*.spl"))]
+    summary = reports.sample_summary(*parts)
+    want = "\t".join(reports.SUMMARY.values()) + "\none\t100\t70\t20\t10\t0\t5\t65\t400\t25\t9\t2\t20\t3\t30\ntwo\t100\t70\t20\t10\t0\t\t\t\t30\t10\t2\t20\t0\t0\n"
+    assert reports.summary_text(summary) == want
+    assert {r.sample for r in reports.plotted(summary).collect()} == {"one"}
+    both = reports.merge_counts(parts[0].select("sample", "total_reads", "aligned").withColumn("sample", F.lit("all")), "sample").first()
+    assert tuple(both) == ("all", 200, 140)
+
+
+def test_report_texts(spark):
+    table = spark.createDataFrame([(1, c, p, 1, 2, 100 / 3) if p == 1 else (1, c, p, 0, 0, None) for c in ("CpG", "CHG", "CHH") for p in (1, 2)], "read int, ctx string, position int, m long, u long, pct double")
+    one = "===========\nposition\tcount methylated\tcount unmethylated\t% methylation\tcoverage\n1\t1\t2\t33.33\t3\n2\t0\t0\t\t0\n\n"
+    assert reports.mbias_text(table) == "".join(f"{c} context\n{one}" for c in ("CpG", "CHG", "CHH"))
+    whole = spark.createDataFrame([("1", "AACAGATCCGCTGGTTA")], "chr string, seq string")
+    body = reports.composition_text(genome.composition_report(genome.composition(whole), genome.composition(whole)), "head").splitlines()
+    assert body[0] == "head" and body[1] == "A\t5\t29.41\t5\t29.41\t1.000" and len(body) == 21
+    with pytest.raises(ZeroDivisionError):
+        reports.composition_text(genome.composition_report(genome.composition(whole), genome.composition(whole.where("chr = '2'"))), "head")
+    assert "66.67%" in reports.consistency_text({"all_meth": 2, "discarded": 1, "skipped": 9}) and "N/A" in reports.consistency_text({})
+    assert reports.splitting_share("CHG", 1, 2).endswith("33.3%") and "Can't" in reports.splitting_share("CHG", 0, 0)

@@ -265,3 +265,76 @@ def test_percentage_texts(spark):
     df = spark.createDataFrame([(m, n, m / n * 100) for m, n in pairs], "m long, n long, x double")
     for row in df.select("x", X.g15_text(F.col("x")).alias("g"), X.fixed_text(F.col("x"), 2).alias("f")).collect():
         assert (row.g, row.f) == (f"{row.x:.15g}", f"{row.x:.2f}")
+
+
+def test_choices(spark):
+    lines = [(1, "CT", 99, 147, "a_CT_converted", "a_CT_converted", 5, 50, 0, -6), (1, "CT", 83, 163, "a_GA_converted", "a_GA_converted", 5, 50, 0, -6), (2, "CT", 99, 147, "a_GA_converted", "a_GA_converted", 5, 50, 0, 0)]
+    lines += [(3, "CT", 99, 147, "a_CT_converted", "a_CT_converted", 5, 50, 0, 0), (3, "CT", 99, 147, "a_CT_converted", "a_CT_converted", 9, 50, 0, 0), (4, "CT", 77, 141, "*", "*", 0, 0, None, None), (5, "GA", 83, 163, "b_CT_converted", "b_CT_converted", 1, 2, -6, 0)]
+    df = spark.createDataFrame(lines, "read_id long, conv string, flag1 int, flag2 int, rname1 string, rname2 string, pos1 long, pos2 long, as1 int, as2 int")
+    got = {r.read_id: tuple(r)[1:] for r in A.best_combined_pair(df).collect()}
+    # both instances of read 1 lie at one locus: 3 comes after 0
+    assert got == {1: ("unique", 3, -6, -6, False), 2: ("none", None, None, None, True), 3: ("ambiguous", None, None, None, False), 4: ("none", None, None, None, False), 5: ("unique", 2, -6, None, False)}
+    for change in ("if(read_id = 5, 'c_CT_converted', rname2) rname2", "rname2"):
+        bad = df.selectExpr("read_id", "conv", "flag1", "flag2", "rname1", change, "pos1", "pos2", "as1" if "if" in change else "if(read_id = 5, null, as1) as1", "as2")
+        with pytest.raises(Exception, match="two chromosomes|no score"):
+            A.best_combined_pair(bad).collect()
+    reads = spark.createDataFrame([(i,) for i in range(1, 8)], "read_id long")
+    every = A.with_all_reads(A.best_combined_pair(df), reads)
+    assert sorted(r.read_id for r in every.where("decision = 'none'").collect()) == [2, 4, 6, 7]
+    assert [r.read_id for r in A.unaligned_reads(every, reads, True).collect()] == [3]
+    records = spark.createDataFrame([(1, 0, -6, -6), (1, 1, -6, None), (2, 0, 0, -6), (3, 0, -6, -6), (3, 1, 0, None)], "read_id long, inst int, as_i int, xs_i int")
+    assert [tuple(r) for r in A.first_ambiguous(records).collect()] == [(1, 0)]
+
+
+def test_contiguous(spark):
+    rows = [(0, i, k) for i, k in enumerate("aabbbacca")] + [(1, 0, "a")]
+    df = spark.createDataFrame(rows, "file_ord int, ord long, read string").repartition(3)
+    got = [(r.file_ord, r.ord, r.group) for r in A.contiguous(df, "read").orderBy("file_ord", "ord").collect()]
+    assert got == [(0, i, g) for i, g in enumerate([1, 1, 1, 1, 1, 2, 1, 1, 3])] + [(1, 0, 1)]
+
+
+def test_totals(spark):
+    df = spark.createDataFrame([("ZzXxHhUu.",), ("ZZ.",), (None,)], "xm string")
+    assert df.agg(*A.call_totals(F.col("xm"))).first().asDict() == {"meth_cpg": 3, "unmeth_cpg": 1, "meth_chg": 1, "unmeth_chg": 1, "meth_chh": 1, "unmeth_chh": 1, "meth_unknown": 1, "unmeth_unknown": 1}
+
+
+def test_concordance_detail(spark):
+    import math
+
+    from methylake.operators import coverage as C
+
+    r = random.Random(2)
+    a, b = ([("chr1" if s else "1", i, "+", r.randrange(9), r.randrange(9)) for i in range(300) if r.random() < 0.8] for s in (0, 1))
+    schema = "chr string, pos long, strand string, m long, u long"
+    table, bins = C.concordance_detail(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), (1, 5, 30))
+    other = {p: (m, m + u) for _, p, _, m, u in b if m + u}
+    got = {x.cov: x for x in table.collect()}
+    assert set(got) == {1, 5}
+    for t in (1, 5):
+        rows = [(100 * m / (m + u), 100 * other[p][0] / other[p][1], min(m + u, other[p][1])) for _, p, _, m, u in a if m + u >= t and p in other and other[p][1] >= t]
+
+        def corr(ws):
+            mean = lambda k: sum(w * x[k] for w, x in zip(ws, rows, strict=True)) / sum(ws)  # noqa: B023, E731
+            cov = lambda i, j: sum(w * (x[i] - mean(i)) * (x[j] - mean(j)) for w, x in zip(ws, rows, strict=True))  # noqa: B023, E731
+            return cov(0, 1) / math.sqrt(cov(0, 0) * cov(1, 1))
+
+        x = got[t]
+        assert x.n == len(rows)
+        assert (x.pearson, x.weighted) == (pytest.approx(corr([1] * len(rows))), pytest.approx(corr([w for _, _, w in rows])))
+        assert x.mean_abs_diff == pytest.approx(sum(abs(p - q) for p, q, _ in rows) / len(rows))
+        assert x.agreement == pytest.approx(100 * sum((p >= 50) == (q >= 50) for p, q, _ in rows) / len(rows))
+        want = {}
+        for p, q, _ in rows:
+            k = (min(4, int(p // 20)), min(4, int(q // 20)))
+            want[k] = want.get(k, 0) + 1
+        assert {(y.bin_a, y.bin_b): y.n for y in bins.where(f"cov = {t}").collect()} == want
+
+
+def test_variant_concordance(spark):
+    from methylake.operators import coverage as C
+
+    v = spark.createDataFrame([("1", 5, "+", "variant"), ("1", 6, "-", "variant"), ("1", 9, "+", "methylation"), ("1", 12, "+", "variant")], "chr string, pos long, strand string, verdict string")
+    s = spark.createDataFrame([("chr1", 5, "C", "T", "PASS", "1|1"), ("chr1", 6, "C", "T", ".", "0/1"), ("chr1", 9, "C", "T", "PASS", "1/1"), ("chr1", 12, "C", "T", "low", "1/1"), ("chr1", 40, "G", "A", "PASS", "1/1")], "chr string, pos long, ref string, alt string, filter string, genotype string")
+    assert tuple(C.variant_concordance(v, s).first()) == (3, 1, 1 / 3, 2, 1, 0.5)
+    report = spark.createDataFrame([("1", 5, "+", "CG"), ("1", 6, "-", "CG"), ("1", 9, "-", "CG"), ("1", 9, "+", "CHG")], "chr string, pos long, strand string, context string")
+    assert [tuple(r) for r in C.unpaired_cpgs(report).collect()] == [("1", 9, "-")]
