@@ -57,7 +57,27 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(read_id, chr, pos, cigar, inst, seq, qual, n, xr, xg): a read of 50 bases on the derived genome for each event, three
+    CIGAR shapes; n is the chromosome's length."""
+    e = F.col("event_id")
+    text = F.concat(*(F.md5(F.concat(F.lit(k), e.cast("string")).cast("binary")) for k in "ab"))
+    cigar = F.element_at(F.array(*(F.lit(x) for x in ("50M", "20M2D30M", "5S45M"))), (e % 3 + 1).cast("int"))
+    inst = (F.floor(e / 3) % 4).cast("int")
+    rows = table(spark, sf_dir, "events").select(
+        e.alias("read_id"), (e * 7 % 200).cast("string").alias("chr"), (e * 31 % 300 + 1).alias("pos"), cigar.alias("cigar"), inst.alias("inst"), F.left(F.translate(text, "0123456789abcdef", "ACGT" * 4), F.lit(50)).alias("seq"),
+        F.repeat(F.lit("I"), F.lit(50)).alias("qual"), F.lit("CT").alias("xr"), F.when(inst < 2, "CT").otherwise("GA").alias("xg"),
+    )
+    return rows.join(genome(spark, sf_dir).select("chr", F.length("seq").alias("n")), "chr").where(F.col("pos") <= F.col("n"))
+
+
 SQL = {
+    "placed": """pl AS (SELECT event_id AS read_id, CAST(event_id * 7 % 200 AS VARCHAR) AS chr, event_id * 31 % 300 + 1 AS pos, event_id % 3 AS shape, CAST((event_id // 3) % 4 AS INT) AS inst,
+      left(translate(md5('a' || event_id) || md5('b' || event_id), '0123456789abcdef', 'ACGTACGTACGTACGT'), 50) AS seq FROM events),
+      w0 AS (SELECT pl.*, g.seq AS gs, length(g.seq) AS n, CASE shape WHEN 0 THEN 50 WHEN 1 THEN 52 ELSE 45 END AS span, inst IN (1, 3) AS before, inst IN (1, 2) AS minus FROM pl JOIN genome g USING (chr) WHERE pos <= length(g.seq)),
+      w1 AS (SELECT *, CASE shape WHEN 0 THEN substr(gs, pos, 50) WHEN 1 THEN substr(gs, pos, 20) || substr(gs, pos + 22, 30) ELSE 'XXXXX' || substr(gs, pos, 45) END AS core, CASE WHEN before THEN pos > 2 ELSE n >= pos + span + 1 END AS room FROM w0),
+      w2 AS (SELECT *, CASE WHEN before THEN substr(gs, pos - 2, 2) || core ELSE core || substr(gs, pos + span, 2) END AS whole FROM w1),
+      win AS (SELECT *, CASE WHEN NOT room THEN CASE WHEN before THEN '' ELSE core END WHEN minus THEN translate(reverse(whole), 'ACGT', 'TGCA') ELSE whole END AS win FROM w2)""",
     "genome": f"genome AS (SELECT CAST(doc_id AS VARCHAR) AS chr, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{_ABC}', '{_BASES}') AS seq FROM documents)",
     "calls": """calls AS (SELECT l_orderkey AS read_id, CASE WHEN (l_discount >= 0.05) <> (l_quantity = 7) THEN '+' ELSE '-' END AS meth, CAST(l_suppkey AS VARCHAR) AS chr,
       (l_partkey * 31 + l_linenumber) % 4000 + 1 AS pos, CASE WHEN l_discount >= 0.05 THEN upper(substr('zxh', CAST(l_linenumber % 3 + 1 AS INT), 1)) ELSE substr('zxh', CAST(l_linenumber % 3 + 1 AS INT), 1) END AS call, l_linestatus AS status FROM lineitem)""",

@@ -9,6 +9,7 @@ from methylake.functions import expr as X
 from methylake.operators import alignments as A
 from methylake.operators import coverage as C
 from methylake.operators import genome as G
+from methylake.operators import windows as W
 from methylake.plans import derived as D
 from methylake.plans.derived import SQL
 
@@ -310,15 +311,10 @@ def dedup_position(spark, d):
     return A.mark_duplicates(A.position_key(D.reads(spark, d)), "strand", "chr", "key_pos").select("id", "duplicate")
 
 
-@query(f"WITH {SQL['reads']} SELECT id, row_number() OVER (PARTITION BY strand, chr, start, start + span - 1 ORDER BY ord) > 1 AS duplicate FROM reads")
-def dedup_pe(spark, d):
-    return A.mark_duplicates(A.position_key(D.reads(spark, d)), "strand", "chr", "start", "end").select("id", "duplicate")
-
-
 @query(_KEYED + " SELECT id, row_number() OVER (PARTITION BY strand, chr, key_pos, umi ORDER BY ord) > 1 AS duplicate FROM k")
 def dedup_umi(spark, d):
-    r = A.position_key(D.reads(spark, d)).withColumn("u", X.umi_tail(F.col("qname")))
-    return A.mark_duplicates(r, "strand", "chr", "key_pos", "u").select("id", "duplicate")
+    r = A.with_umi(A.position_key(D.reads(spark, d)), X.umi_tail(F.col("qname")))
+    return A.mark_duplicates(r, "strand", "chr", "key_pos", "umi").select("id", "duplicate")
 
 
 @query(_KEYED + ", g AS (SELECT count(*) AS n FROM k GROUP BY strand, chr, key_pos) SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n - 1) AS BIGINT) AS removed, count(*) FILTER (n > 1) AS positions FROM g")
@@ -581,3 +577,162 @@ def duplex_consensus(spark, d):
         F.substring(F.lit("ACGT"), (F.floor(e / 3) % 4 + 1).cast("int"), F.lit(1)).alias("base"), (e * 31 % 40).cast("int").alias("qual"),
     )
     return A.consensus(A.duplex(rows, "family"))
+
+
+# -- alignments on the genome ---------------------------------------------------------------------------------
+
+_PLACED = f"WITH {SQL['genome']}, {SQL['placed']}"
+
+
+def _windows(spark, d):
+    return W.call_windows(D.placed(spark, d), D.genome(spark, d), ["read_id"])
+
+
+@query(_PLACED + """ SELECT read_id, win AS "window", room AS extracted, room AND length(win) = 52 AS complete, minus, pos + span - 1 AS end_pos, CASE shape WHEN 1 THEN 2 ELSE 0 END AS indels FROM win""")
+def call_windows(spark, d):
+    return _windows(spark, d).select("read_id", "window", "extracted", "complete", "minus", "end_pos", "indels")
+
+
+@query(_PLACED + " SELECT inst, CAST(count(*) FILTER (room) AS BIGINT) AS extracted, CAST(count(*) FILTER (NOT room) AS BIGINT) AS discarded FROM win GROUP BY 1")
+def alignment_counters(spark, d):
+    return A.alignment_counters(_windows(spark, d))
+
+
+def _call_letter(high: str, low: str) -> str:
+    ct = f"CASE WHEN substr(win, CAST(i AS INT), 1) <> 'C' THEN '.' WHEN substr(seq, CAST(i AS INT), 1) NOT IN ('{high}', '{low}') THEN '.' ELSE CASE WHEN substr(win, CAST(i + 1 AS INT), 1) = 'G' THEN 'z' WHEN substr(win, CAST(i + 1 AS INT), 1) IN ('N', 'X') THEN 'u' WHEN substr(win, CAST(i + 2 AS INT), 1) = 'G' THEN 'x' WHEN substr(win, CAST(i + 2 AS INT), 1) IN ('N', 'X') THEN 'u' ELSE 'h' END END"
+    ga = f"CASE WHEN substr(win, CAST(i + 2 AS INT), 1) <> 'G' THEN '.' WHEN substr(seq, CAST(i AS INT), 1) NOT IN ('{'GA'['CT'.index(high)]}', '{'GA'['CT'.index(low)]}') THEN '.' ELSE CASE WHEN substr(win, CAST(i + 1 AS INT), 1) = 'C' THEN 'z' WHEN substr(win, CAST(i + 1 AS INT), 1) IN ('N', 'X') THEN 'u' WHEN substr(win, CAST(i AS INT), 1) = 'C' THEN 'x' WHEN substr(win, CAST(i AS INT), 1) IN ('N', 'X') THEN 'u' ELSE 'h' END END"
+    up = f"substr(seq, CAST(i AS INT), 1) = CASE WHEN inst IN (0, 1) THEN '{high}' ELSE '{'GA'['CT'.index(high)]}' END"
+    return f"list_transform(list_transform(range(1, 51), lambda i: [CASE WHEN inst IN (0, 1) THEN {ct} ELSE {ga} END, CASE WHEN {up} THEN 'y' ELSE 'n' END]), lambda c: CASE WHEN c[2] = 'y' THEN upper(c[1]) ELSE c[1] END)"
+
+
+_TAGS = _PLACED + f""", full_ AS (SELECT *, CASE WHEN inst IN (0, 1) THEN left(win, 50) ELSE substr(win, 3) END AS trimmed, array_to_string({_call_letter('C', 'T')}, '') AS calls FROM win WHERE room AND length(win) = 52),
+  ori AS (SELECT *, CASE WHEN minus THEN {_RC('trimmed')} ELSE trimmed END AS ref, CASE WHEN minus THEN {_RC('seq')} ELSE seq END AS act FROM full_),
+  mk AS (SELECT *, array_to_string(list_transform(range(1, 51), lambda i: CASE WHEN substr(act, CAST(i AS INT), 1) = substr(ref, CAST(i AS INT), 1) THEN '=' ELSE substr(ref, CAST(i AS INT), 1) END), '') AS marks FROM ori),
+  pa AS (SELECT *, CASE shape WHEN 0 THEN marks WHEN 1 THEN substr(marks, 1, 20) || '^' || lower(substr(gs, pos + 20, 2)) || substr(marks, 21) ELSE substr(marks, 6) END AS path FROM mk)"""
+
+
+@query(
+    _TAGS + """ SELECT read_id, act AS seq, hamming(act, ref) + CASE shape WHEN 1 THEN 2 ELSE 0 END AS nm, CASE WHEN minus THEN reverse(calls) ELSE calls END AS xm, CASE WHEN inst IN (0, 1) THEN 'CT' ELSE 'GA' END AS xr, CASE WHEN inst IN (0, 2) THEN 'CT' ELSE 'GA' END AS xg,
+  array_to_string(list_transform(regexp_extract_all(path, '=*(?:\\^[a-z]+|[A-Z])'), lambda e: CAST(length(regexp_extract(e, '^=*')) AS VARCHAR) || upper(regexp_replace(e, '^=*', ''))), '') || CAST(length(regexp_extract(path, '=*$')) AS VARCHAR) AS md FROM pa"""
+)
+def record_tags(spark, d):
+    return W.record_tags(W.with_calls(_windows(spark, d)), D.genome(spark, d), ["read_id"]).select("read_id", "seq", "nm", "md", "xm", "xr", "xg")
+
+
+@query(_PLACED + f", f AS (SELECT read_id, array_to_string({_call_letter('T', 'C')}, '') AS calls FROM win WHERE room AND length(win) = 52) SELECT read_id, calls FROM f")
+def five_base_read_calls(spark, d):
+    return W.with_calls(_windows(spark, d), five_base=True).select("read_id", "calls")
+
+
+@query(
+    _PLACED + f""", sp AS (SELECT read_id, CASE WHEN inst IN (0, 2) THEN substr(gs, pos, 50) ELSE {_RC('substr(gs, pos, 50)')} END AS s FROM w0 WHERE shape = 0), b AS (SELECT unnest(list_transform(range(1, length(s) + 1), lambda i: substr(s, CAST(i AS INT), 1))) AS word FROM sp
+  UNION ALL SELECT unnest(list_transform(range(1, length(s)), lambda i: substr(s, CAST(i AS INT), 2))) FROM sp) SELECT word, count(*) AS n FROM b GROUP BY 1"""
+)
+def read_composition(spark, d):
+    return W.read_composition(D.placed(spark, d).withColumn("flag", X.sam_flag(F.col("inst"))), D.genome(spark, d), ["read_id"])
+
+
+_PILE = _PLACED + """, q AS (SELECT *, unnest(range(0, 50)) AS q FROM w0), ob AS (SELECT chr, gs, n, inst, CASE shape WHEN 0 THEN pos - 1 + q WHEN 1 THEN CASE WHEN q < 20 THEN pos - 1 + q ELSE pos + 1 + q END ELSE CASE WHEN q < 5 THEN NULL ELSE pos - 6 + q END END AS p, substr(seq, CAST(q + 1 AS INT), 1) AS b FROM q),
+  si AS (SELECT chr, p, inst, b, CASE WHEN substr(gs, p + 1, 2) = 'CG' THEN true WHEN p > 0 AND substr(gs, p, 2) = 'CG' THEN false END AS plus FROM ob WHERE p IS NOT NULL AND p < n),
+  so AS (SELECT chr, p AS pos0, plus, (inst < 2) = plus AS own, b = CASE WHEN plus THEN 'T' ELSE 'A' END AS t FROM si WHERE plus IS NOT NULL),
+  pile AS (SELECT chr, pos0, plus, CAST(count(*) FILTER (own AND NOT t) AS BIGINT) AS own_c, CAST(count(*) FILTER (own AND t) AS BIGINT) AS own_t, CAST(count(*) FILTER (NOT own AND NOT t) AS BIGINT) AS opp_c, CAST(count(*) FILTER (NOT own AND t) AS BIGINT) AS opp_t FROM so GROUP BY 1, 2, 3)"""
+
+
+@query(_PILE + " SELECT * FROM pile")
+def strand_pileup(spark, d):
+    return W.strand_pileup(D.placed(spark, d).withColumn("flag", F.lit(0)), D.genome(spark, d))
+
+
+@query(
+    _PILE + """, v AS (SELECT *, CASE WHEN opp_c + opp_t < 2 THEN 'undetermined' WHEN CAST(opp_t AS DOUBLE) / CAST(opp_c + opp_t AS DOUBLE) >= 0.6 THEN 'variant' ELSE 'methylation' END AS verdict FROM pile),
+  t AS (SELECT *, CASE WHEN verdict <> 'variant' THEN own_t ELSE 0 END AS m, CASE WHEN verdict <> 'variant' THEN own_c + own_t ELSE 0 END AS total FROM v)
+  SELECT chr, pos0 + 1 AS pos, CASE WHEN plus THEN '+' ELSE '-' END AS strand, verdict, m, total, CASE WHEN total > 0 THEN printf('%.2f', CAST(m AS DOUBLE) / CAST(total AS DOUBLE) * 100) ELSE 'NA' END AS pct FROM t"""
+)
+def deconvolution_report(spark, d):
+    return W.deconvolution_report(W.strand_pileup(D.placed(spark, d).withColumn("flag", F.lit(0)), D.genome(spark, d)))
+
+
+@query(
+    _PLACED + """, fr AS (SELECT *, (list_extract([99, 147, 83, 163], CAST(read_id % 4 + 1 AS INT)) & 16) = 0 AS ahead, (list_extract([99, 147, 83, 163], CAST(read_id % 4 + 1 AS INT)) & 64) > 0 AS first, least(pos, 101) - 1 AS start0, least(pos, 101) - 1 + 200 AS "end" FROM w0 WHERE read_id % 40 >= 5),
+  q AS (SELECT *, unnest(range(0, 50)) AS q FROM fr), ob AS (SELECT chr, start0, gs, n, ahead, CASE shape WHEN 0 THEN pos - 1 + q WHEN 1 THEN CASE WHEN q < 20 THEN pos - 1 + q ELSE pos + 1 + q END ELSE CASE WHEN q < 5 THEN NULL ELSE pos - 6 + q END END AS p, substr(seq, CAST(q + 1 AS INT), 1) AS b FROM q),
+  si AS (SELECT chr, start0, p, ahead, b, CASE WHEN substr(gs, p + 1, 2) = 'CG' THEN true WHEN p > 0 AND substr(gs, p, 2) = 'CG' THEN false END AS plus FROM ob WHERE p IS NOT NULL AND p < n),
+  pile AS (SELECT chr, start0, p, plus, count(*) FILTER (ahead = plus) AS own, count(*) FILTER (ahead <> plus) AS opp, count(*) FILTER (ahead <> plus AND b = CASE WHEN plus THEN 'T' ELSE 'A' END) AS opp_t FROM si WHERE plus IS NOT NULL GROUP BY 1, 2, 3, 4),
+  v AS (SELECT chr, start0, CASE WHEN opp < 1 THEN 'undetermined' WHEN CAST(opp_t AS DOUBLE) / CAST(opp AS DOUBLE) >= 0.6 THEN 'variant' ELSE 'methylation' END AS k FROM pile WHERE own > 0),
+  n AS (SELECT chr, start0, "end", count(*) FILTER (first = ahead) AS a, count(*) FILTER (first <> ahead) AS z FROM fr GROUP BY 1, 2, 3)
+  SELECT chr, start0, "end", 'ACG+TTA' AS umi, a || '+' || z AS members, CAST((SELECT count(*) FROM v WHERE v.chr = n.chr AND v.start0 = n.start0 AND k = 'variant') AS BIGINT) AS variant, CAST((SELECT count(*) FROM v WHERE v.chr = n.chr AND v.start0 = n.start0 AND k = 'methylation') AS BIGINT) AS methylation,
+  CAST((SELECT count(*) FROM v WHERE v.chr = n.chr AND v.start0 = n.start0 AND k = 'undetermined') AS BIGINT) AS undetermined FROM n WHERE a > 0 AND z > 0"""
+)
+def duplex_report(spark, d):
+    i = F.col("read_id")
+    rows = D.placed(spark, d).withColumns({
+        "flag": F.element_at(F.array(*(F.lit(x) for x in (99, 147, 83, 163))), (i % 4 + 1).cast("int")), "pnext": F.lit(101).cast("long"), "tlen": F.lit(200), "mapq": (i % 40).cast("int"), "rx": F.when(i % 2 == 0, "TTA+ACG").otherwise("acg+tta"),
+    })
+    return W.duplex_report(W.fragments(rows, least_mapq=5), D.genome(spark, d))
+
+
+_MATES = f"""WITH {SQL['reads']}, pr AS (SELECT a.ord // 2 AS pair_id, a.strand, a.chr, a.start AS s1, a.start + a.span - 1 AS e1, b.start AS s2, b.start + b.span - 1 AS e2 FROM reads a JOIN reads b ON b.ord = a.ord + 1 WHERE a.ord % 2 = 0),
+  pk AS (SELECT pair_id, strand, chr, CASE WHEN strand IN ('OT', 'CTOB') THEN s1 ELSE s2 END AS start, CASE WHEN strand IN ('OT', 'CTOB') THEN e2 ELSE e1 END AS "end" FROM pr)"""
+
+
+def _mates(spark, d):
+    r = D.reads(spark, d).withColumns({"qname": F.floor(F.col("ord") / 2).cast("string"), "pos": F.col("start"), "chr": F.floor(F.col("ord") / 2 % 3).cast("string")})
+    return A.pair_key(A.pair_mates(r.select("file_ord", "ord", "qname", "chr", "pos", "cigar", "xr", "xg"), 1000))
+
+
+@query(_MATES.replace("a.chr, a.start AS s1", "CAST(a.ord // 2 % 3 AS VARCHAR) AS chr, a.start AS s1") + ' SELECT pair_id, strand, chr, start, "end" FROM pk')
+def pair_mates(spark, d):
+    return _mates(spark, d).select("pair_id", "strand", "chr", "start", "end")
+
+
+@query(_MATES.replace("a.chr, a.start AS s1", "CAST(a.ord // 2 % 3 AS VARCHAR) AS chr, a.start AS s1") + ' SELECT pair_id, row_number() OVER (PARTITION BY strand, chr, start, "end" ORDER BY pair_id) > 1 AS duplicate FROM pk')
+def dedup_pe(spark, d):
+    return A.mark_duplicates(_mates(spark, d), "strand", "chr", "start", "end", order=("file_ord", "pair_id")).select("pair_id", "duplicate")
+
+
+@query(f"WITH {SQL['aln']} SELECT " + ", ".join(f"CAST(sum(length(xm) - length(replace(xm, '{c}', ''))) AS BIGINT) AS {n}" for c, n in {"Z": "meth_cpg", "z": "unmeth_cpg", "X": "meth_chg", "x": "unmeth_chg", "H": "meth_chh", "h": "unmeth_chh", "U": "meth_unknown", "u": "unmeth_unknown"}.items()) + " FROM aln")
+def call_totals(spark, d):
+    return D.alignments(spark, d).agg(*A.call_totals(F.col("xm")))
+
+
+@query(f"WITH {SQL['aln']}, t AS (SELECT {_HX} >= 3 AS r FROM aln) SELECT count(*) AS total, count(*) FILTER (r) AS removed, printf('%.1f', CAST(count(*) FILTER (r) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100) AS pct FROM t")
+def filter_report(spark, d):
+    return A.filter_report(A.filter_single(D.alignments(spark, d), A.unconverted(F.col("xm"))))
+
+
+@query("WITH e AS (SELECT event_id AS ord, user_id % 3 AS k FROM events), l AS (SELECT *, CASE WHEN k = lag(k) OVER (ORDER BY ord) THEN 0 ELSE 1 END AS b FROM e) SELECT ord, k, CAST(sum(b) OVER (PARTITION BY k ORDER BY ord) AS BIGINT) AS \"group\" FROM l")
+def contiguous_groups(spark, d):
+    rows = D.table(spark, d, "events").select(F.lit(0).alias("file_ord"), F.col("event_id").alias("ord"), (F.col("user_id") % 3).alias("k"))
+    return A.contiguous(rows, "k").select("ord", "k", "group")
+
+
+@query(f"WITH {SQL['reads']}, r AS (SELECT read_id, inst, as_i, xs_i, max(as_i) OVER (PARTITION BY read_id) AS top FROM reads) SELECT read_id, min(inst) AS inst FROM r WHERE as_i = top GROUP BY 1 HAVING bool_or(xs_i = as_i)")
+def first_ambiguous(spark, d):
+    return A.first_ambiguous(D.reads(spark, d).select("read_id", "inst", "as_i", "xs_i"))
+
+
+@query(f"WITH {_COV} SELECT chr, pos, printf('%.2f', {_PCT}) AS two, printf('%.15g', {_PCT}) AS long FROM cov")
+def percentage_texts(spark, d):
+    return _cov(spark, d).select("chr", "pos", X.fixed_text(F.col("pct"), 2).alias("two"), X.g15_text(F.col("pct")).alias("long"))
+
+
+_SIDES = f"""WITH {SQL['calls']}, c AS (SELECT chr, pos, status, count(*) FILTER (meth = '+') AS m, count(*) AS n FROM calls GROUP BY 1, 2, 3), j AS (SELECT CAST(a.m AS DOUBLE) * 100 / a.n AS x, CAST(b.m AS DOUBLE) * 100 / b.n AS y, least(a.n, b.n) AS w FROM c a JOIN c b USING (chr, pos) WHERE a.status = 'F' AND b.status = 'O'),
+  t AS (SELECT j.*, cov FROM j JOIN (VALUES (1), (2)) k(cov) ON w >= cov)"""
+
+
+def _sides(spark, d):
+    side = lambda s: D.calls(spark, d).where(f"status = '{s}'").groupBy("chr", "pos", F.lit("+").alias("strand")).agg(F.count_if(F.col("meth") == "+").alias("m"), F.count_if(F.col("meth") == "-").alias("u"))
+    return C.concordance_detail(side("F"), side("O"), (1, 2))
+
+
+@query(
+    _SIDES + """, mo AS (SELECT cov, count(*) AS n, corr(x, y) AS pearson, avg(abs(x - y)) AS mean_abs_diff, 100.0 * count(*) FILTER ((x >= 50) = (y >= 50)) / count(*) AS agreement, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM t GROUP BY 1),
+  wr AS (SELECT cov, sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) ** 2) * sum(w * (y - my) ** 2)) AS weighted FROM t JOIN mo USING (cov) GROUP BY 1)
+  SELECT cov, n, round(pearson, 6) AS pearson, round(weighted, 6) AS weighted, round(mean_abs_diff, 6) AS mean_abs_diff, round(agreement, 6) AS agreement FROM mo JOIN wr USING (cov)"""
+)
+def concordance_detail(spark, d):
+    return _sides(spark, d)[0].select("cov", "n", *(F.round(c, 6).alias(c) for c in ("pearson", "weighted", "mean_abs_diff", "agreement")))
+
+
+@query(_SIDES + " SELECT cov, CAST(least(4, floor(x / 20)) AS INT) AS bin_a, CAST(least(4, floor(y / 20)) AS INT) AS bin_b, count(*) AS n FROM t GROUP BY 1, 2, 3")
+def concordance_bins(spark, d):
+    return _sides(spark, d)[1]
