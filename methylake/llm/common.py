@@ -65,26 +65,12 @@ def discard_all(spark: SparkSession) -> None:
     discard(spark, f"{shared_root(spark)}/methylake")
 
 
-#: Rows of a key that one task takes, and keys with more than that, which are broadcast; more rows make the first grow.
-HOT_ROWS, HOT_KEYS = 256, 100_000
-
-
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """big joined with small, which has one row for each key and in count the number of big's rows, total in all, with
-    it. Keys with many rows are dealt to several tasks: at most total / rows of a key, HOT_KEYS, are, so they are broadcast."""
-    rows = max(HOT_ROWS, -(-total // HOT_KEYS))
-    parts = F.ceil(F.col(count) / rows).cast("int")
-    hot = small.where(F.col(count) > rows).select(*keys, parts.alias("_parts"))
-    dealt = F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("_parts")).cast("int"), F.lit(0))
-    left = big.join(F.broadcast(hot), keys, "left").select(*big.columns, dealt.alias("_part"))
-    right = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return left.join(right, [*keys, "_part"]).drop("_part")
-
-
-def counted_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """spread_join of any two tables, small having one row a key: big's rows of each key are counted first."""
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
-    return spread_join(big, small.join(counts, keys), keys, "_count", big.count()).drop("_count")
+def split_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """big joined with small, which has one row for each key. small's keys are passed through a function that changes
+    nothing, so a shuffle stands between the join and whatever made small by key; without it the two would share a
+    stage, and adaptive execution could not split the big side's partition of a key with very many rows."""
+    same = {c: F.concat(F.col(c), F.lit("")) if small.schema[c].dataType.typeName() == "string" else F.bitwise_not(F.bitwise_not(F.col(c))) for c in keys}
+    return big.join(small.select(*(same[c].alias(c) if c in same else c for c in small.columns)), keys)
 
 
 def filesystem(uri: str):

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import discard, spread_join, written_at
+from methylake.llm.common import discard, split_join, written_at
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """One star step over `total` edges. Minima and degrees are pre-aggregated before the shuffle; in the join back
-    the edges of a hub are dealt to several tasks."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star step. Minima are pre-aggregated before the shuffle; in the join back adaptive execution may deal the
+    edges of a hub to several tasks."""
     if large:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-    joined = spread_join(near, least, ["u"], "c", 2 * total)
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = split_join(near, least, ["u"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -33,18 +33,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     spark = edges.sparkSession
     edges, path = written_at(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "edges")
-    seen, total = None, edges.count()
+    seen = None
     for _ in range(max_rounds):
-        if not total:
-            break
-        large, between = written_at(_star(edges, True, total), "stars")
-        discard(spark, path)
-        edges, path = written_at(_star(large, False, large.count()), "stars")
-        discard(spark, between)
+        old = path
+        edges, path = written_at(_star(_star(edges, True), False), "stars")
+        discard(spark, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if now == seen or not now[0]:
             break
-        seen, total = now, now[0]
+        seen = now
     else:
         raise RuntimeError("connected_components: rounds used up")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

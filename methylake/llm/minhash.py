@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import id_text, map_arrow, map_batches, spread_join, written
+from methylake.llm.common import id_text, map_arrow, map_batches, split_join, written
 from methylake.llm.graph import connected_components
 from methylake.llm.wordhash import constants, mix, shingle_sets
 
 #: Values in a band, two from each permutation, and the chance of missing a pair at the threshold.
 ROWS, MISS = 6, 1e-6
 #: Members and shingles of a block of a family, on average.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 400_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 64, 100_000
 #: Members of families, 48 bytes each, up to which they go to the texts instead of both being shuffled.
 BROADCAST_MEMBERS = 1_000_000
 
@@ -260,15 +260,15 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     linkable = signed.where("n > 0 and id is not null")
 
     # one class for equal sets; copies are pre-aggregated in their tasks
-    classes = written(linkable.groupBy("n", "k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("c")), "minhash-classes")
+    classes = written(linkable.groupBy("n", "k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "minhash-classes")
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    ties = spread_join(buckets, hubs, ["bucket"], "c", classes.count() * bands).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "hub")
+    ties = split_join(buckets, hubs, ["bucket"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     families = connected_components(ties).select("node", F.col("component").alias("family"))
     links = _family_links(docs, classes.select("node", "n", "k1", "k2").join(families, "node"), k, percent)
 
     # a document's class, then the class's component
-    same = spread_join(linkable.select("id", "n", "k1", "k2"), classes.select("n", "k1", "k2", "node", "c"), ["n", "k1", "k2"], "c", linkable.count())
+    same = split_join(linkable.select("id", "n", "k1", "k2"), classes.select("n", "k1", "k2", "node"), ["n", "k1", "k2"])
     same = same.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     parts = connected_components(links.unionByName(same)).select(F.col("node").alias("id"), "component")
     # rows without an id stay out of the join, where they would meet in one task

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylake.llm.common import counted_join, map_batches, spread_join, written
+from methylake.llm.common import map_batches, split_join, written
 
 #: Entries, and bytes of their hosts and paths, of a trie that goes to every executor; longer lists are joined.
 MAX_RULES, MAX_BYTES = 200_000, 16 << 20
@@ -106,9 +106,9 @@ def _joined(urls: DataFrame, rules: DataFrame) -> DataFrame:
     depth = F.least(F.size(segments) - 1, F.lit(deepest))
     folders = F.transform(F.sequence(F.lit(0), depth), lambda i: F.struct(F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(segments, F.lit(1), i), "/"), F.lit("/"))).alias("folder"), F.get(segments, i).alias("segment")))
     keys = urls.where("host <> ''").select("host", "path", F.explode(above).alias("at"), folders.alias("f")).select("host", "path", "at", F.inline("f"))
-    near = counted_join(keys, lengths, ["at", "folder"]).withColumn("n", F.explode("lengths")).where(F.length("segment") >= F.col("n"))
+    near = split_join(keys, lengths, ["at", "folder"]).withColumn("n", F.explode("lengths")).where(F.length("segment") >= F.col("n"))
     near = near.select("host", "path", "at", "folder", F.expr("left(segment, n)").alias("rest"))
-    fits = counted_join(near, entries, ["at", "folder", "rest"])
+    fits = split_join(near, entries, ["at", "folder", "rest"])
     # the largest struct: longest, a block before an allow, then the first by name, which max_by can't order downwards
     top = fits.groupBy("host", "path").agg(F.max(F.struct("size", "blocks")).alias("top"))
     return fits.join(top, ["host", "path"]).where((F.col("size") == F.col("top.size")) & (F.col("blocks") == F.col("top.blocks"))).groupBy("host", "path").agg(F.min("rule").alias("rule"), F.first("blocks").alias("blocks"))
@@ -152,7 +152,7 @@ def url_filter(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_
     if not large:
         return judged
     urls = written(judged.select(F.col(f"`{id_col}`").alias("id"), "host", "path"), "urls")
-    distinct = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("c"))
-    decided = written(_joined(distinct.select("host", "path"), rules).withColumn("verdict", F.when(F.col("blocks"), "block").otherwise("allow")), "url-verdicts")
-    decided = distinct.join(decided, ["host", "path"], "left").select("host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"), "c")
-    return spread_join(urls, decided, ["host", "path"], "c", urls.count()).select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")
+    distinct = urls.select("host", "path").distinct()
+    decided = written(_joined(distinct, rules).withColumn("verdict", F.when(F.col("blocks"), "block").otherwise("allow")), "url-verdicts")
+    decided = distinct.join(decided, ["host", "path"], "left").select("host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return split_join(urls, decided, ["host", "path"]).select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")
