@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from methylake.llm.common import attempt_name, filesystem, fresh_dir, map_arrow, write_file, written
 
-#: Compressed bytes after which an archive is closed; a task holds one at a time.
-ARCHIVE_BYTES = 8 << 20
+#: Compressed bytes after which an archive is closed, by default; a task holds one at a time.
+ARCHIVE_BYTES = 32 << 20
 #: Bytes of neighbouring records read at once.
 RANGE_BYTES = 1 << 20
-#: Copies of the small table of repeated payloads, so that rows of a very common payload go to as many tasks.
-SALTS = 16
+#: Repeated payloads, some 60 bytes each, up to which they are broadcast and no payload is shuffled.
+BROADCAST_REPEATS = 500_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 # Fixed values of the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -184,7 +184,7 @@ def read_archive(size: int, read_at) -> Iterator[Record]:
         i = j + 1
 
 
-def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record for each row into archives in the shared folder; (path, records) of each, a finished table.
 
     Of rows with equal payloads of at least `least` bytes, those with the smallest id are responses and the others
@@ -195,10 +195,12 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("n", F.octet_length("payload"))
-    firsts = rows.where(F.col("n") >= least).groupBy("sha", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null")
-    firsts = firsts.select("sha", "n", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
-    decided = salted.join(firsts, ["sha", "n", "salt"], "left").select("id", "url", "payload", "sha", F.when(F.col("first") != F.coalesce("id", F.col("first") - 1), F.col("first")).alias("refers"))
+    repeats = rows.where(F.col("n") >= least).groupBy("sha", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null")
+    repeats = written(repeats.select("sha", "n", "first"), "warc-repeats")
+    few = repeats.count() <= BROADCAST_REPEATS
+    # else both sides are shuffled by payload, and adaptive execution splits the rows of a very common one
+    decided = rows.join(F.broadcast(repeats) if few else repeats, ["sha", "n"], "left")
+    decided = decided.select("id", "url", "payload", "sha", F.when(F.col("first") != F.coalesce("id", F.col("first") - 1), F.col("first")).alias("refers"))
     folder = fresh_dir(df.sparkSession, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +217,7 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             for page, url, payload, sha, refers in zip(*batch.columns, strict=True):
                 page = page.as_py()
                 archive.add(page, build_record(page, url.as_py(), payload.as_py(), base64.b32encode(sha.as_py()).decode(), refers.as_py(), date))
-                if archive.data.tell() >= ARCHIVE_BYTES:
+                if archive.data.tell() >= archive_bytes:
                     close()
         if archive.count:
             close()
@@ -226,7 +228,9 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """A row for each record of the archives (path): page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to and, if payloads, payload (binary; null for revisits)."""
+    refers_to and, if payloads, payload (binary; null for revisits). url is what the record says: urn:none for a null url,
+    control characters and spaces as escapes. A page without an id has a null one, records of repeated rows all come,
+    an empty table of archives gives an empty one, and a broken archive is an error."""
     spark = archives.sparkSession
     paths = archives.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
