@@ -124,35 +124,73 @@ def encode_file(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray)
     return b"".join([MAGIC, struct.pack("<II", len(header), zlib.crc32(header)), header, *packed, words])
 
 
-def decode_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
-    """(ids, doc_ids, lengths); raises ValueError where a checksum doesn't hold."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a file of this format")
-    n, crc = struct.unpack_from("<II", data, 8)
-    if zlib.crc32(data[16 : 16 + n]) != crc:
-        raise ValueError("broken header")
-    h, at, sections = json.loads(zlib.decompress(data[16 : 16 + n])), 16 + n, []
-    for size in h["sections"]:
-        sections.append(data[at : at + size])
-        at += size
-    symbols, freq, docs, valid, lengths, table, states = (zlib.decompress(s) for s in sections[:-1])
-    symbols = np.cumsum(np.frombuffer(symbols, "<u4").astype(np.int64)).astype(np.uint32)
-    freq, words = np.frombuffer(freq, "<u4").astype(np.uint64), np.frombuffer(sections[-1], "<u4")
-    table = np.frombuffer(table, "<u4").reshape(-1, 5).astype(np.int64)
-    states = np.frombuffer(states, "<u8").reshape(-1, LANES)
-    places = np.concatenate([[0], np.cumsum(table[:, 2])])
-    ids = np.empty(h["ids"], np.uint32)
-    for steps in np.unique(table[:, 1]).tolist():
-        blocks = np.flatnonzero(table[:, 1] == steps)
+class File:
+    """A file behind a range reader (bytes of a length at an offset): its tables are read at once, blocks when asked for."""
+
+    def __init__(self, read_at):
+        self.read_at = read_at
+        head = read_at(16, 0)
+        if head[:8] != MAGIC:
+            raise ValueError("not a file of this format")
+        n, crc = struct.unpack_from("<II", head, 8)
+        raw = read_at(n, 16)
+        if zlib.crc32(raw) != crc:
+            raise ValueError("broken header")
+        self.header = h = json.loads(zlib.decompress(raw))
+        *sizes, self.words_size = h["sections"]
+        packed, at, sections = read_at(sum(sizes), 16 + n), 0, []
+        for size in sizes:
+            sections.append(zlib.decompress(packed[at : at + size]))
+            at += size
+        self.words_at = 16 + n + at
+        symbols, freq, docs, valid, lengths, table, states = sections
+        self.symbols = np.cumsum(np.frombuffer(symbols, "<u4").astype(np.int64)).astype(np.uint32)
+        self.freq = np.frombuffer(freq, "<u4").astype(np.uint64)
+        self.table = np.frombuffer(table, "<u4").reshape(-1, 5).astype(np.int64)
+        self.states = np.frombuffer(states, "<u8").reshape(-1, LANES)
+        self.places = np.concatenate([[0], np.cumsum(self.table[:, 2])])
+        known = np.unpackbits(np.frombuffer(valid, np.uint8))[: h["docs"]]
+        self.doc_ids = [d if v else None for d, v in zip(np.frombuffer(docs, "<i8").tolist(), known.tolist(), strict=True)]
+        self.lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
+
+    def _decoded(self, blocks: np.ndarray, words: np.ndarray, first: int) -> list[np.ndarray]:
+        """The ids of blocks of equally many steps, words beginning at the place `first`."""
+        table, places = self.table, self.places - first
         for b in blocks.tolist():
             if _crc(words[places[b] : places[b + 1]]) != table[b, 3]:
                 raise ValueError(f"broken words of block {b}")
-        out = symbols[_decode(states[blocks], words, places[blocks], steps, freq, h["bits"])].reshape(len(blocks), -1)
-        for row, b in zip(out, blocks.tolist(), strict=True):
-            own = row[: table[b, 0]]
+        out = self.symbols[_decode(self.states[blocks], words, places[blocks], int(table[blocks[0], 1]), self.freq, self.header["bits"])].reshape(len(blocks), -1)
+        found = [row[: table[b, 0]] for row, b in zip(out, blocks.tolist(), strict=True)]
+        for own, b in zip(found, blocks.tolist(), strict=True):
             if _crc(own.astype("<u4")) != table[b, 4]:
                 raise ValueError(f"broken ids of block {b}")
-            ids[b * BLOCK : b * BLOCK + len(own)] = own
-    known = np.unpackbits(np.frombuffer(valid, np.uint8))[: h["docs"]]
-    doc_ids = [d if v else None for d, v in zip(np.frombuffer(docs, "<i8").tolist(), known.tolist(), strict=True)]
-    return ids, doc_ids, np.frombuffer(lengths, "<u4").astype(np.int64)
+        return found
+
+    def block(self, b: int) -> np.ndarray:
+        """The ids of one block: only its words are read, and its checkpoint is where decoding begins."""
+        first, last = int(self.places[b]), int(self.places[b + 1])
+        words = np.frombuffer(self.read_at(4 * (last - first), self.words_at + 4 * first), "<u4")
+        return self._decoded(np.array([b]), words, first)[0]
+
+    def document(self, i: int) -> np.ndarray:
+        """The ids of the i-th document, from the blocks that hold them."""
+        begin = int(self.lengths[:i].sum())
+        end = begin + int(self.lengths[i])
+        parts = [self.block(b) for b in range(begin // BLOCK, -(-end // BLOCK))]
+        first = begin // BLOCK * BLOCK
+        return np.concatenate([*parts, np.zeros(0, np.uint32)])[begin - first : end - first]
+
+    def ids(self) -> np.ndarray:
+        """All ids; blocks of equally many steps are decoded together."""
+        words, out = np.frombuffer(self.read_at(self.words_size, self.words_at), "<u4"), np.empty(self.header["ids"], np.uint32)
+        for steps in np.unique(self.table[:, 1]).tolist():
+            blocks = np.flatnonzero(self.table[:, 1] == steps)
+            for own, b in zip(self._decoded(blocks, words, 0), blocks.tolist(), strict=True):
+                out[b * BLOCK : b * BLOCK + len(own)] = own
+        return out
+
+
+def decode_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
+    """(ids, doc_ids, lengths) of a whole file; raises ValueError where a checksum doesn't hold."""
+    f = File(lambda n, at: data[at : at + n])
+    return f.ids(), f.doc_ids, f.lengths

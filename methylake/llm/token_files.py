@@ -20,7 +20,7 @@ from methylake.llm.common import attempt_name, filesystem, fresh_dir, id_text, m
 from methylake.llm.pretoken import WORD_END, PieceCache, byte_level, library_pieces, load, lower_plain, special_cutter, specials_of
 from methylake.llm.rans import decode_file, encode_file
 
-#: Ids after which a file is closed.
+#: Ids after which a file is closed, by default.
 FILE_IDS = 1 << 21
 
 _STATE: dict[str, tuple] = {}
@@ -44,10 +44,11 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     return [join(map(get, words(t.lower()))) if lower_plain(t, specials) else join(map(other, library_pieces(tokenizer, cutter, t))) for t in texts]
 
 
-def write_token_files(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int | None = None) -> DataFrame:
     """Writes the ids of all documents, each followed by end_id, in ascending order of id; (part, seq, path, docs, ids)
-    of each file, a finished table. Null ids come first; rows that repeat an id are ordered by a hash of the text."""
-    spark = df.sparkSession
+    of each file, a finished table. Null ids come first; rows that repeat an id are ordered by a hash of the text. A file
+    is closed with file_ids ids or more; a task holds one at a time."""
+    spark, most = df.sparkSession, file_ids or FILE_IDS
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = id_text(df, id_col, text_col).repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
     folder, end = fresh_dir(spark, "token-files"), np.array([end_id], "<u4").tobytes()
@@ -69,7 +70,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int, id_col: str = "doc_
                 ids.append(doc)
                 chunks.append(blob + end)
                 held += len(chunks[-1]) // 4
-                if held >= FILE_IDS:
+                if held >= most:
                     close()
         if ids:
             close()
@@ -83,7 +84,8 @@ def write_token_files(df: DataFrame, path: str, end_id: int, id_col: str = "doc_
 
 
 def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """(id_col, start, n_tokens, ids_crc32[, ids]) of every document in the files, start counting the ids before it."""
+    """(id_col, start, n_tokens, ids_crc32[, ids]) of every document in the files, start counting the ids before it. Null
+    ids and repeated documents come as they were written, no files give an empty table, a broken file is an error."""
     spark = files.sparkSession
     # parts are the write's partitions, a fixed number; files of a part are numbered within it
     parts = files.groupBy("part").agg(F.sum("ids").alias("part_ids"))

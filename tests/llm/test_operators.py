@@ -345,8 +345,9 @@ def test_decontamination_of_long_repetitive_texts():
         assert [(i, x[0], x[1]) for i, x in found] == [(0, 1, 1.0)] and peak < 200 << 20
 
 
-@pytest.mark.parametrize("least", [0, 4])
-def test_warc(spark, least):
+@pytest.mark.parametrize(("least", "few"), [(0, 500_000), (4, 500_000), (0, 0)])
+def test_warc(spark, least, few, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_REPEATS", few)
     rows = [(3, "http://a/\r\nX: y", "same"), (1, None, "same"), (2, "u", ""), (4, "u", None), (5, "u", "<p>é" * 30000), (None, "u", "same"), (6, "u", "other"), (6, "u", "other"), (7, "u", "abc"), (8, "u", "abc")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string")
     got = warc.warc_round_trip(df, least=least).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
@@ -416,6 +417,18 @@ def test_rans(n):
     data = rans.encode_file(ids, [5, None], np.array([n, 0]))
     got = rans.decode_file(data)
     assert (got[0] == ids).all() and got[1] == [5, None] and got[2].tolist() == [n, 0]
+    asked = []
+
+    def at(size, offset):
+        asked.append(size)
+        return data[offset : offset + size]
+
+    f = rans.File(at)
+    assert (f.document(0) == ids).all() and len(f.document(1)) == 0
+    if n > rans.BLOCK:
+        del asked[:]
+        assert (f.block(1) == ids[rans.BLOCK : 2 * rans.BLOCK]).all()
+        assert asked == [4 * int(f.table[1, 2])] and asked[0] < len(data) // 2 + 1000
     if n > 1000:
         broken = bytearray(data)
         broken[-9] ^= 4
