@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methylake.functions.expr import fixed_text, percent
+from methylake.operators.genome import WORDS, composition
 from methylake.sources.text import numbered
 
 # The beginnings of report lines, as the reports have them, and the count that each gives.
@@ -106,8 +107,6 @@ def mbias_text(table: DataFrame, paired: bool = False) -> str:
 def composition_text(report: DataFrame, head: str) -> str:
     """genome.composition_report() rows, 20 of them, as text behind a head line; a word or a total that the genome or the
     sample lacks is an error."""
-    from methylake.operators.genome import WORDS
-
     rows = {r.word: r for r in report.select("word", "count_sample", "count_genomic", *(fixed_text(F.col(c), 2).alias(c) for c in ("pct_sample", "pct_genomic")), F.col("coverage")).collect()}
     out = [head]
     for word in WORDS:
@@ -118,6 +117,17 @@ def composition_text(report: DataFrame, head: str) -> str:
     return "".join(line + "\n" for line in out)
 
 
+def cached_composition(genome: DataFrame, path: str) -> DataFrame:
+    """(word, n) of a genome, from the folder at path if it is there, else counted and written there, words in the order of
+    their bytes."""
+    spark = genome.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        rows = composition(genome).coalesce(1).sortWithinPartitions(F.col("word").cast("binary"))  # 20 rows
+        rows.select(F.concat_ws("\t", "word", "n").alias("value")).write.text(path)
+    return spark.read.csv(path, sep="\t", schema="word string, n long")
+
+
 def dedup_text(label: str, total: int, removed: int, positions: int, umi: bool = False) -> str:
     """The deduplication report of alignments.duplicate_counts()."""
     share = lambda n: f"{n / total * 100:.2f}" if total else "0.00"

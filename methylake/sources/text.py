@@ -170,13 +170,31 @@ def paired_end(spark: SparkSession, path: str, program: str) -> bool | None:
     return last["x"]
 
 
-def calls(spark: SparkSession, path: str | list[str], prefix: str = "CpG") -> DataFrame:
+def reject_sorted(spark: SparkSession, path: str, paired: bool) -> None:
+    """Raises for SAM of pairs whose header says that it is sorted by coordinate: mates must follow each other."""
+    head = lines(spark, path).where(F.col("value").startswith("@HD\t") & F.array_contains(F.split("value", "\t"), "SO:coordinate"))
+    if paired and not head.isEmpty():
+        raise ValueError(f"{path} is sorted by coordinate; its mates don't follow each other")
+
+
+def chromosome_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of the @SQ lines of SAM, in their order."""
+    rows = numbered(spark, path).where(F.col("value").startswith("@SQ\t")).orderBy("ord").select(F.regexp_extract("value", "\tSN:([^\t]*)", 1)).collect()
+    return [r[0] for r in rows]
+
+
+def calls(spark: SparkSession, path: str | list[str], prefix: str = "CpG", no_header: bool = True) -> DataFrame:
     """(file, ctx, strand, read_id, meth, chr, pos, call) of five-column call files whose names start with prefix.
 
-    Context and strand come from the name. Lines of another shape, as the first line, go; a position below 1 raises.
+    Context and strand come from the name. Lines of another shape go, and without no_header the first line of each file
+    whatever its shape; a position below 1 raises.
     """
     name = F.col("_metadata.file_name")
-    f = spark.read.text(path).select(name.alias("file"), F.split("value", "\t").alias("f")).where(F.col("file").startswith(prefix) & (F.size("f") == 5))
+    if no_header:
+        rows = spark.read.text(path).select(name.alias("file"), "value")
+    else:
+        rows = numbered(spark, path).where("ord > 0").select(F.regexp_extract("file", "[^/]*$", 0).alias("file"), "value")
+    f = rows.select("file", F.split("value", "\t").alias("f")).where(F.col("file").startswith(prefix) & (F.size("f") == 5))
     pos = F.col("f")[3].try_cast("long")
     pos = F.when(pos >= 1, pos).otherwise(F.raise_error(F.concat(F.lit("bad position: "), F.array_join("f", " "))).cast("long"))
     part = lambda i: F.nullif(F.regexp_extract("file", r"^([A-Za-z]+(?:_CpG)?)_(CTOT|CTOB|OT|OB)?", i), F.lit(""))

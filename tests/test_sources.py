@@ -198,3 +198,29 @@ def test_report_texts(spark):
         reports.composition_text(genome.composition_report(genome.composition(whole), genome.composition(whole.where("chr = '2'"))), "head")
     assert "66.67%" in reports.consistency_text({"all_meth": 2, "discarded": 1, "skipped": 9}) and "N/A" in reports.consistency_text({})
     assert reports.splitting_share("CHG", 1, 2).endswith("33.3%") and "Can't" in reports.splitting_share("CHG", 0, 0)
+
+
+def test_kinds_of_alignments(spark, tmp_path):
+    from methylake.sources import alignments, bam
+
+    p = put(tmp_path / "a.x", SAM)
+    assert alignments.kind(spark, p) == "sam"
+    records = alignments.read(spark, p, mapped_only=False)
+    done = bam.write_bam(records.drop("file", "ord").coalesce(1), str(tmp_path / "b"), [("chr1", 50)]).first()
+    path = f"{tmp_path}/b/{done[0].rsplit('/', 1)[-1]}"
+    assert alignments.kind(spark, path) == "bam" and alignments.read(spark, path).count() == 1
+    with pytest.raises(ValueError, match="CRAM"):
+        alignments.read(spark, put(tmp_path / "c.x", "CRAM\x03"))
+    assert text.chromosome_names(spark, put(tmp_path / "s.sam", "@HD\tVN:1.0\tSO:coordinate\n@SQ\tSN:b\tLN:5\n@SQ\tSN:a\tLN:6\n")) == ["b", "a"]
+    text.reject_sorted(spark, str(tmp_path / "s.sam"), False)
+    with pytest.raises(ValueError, match="sorted"):
+        text.reject_sorted(spark, str(tmp_path / "s.sam"), True)
+
+
+def test_cached_composition(spark, tmp_path):
+    whole = spark.createDataFrame([("1", "AACAGATCCGCTGGTTA")], "chr string, seq string")
+    first = sorted(reports.cached_composition(whole, str(tmp_path / "c")).collect())
+    assert first == sorted(genome.composition(whole).collect())
+    assert sorted(reports.cached_composition(whole.limit(0), str(tmp_path / "c")).collect()) == first
+    put(tmp_path / "CpG_OT_h.txt", "r1\t+\tchr1\t5\tZ\nr2\t+\tchr1\t6\tZ\n")
+    assert (text.calls(spark, str(tmp_path / "CpG*"), no_header=False).count(), text.calls(spark, str(tmp_path / "CpG*")).count()) == (1, 2)
