@@ -121,19 +121,10 @@ def linked(inter: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, percent:
     return 100 * inter >= percent * (sizes_a[:, None] + sizes_b[None, :] - inter)
 
 
-def confirmed(nodes: list[int], sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members; with left, only links between a left and another member count.
-
-    Shingles of one member alone can't be in an intersection and are left out of the product, which runs over
-    columns of shingles in chunks of bounded size.
-    """
-    m = len(nodes)
-    if m == 2 and (left is None or left[0] != left[1]):
-        a, b = sets
-        inter = len(np.intersect1d(a, b, assume_unique=True))
-        return [(nodes[0], nodes[1])] if 100 * inter >= percent * (len(a) + len(b) - inter) else []
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(m), sizes)
+def _overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at rows with those at cols. Shingles of one set alone can't be in one and
+    are left out of the product, which runs over columns of shingles in chunks of bounded size."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
@@ -141,36 +132,63 @@ def confirmed(nodes: list[int], sets: list[np.ndarray], percent: int, left: np.n
     column = np.cumsum(fresh) - 1
     common = np.bincount(column)[column] > 1
     owner, column = owner[common], np.cumsum(fresh[common]) - 1
-    rows = np.arange(m) if left is None else np.flatnonzero(left)
-    cols = np.arange(m) if left is None else np.flatnonzero(~left)
     inter = np.zeros((len(rows), len(cols)), np.float32)
     width = 4096
     n = int(column[-1]) + 1 if len(column) else 0
     cuts = np.searchsorted(column, np.arange(0, n + width, width))
     for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        dense = np.zeros((m, min(width, n - c * width)), np.float32)
+        dense = np.zeros((len(sets), min(width, n - c * width)), np.float32)
         dense[owner[a:b], column[a:b] - c * width] = 1
         inter += dense[rows] @ dense[cols].T
-    parent = list(range(m))
+    return inter
+
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def _find(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
 
-    out = []
-    for i, j in zip(*np.nonzero(linked(inter, sizes[rows], sizes[cols], percent)), strict=True):
+
+def confirmed(nodes: list[int], sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between members; with left, only links between a left and another member count."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    rows = np.arange(len(nodes)) if left is None else np.flatnonzero(left)
+    cols = np.arange(len(nodes)) if left is None else np.flatnonzero(~left)
+    parent, out = list(range(len(nodes))), []
+    for i, j in zip(*np.nonzero(linked(_overlaps(sets, rows, cols), sizes[rows], sizes[cols], percent)), strict=True):
         i, j = int(rows[i]), int(cols[j])
-        if (a := find(i)) != (b := find(j)):
+        if (a := _find(parent, i)) != (b := _find(parent, j)):
             parent[a] = b
             out.append((nodes[i], nodes[j]))
     return out
 
 
-def _confirm(members: DataFrame, percent: int) -> DataFrame:
+def tied(nodes: list[int], sets: list[np.ndarray], percent: int, pivots: np.ndarray) -> list[tuple[int, int]]:
+    """(member, pivot) of each member, pivots themselves too, and the smallest pivot of each component of pivots alone
+    that it is linked with: the same pivots give the same components whatever other members there are."""
+    if len(nodes) == 2 and pivots.all():
+        a, b = sets
+        inter = len(np.intersect1d(a, b, assume_unique=True))
+        return [(max(nodes), min(nodes))] if 100 * inter >= percent * (len(a) + len(b) - inter) else []
+    sizes = np.array([len(s) for s in sets], np.int64)
+    rows = np.flatnonzero(pivots)
+    links = linked(_overlaps(sets, rows, np.arange(len(nodes))), sizes[rows], sizes, percent)
+    parent = list(range(len(rows)))
+    for i, j in zip(*np.nonzero(links[:, rows]), strict=True):
+        parent[_find(parent, int(i))] = _find(parent, int(j))
+    smallest: dict[int, int] = {}
+    for i, row in enumerate(rows.tolist()):
+        root = _find(parent, i)
+        smallest[root] = min(nodes[row], smallest.get(root, nodes[row]))
+    heads = [smallest[_find(parent, i)] for i in range(len(rows))]
+    ties = {(nodes[j], heads[i]) for i, j in zip(*(x.tolist() for x in np.nonzero(links)), strict=True)}
+    return [t for t in ties if t[0] != t[1]]
+
+
+def _confirm(members: DataFrame, percent: int, first: bool) -> DataFrame:
     """members (node, family, active, blocks, block, shingles) -> confirmed links (a, b): blocks below active meet
-    themselves and all blocks of their family."""
+    themselves and all blocks of their family. In the first pass block 0 alone is active, and links are tied() to it."""
     mates = F.sequence(F.lit(0), F.when(F.col("block") < F.col("active"), F.col("blocks")).otherwise(F.col("active")) - 1)
     pairs = members.withColumn("mate", F.explode(mates)).select(
         "family", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"), "block", "node", "shingles"
@@ -179,11 +197,11 @@ def _confirm(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         def close(key, group):
-            blocks = np.array([g[0] for g in group])
-            left = None if key[1] == key[2] else blocks == key[1]
-            if len(group) < 2 or (left is not None and (left.all() or not left.any())):
+            nodes, sets = [g[1] for g in group], [np.frombuffer(g[2], np.uint64) for g in group]
+            left = np.array([g[0] for g in group]) == key[1]
+            if len(group) < 2 or (key[1] != key[2] and (left.all() or not left.any())):
                 return []
-            return confirmed([g[1] for g in group], [np.frombuffer(g[2], np.uint64) for g in group], percent, left)
+            return tied(nodes, sets, percent, left) if first else confirmed(nodes, sets, percent, None if key[1] == key[2] else left)
 
         key, group = None, []
         for batch in batches:
@@ -213,34 +231,35 @@ def _dealt(blocks):
     return F.pmod(F.xxhash64("node", "k1"), blocks).cast("int")
 
 
-def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, first: bool) -> DataFrame:
     """Confirmed links of members (node, k1, k2, family, active, blocks, block), a finished table."""
     members = members.select(F.col("node").alias("id"), "k1", "k2", "family", "active", "blocks", "block")
     if members.count() <= BROADCAST_MEMBERS:  # else both sides are shuffled by id
         members = F.broadcast(members)
     texts = docs.where("id is not null").join(members, "id").select("id", "text", "k1", "k2", "family", "active", "blocks", "block")
-    return written(_confirm(_sets(texts, k), percent), "minhash-links")
+    return written(_confirm(_sets(texts, k), percent, first), "minhash-links")
 
 
 def _family_links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """A spanning forest of the links within the families of members (node, n, k1, k2, family)."""
     sizes = members.groupBy("family").agg(_blocks().alias("blocks"))
-    placed = written(members.join(sizes, "family").withColumns({"active": F.lit(1), "block": _dealt(F.col("blocks"))}), "minhash-blocks")
-    links = _links(docs, placed, k, percent)
-    large = placed.where("blocks > 1")
+    placed = written(split_join(members, sizes, ["family"]).withColumns({"active": F.lit(1), "block": _dealt(F.col("blocks"))}), "minhash-blocks")
+    links = _links(docs, placed, k, percent, True)
+    large = placed.where("blocks > 1").select("node", "n", "k1", "k2", "family")
     if large.isEmpty():
         return links
-    parts = connected_components(links.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
-    large = large.select("node", "n", "k1", "k2", "family").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = large.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
-    most = counts.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
-    large = written(large.join(most, "family").withColumn("apart", F.col("component") != F.col("most")), "minhash-apart")
+    # a pivot is tied to itself too
+    ties = large.select("node", "family").distinct().join(links.select(F.col("a").alias("node"), F.col("b").alias("pivot")), "node")
+    ties = ties.unionByName(ties.select(F.col("pivot").alias("node"), "family", "pivot").distinct())
+    most = ties.groupBy("family", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
+    within = split_join(ties, most, ["family", "pivot"]).select("node", F.lit(False).alias("no")).distinct()
+    large = written(large.join(within, "node", "left").withColumn("apart", F.coalesce("no", F.lit(True))), "minhash-apart")
     out = large.where("apart").groupBy("family").agg(_blocks().alias("active"))
     within = large.where("not apart").groupBy("family").agg(_blocks().alias("rest"))
-    again = large.join(out.join(within, "family"), "family")
-    block = F.when(F.col("apart"), _dealt(F.col("active"))).otherwise(F.col("active") + _dealt(F.col("rest")))
+    again = split_join(large, out.join(within, "family", "left").fillna(0, ["rest"]), ["family"])
+    block = F.when(F.col("apart"), _dealt(F.col("active"))).otherwise(F.col("active") + _dealt(F.greatest(F.col("rest"), F.lit(1))))
     again = written(again.select("node", "k1", "k2", "family", "active", (F.col("active") + F.col("rest")).alias("blocks"), block.alias("block")), "minhash-blocks")
-    return links if again.isEmpty() else links.unionByName(_links(docs, again, k, percent))
+    return links if again.isEmpty() else links.unionByName(_links(docs, again, k, percent, False))
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
