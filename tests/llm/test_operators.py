@@ -699,3 +699,26 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
     want = [(*r[:place], sp.decode(sp.encode(r[place])), *r[place + 1 :], sp.encode(r[place])) for r in distinct if r[0] not in dirty]
     same(corpus_pipeline.run(spark, str(tmp_path)).collect(), want)
+
+
+def test_pipeline_of_hard_rows(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    items = [(1, words(40, 9)), (2, None), (3, "")]
+    rows = hard_rows() + [(60, "so " + words(40, 9), 7, "s", "z"), (61, words(40, 9), 7, "s", "z"), (None, words(40, 9), 7, "s", "z"), (None, None, 7, "s", "z")]
+    odd = {"shard": "IDS", "size": "_first", "id": "kept"}
+    spark.createDataFrame(rows, SCHEMA).withColumnsRenamed(odd).repartition(4).write.parquet(f"{tmp_path}/a/documents.parquet")
+    empty.withColumnsRenamed(odd).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for d in "ab":
+        spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{d}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    assert out.columns == ["doc_id", "text", "_first", "kept", "ids"]
+    docs = [(r[0], r[1] or "") for r in rows]
+    # without labels every text is as likely good as bad and stays
+    first = {i for i, _, _, keep in brute_components(docs, 5, 80) if keep}
+    dirty = {t for _, t in docs if brute_contaminated([(0, t)], items)}
+    want = [(i, t) for i, t in dict((i, t) for i, t in docs if i in first).items() if t not in dirty] + [(None, t) for i, t in docs if i is None and t not in dirty]
+    assert dirty and sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str) == sorted(want, key=str)
+    assert all((r.text is None) <= (r.ids == []) for r in out.collect())
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
