@@ -653,7 +653,7 @@ def deconvolution_report(spark, d):
 
 
 @query(
-    _PLACED + """, fr AS (SELECT *, (list_extract([99, 147, 83, 163], CAST(read_id % 4 + 1 AS INT)) & 16) = 0 AS ahead, (list_extract([99, 147, 83, 163], CAST(read_id % 4 + 1 AS INT)) & 64) > 0 AS first, least(pos, 101) - 1 AS start0, least(pos, 101) - 1 + 200 AS "end" FROM w0 WHERE read_id % 40 >= 5),
+    _PLACED + """, fr AS (SELECT *, (list_extract([99, 147, 83, 163], CAST((read_id // 200) % 4 + 1 AS INT)) & 16) = 0 AS ahead, (list_extract([99, 147, 83, 163], CAST((read_id // 200) % 4 + 1 AS INT)) & 64) > 0 AS first, least(pos, 101) - 1 AS start0, least(pos, 101) - 1 + 200 AS "end" FROM w0 WHERE read_id % 40 >= 5),
   q AS (SELECT *, unnest(range(0, 50)) AS q FROM fr), ob AS (SELECT chr, start0, gs, n, ahead, CASE shape WHEN 0 THEN pos - 1 + q WHEN 1 THEN CASE WHEN q < 20 THEN pos - 1 + q ELSE pos + 1 + q END ELSE CASE WHEN q < 5 THEN NULL ELSE pos - 6 + q END END AS p, substr(seq, CAST(q + 1 AS INT), 1) AS b FROM q),
   si AS (SELECT chr, start0, p, ahead, b, CASE WHEN substr(gs, p + 1, 2) = 'CG' THEN true WHEN p > 0 AND substr(gs, p, 2) = 'CG' THEN false END AS plus FROM ob WHERE p IS NOT NULL AND p < n),
   pile AS (SELECT chr, start0, p, plus, count(*) FILTER (ahead = plus) AS own, count(*) FILTER (ahead <> plus) AS opp, count(*) FILTER (ahead <> plus AND b = CASE WHEN plus THEN 'T' ELSE 'A' END) AS opp_t FROM si WHERE plus IS NOT NULL GROUP BY 1, 2, 3, 4),
@@ -665,7 +665,7 @@ def deconvolution_report(spark, d):
 def duplex_report(spark, d):
     i = F.col("read_id")
     rows = D.placed(spark, d).withColumns({
-        "flag": F.element_at(F.array(*(F.lit(x) for x in (99, 147, 83, 163))), (i % 4 + 1).cast("int")), "pnext": F.lit(101).cast("long"), "tlen": F.lit(200), "mapq": (i % 40).cast("int"), "rx": F.when(i % 2 == 0, "TTA+ACG").otherwise("acg+tta"),
+        "flag": F.element_at(F.array(*(F.lit(x) for x in (99, 147, 83, 163))), (F.floor(i / 200) % 4 + 1).cast("int")), "pnext": F.lit(101).cast("long"), "tlen": F.lit(200), "mapq": (i % 40).cast("int"), "rx": F.when(F.floor(i / 200) % 2 == 0, "TTA+ACG").otherwise("acg+tta"),
     })
     return W.duplex_report(W.fragments(rows, least_mapq=5), D.genome(spark, d))
 
