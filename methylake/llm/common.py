@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import urllib.parse
@@ -73,6 +74,13 @@ def split_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return big.join(small.select(*(same[c].alias(c) if c in same else c for c in small.columns)), keys)
 
 
+def give_back() -> None:
+    """Returns what this Python process has freed to the system, where its C library can; else it stays resident."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim is not None:
+        trim(0)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) for a shared-folder URI, usable in Python workers."""
     from pyarrow import fs

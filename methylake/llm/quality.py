@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from methylake.llm.common import map_arrow, map_batches
+from methylake.llm.common import give_back, map_arrow, map_batches
 from methylake.llm.wordhash import constants, hash_runs, mix, pieces, text_buffer, word_bounds
 
 #: Rows of the table, size of a vector, lengths of n-grams in characters.
@@ -129,7 +129,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on a bounded sample, whatever the input: labelled rows that are not held out, in the order of hashes of
     their ids, the first max_labelled of them, and of these the first with texts of max_bytes together, but one at
     least. Texts are learned whole. Null ids and labels other than 0 and 1 are not learned; rows that repeat an id give
-    the text that sorts first, an id with both labels is learned with both."""
+    the text that sorts first, an id with both labels is learned with both. The sample's memory goes back to the system."""
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").where(~held_out(F.col("id")))
     chosen = chosen.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(max_labelled)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -140,7 +140,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     fitting = sizes.where((F.col("before") == 0) | (F.col("before") + F.col("size") <= max_bytes)).select("id", "label")
     sample = rows.join(F.broadcast(fitting), ["id", "label"]).collect()
     sample.sort(key=lambda r: (r.id, r.label))
-    return fit([r.text for r in sample], [r.label for r in sample])
+    texts, labels = [r.text for r in sample], [r.label for r in sample]
+    del sample
+    model = fit(texts, labels)
+    del texts
+    give_back()
+    return model
 
 
 def quality_scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

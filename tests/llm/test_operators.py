@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from methylake.llm import decontaminate, gif, graph, minhash, pieces_fst, quality, queries, rans, sharding, token_counts, token_files, url_filters, warc
+from methylake.llm import common, decontaminate, gif, graph, minhash, pieces_fst, quality, queries, rans, sharding, token_counts, token_files, url_filters, warc
 
 SCHEMA = "doc_id long, text string, shard int, size string, id string"  # with clashing extra columns
 
@@ -230,6 +230,31 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_contracted_in_tasks(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(320)]
+    want = {}
+    for a, b in edges:
+        if a != b:
+            both = want.get(a, {a}) | want.get(b, {b})
+            want.update(dict.fromkeys(both, both))
+    want = {i: min(both) for i, both in want.items()}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    spark.sparkContext.setJobGroup("components", "")
+    assert dict(graph.connected_components(table).collect()) == want
+    # what one task can contract takes no rounds: each has some ten jobs, planned and held by the driver
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 14
+    spark.sparkContext.setJobGroup("", "")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # and what is spread over tasks takes them
+        assert dict(graph.connected_components(table).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tied = dict(zip(*(x.tolist() for x in graph.forest(*np.array([e for e in edges if e[0] != e[1]]).T)), strict=True))
+    assert tied == {i: c for i, c in want.items() if i != c}
+    assert [len(x) for x in graph.forest(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
 def test_decontamination(spark, hard, empty):
     items = [(1, "The quick brown fox jumps over the lazy dog near the river bank today."), (2, None), (3, ""), (4, "only four words here"), (5, words(40, 9))]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -646,6 +671,21 @@ def test_scores_do_not_hang_on_batches():
     assert model.score(pa.array(xs)).tolist() == [model.score(pa.array([x]))[0] for x in xs]
 
 
+def test_quality_gives_its_memory_back(spark):
+    def resident():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x) for x in re.findall(r"\nPss_Anon:\s+(\d+)", f.read())) / 1024
+
+    rows = [(i, words(1000, i, 5000)) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    del rows
+    common.give_back()
+    before = resident()
+    model = quality.train(docs, labels)
+    assert model.rows.any() and resident() - before < 20
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
