@@ -28,3 +28,16 @@ def test_query(spark, name):
     want = sorted((tuple(map(plain, r)) for r in cur.fetchall()), key=key)
     got = sorted((tuple(map(plain, r)) for r in df.select(*(f"`{n}`" for n in names)).collect()), key=key)
     assert got == want
+
+
+# e * 2654435761 ends in 0xffff and lies above 2**53, so that the double nearest to it is a multiple of 65536
+LARGE = [e for e in range(4_000_000, 6_000_000) if e * 2654435761 % 65536 == 65535]
+
+
+@pytest.mark.parametrize("name", ["best_alignment_pe", "best_alignment_se", "combined_index_choice", "first_ambiguous", "run_counters"])
+def test_scores_of_large_ids(spark, tmp_path, name):
+    reads = ", ".join(f"({e // 4 * 4})" for e in LARGE)
+    duckdb.sql(f"copy (select first + event_id as event_id, * exclude (event_id, first) from '{SF}/events.parquet', (values {reads}) r(first) where event_id < 4) to '{tmp_path}/events.parquet'")
+    want = duckdb.sql(ORACLE[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet'"))
+    got = QUERIES[name](spark, str(tmp_path)).select(*(f"`{n}`" for n in want.columns)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
