@@ -15,10 +15,14 @@ def consistent_calls(calls: DataFrame) -> DataFrame:
     return calls.where("(meth = '+' and call in ('Z', 'X', 'H')) or (meth = '-' and call in ('z', 'x', 'h'))")
 
 
+def call_counts(calls: DataFrame) -> DataFrame:
+    """(chr, pos, m, u) of each consistent call: a coverage table not yet summed by position, for what sums it anyway."""
+    return consistent_calls(calls).select("chr", "pos", *((F.col("meth") == sign).cast("long").alias(n) for sign, n in (("+", "m"), ("-", "u"))))
+
+
 def coverage(calls: DataFrame, cutoff: int = 1) -> DataFrame:
     """(chr, pos, m, u, pct) of consistent calls with at least cutoff calls at a position; partial sums before the shuffle."""
-    m, u = F.sum((F.col("meth") == "+").cast("long")), F.sum((F.col("meth") == "-").cast("long"))
-    out = consistent_calls(calls).groupBy("chr", "pos").agg(m.alias("m"), u.alias("u"))
+    out = call_counts(calls).groupBy("chr", "pos").agg(F.sum("m").alias("m"), F.sum("u").alias("u"))
     return out.where(F.col("m") + F.col("u") >= cutoff).withColumn("pct", percent(F.col("m"), F.col("u")))
 
 
@@ -43,7 +47,9 @@ def ordered(cov: DataFrame, owners: DataFrame | None = None) -> DataFrame:
 
 
 def merge_samples(samples: list[DataFrame]) -> DataFrame:
-    """(chr, pos, m, u, pct) summed over coverage tables, pct to two decimals; positions without a call are left out."""
+    """(chr, pos, m, u, pct) summed over coverage tables, pct to two decimals; positions without a call are left out.
+    A table may have a position more than once, as call_counts() has: sums by sample first would be held in a task's
+    memory beside the sums over samples."""
     union = samples[0].select("chr", "pos", "m", "u")
     for s in samples[1:]:
         union = union.unionByName(s.select("chr", "pos", "m", "u"))

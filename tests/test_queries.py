@@ -41,3 +41,9 @@ def test_scores_of_large_ids(spark, tmp_path, name):
     want = duckdb.sql(ORACLE[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet'"))
     got = QUERIES[name](spark, str(tmp_path)).select(*(f"`{n}`" for n in want.columns)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_merge_samples_sums_once(spark):
+    # each sum by position holds its keys in the task's memory: one before the shuffle, one after it
+    plan = QUERIES["merge_samples"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2
