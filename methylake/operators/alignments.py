@@ -38,24 +38,25 @@ def spans(df: DataFrame) -> DataFrame:
     return df.withColumns({"ref_span": ref_span(ops), "read_span": read_span(ops)}).withColumn("end", F.col("start") + F.col("ref_span") - 1)
 
 
-def extract_calls(df: DataFrame, ignore5: int = 0, ignore3: int = 0) -> DataFrame:
-    """A row for each call of alignments (id, chr, start, cigar, xm, xr, xg): (id, chr, strand, pos, read_pos, ctx, methylated, call).
+def extract_calls(df: DataFrame, ignore5=0, ignore3=0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each call of alignments (id, chr, start, cigar, xm, xr, xg): (id, chr, strand, pos, read_pos, ctx, methylated,
+    call), and the columns of keep.
 
     read_pos is 0-based from the read's 5' end after ignore5 bases; inserted and clipped bases have no call; letters
     U, u and . are none. An unknown letter is an error.
     """
     s = strand(F.col("xr"), F.col("xg"))
-    rows = df.select("id", "chr", "start", "xm", s.alias("strand"), aligned_blocks(cigar_ops(F.col("cigar"))).alias("blocks"))
-    rows = rows.select("id", "chr", "start", "xm", "strand", F.inline("blocks"))
+    rows = df.select("id", "chr", "start", "xm", s.alias("strand"), *keep, aligned_blocks(cigar_ops(F.col("cigar"))).alias("blocks"))
+    rows = rows.select("id", "chr", "start", "xm", "strand", *keep, F.inline("blocks"))
     size = F.length("xm")
-    rows = rows.select("id", "chr", "strand", size.alias("n"), "read", (F.col("start") + F.col("ref")).alias("at"), F.substring("xm", F.col("read") + 1, F.col("len")).alias("part"))
+    rows = rows.select("id", "chr", "strand", *keep, size.alias("n"), "read", (F.col("start") + F.col("ref")).alias("at"), F.substring("xm", F.col("read") + 1, F.col("len")).alias("part"))
     rows = rows.select("*", F.posexplode(F.split("part", "")).alias("k", "call")).where("call not in ('.', 'U', 'u', '')")
     q = F.col("read") + F.col("k")
     rows = rows.withColumn("p", F.when(forward(F.col("strand")), q).otherwise(F.col("n") - 1 - q))
     rows = rows.where((F.col("p") >= ignore5) & (F.col("p") < F.col("n") - ignore3))
     low = F.lower("call")
     ctx = F.when(low == "z", "CpG").when(low == "x", "CHG").when(low == "h", "CHH").otherwise(F.raise_error(F.concat(F.lit("bad call "), F.col("call"))))
-    return rows.select("id", "chr", "strand", (F.col("at") + F.col("k")).cast("long").alias("pos"), (F.col("p") - ignore5).alias("read_pos"), ctx.alias("ctx"), (F.col("call") != low).alias("methylated"), "call")
+    return rows.select("id", "chr", "strand", (F.col("at") + F.col("k")).cast("long").alias("pos"), (F.col("p") - ignore5).alias("read_pos"), ctx.alias("ctx"), (F.col("call") != low).alias("methylated"), "call", *keep)
 
 
 def mbias(calls: DataFrame, read: int = 1) -> DataFrame:
@@ -78,17 +79,37 @@ def routed(calls: DataFrame, comprehensive: bool = False, merge_non_cpg: bool =
     return calls.withColumn("route", F.concat(ctx, F.lit("_context")) if comprehensive else F.concat_ws("_", ctx, "strand"))
 
 
+def _bounds(start1, cigar1, ahead, ignore3: int) -> tuple:
+    """Where mate 1 begins and ends after its 3' trimming."""
+    ops = cigar_ops(cigar1)
+    kept, old = trimmed_span(ops, ignore3, ahead), ref_span(ops)
+    begin = F.when(ahead, start1).otherwise(start1 + old - kept)
+    return begin, F.when(ahead, F.when(kept > 0, start1 + kept - 1).otherwise(start1)).otherwise(start1 + old - 1)
+
+
+def _outside(calls: DataFrame) -> DataFrame:
+    """Calls with forward, b1 and e1 of their pair: mate 1's, and mate 2's past mate 1's end or before its start."""
+    return calls.where((F.col("mate") == 1) | F.when(F.col("forward"), F.col("pos") > F.col("e1")).otherwise(F.col("pos") < F.col("b1"))).drop("forward", "b1", "e1")
+
+
 def drop_overlap(calls: DataFrame, pairs: DataFrame, ignore3: int = 0) -> DataFrame:
     """Calls (id, mate, pos, ...) without mate 2's where mate 1 has been: pairs (id, start1, cigar1, forward). On a forward
-    pair mate 2 keeps positions after mate 1's end, else those before its start; mate 1 ends after its 3' trimming."""
-    ops = cigar_ops(F.col("cigar1"))
-    kept = trimmed_span(ops, ignore3, F.col("forward"))
-    old = ref_span(ops)
-    begin = F.when(F.col("forward"), F.col("start1")).otherwise(F.col("start1") + old - kept)
-    end = F.when(F.col("forward"), F.when(kept > 0, F.col("start1") + kept - 1).otherwise(F.col("start1"))).otherwise(F.col("start1") + old - 1)
-    bounds = pairs.select("id", "forward", begin.alias("b1"), end.alias("e1"))
-    out = calls.join(bounds, "id")
-    return out.where((F.col("mate") == 1) | F.when(F.col("forward"), F.col("pos") > F.col("e1")).otherwise(F.col("pos") < F.col("b1"))).drop("forward", "b1", "e1")
+    pair mate 2 keeps positions after mate 1's end, else those before its start; mate 1 ends after its 3' trimming. Every
+    call is shuffled by id; extract_pairs() takes pairs before they are cut into calls."""
+    begin, end = _bounds(F.col("start1"), F.col("cigar1"), F.col("forward"), ignore3)
+    return _outside(calls.join(pairs.select("id", "forward", begin.alias("b1"), end.alias("e1")), "id"))
+
+
+def extract_pairs(pairs: DataFrame, ignore5: int = 0, ignore3: int = 0, ignore5_r2: int = 0, ignore3_r2: int = 0) -> DataFrame:
+    """extract_calls() of both mates of pairs (id, chr, xr, xg, start1, cigar1, xm1, start2, cigar2, xm2), with mate, without
+    the calls that drop_overlap() leaves out. Mate 1's bounds go with mate 2, so no call is shuffled."""
+    ahead = forward(strand(F.col("xr"), F.col("xg")))
+    begin, end = _bounds(F.col("start1"), F.col("cigar1"), ahead, ignore3)
+    mates = F.array(*(F.struct(F.lit(i).alias("mate"), *(F.col(f"{c}{i}").alias(c) for c in ("start", "cigar", "xm"))) for i in (1, 2)))
+    rows = pairs.select("id", "chr", "xr", "xg", ahead.alias("forward"), begin.alias("b1"), end.alias("e1"), mates.alias("mates"))
+    rows = rows.select("id", "chr", "xr", "xg", "forward", "b1", "e1", F.inline("mates"))
+    trim = [F.when(F.col("mate") == 1, one).otherwise(two) for one, two in ((ignore5, ignore5_r2), (ignore3, ignore3_r2))]
+    return _outside(extract_calls(rows.withColumns({"_t5": trim[0], "_t3": trim[1]}), F.col("_t5"), F.col("_t3"), keep=("mate", "forward", "b1", "e1", "_t5", "_t3")).drop("_t5", "_t3"))
 
 
 # -- deduplication --------------------------------------------------------------------------------------------

@@ -4,7 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from methylake.operators import alignments as A
 from methylake.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +49,21 @@ def test_merge_samples_sums_once(spark):
     # each sum by position holds its keys in the task's memory: one before the shuffle, one after it
     plan = QUERIES["merge_samples"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2
+
+
+def test_overlap_shuffles_no_call(spark):
+    # alignments are dealt once, and sums of calls once
+    plan = QUERIES["extract_calls_pe_overlap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Exchange") == 2
+
+
+@pytest.mark.parametrize("trim", [(0, 0, 0, 0), (1, 2, 0, 0), (2, 3, 1, 4)])
+def test_pairs_as_calls_joined(spark, trim):
+    rows = [(i, "1", xr, "CT", 10, c, "z.XhZ.xxHz", 10 + s, "10M", "ZzHx.hhXxZ") for i, (xr, c, s) in enumerate((x, c, s) for x in ("CT", "GA") for c in ("10M", "4M3D6M", "2S5M1I2M") for s in (-6, 0, 3, 30))]
+    pairs = spark.createDataFrame(rows, "id int, chr string, xr string, xg string, start1 int, cigar1 string, xm1 string, start2 int, cigar2 string, xm2 string")
+    mates = [pairs.select("id", "chr", "xr", "xg", *(F.col(f"{c}{k}").alias(c) for c in ("start", "cigar", "xm"))) for k in (1, 2)]
+    calls = A.extract_calls(mates[0], *trim[:2]).withColumn("mate", F.lit(1)).unionByName(A.extract_calls(mates[1], *trim[2:]).withColumn("mate", F.lit(2)))
+    want = A.drop_overlap(calls, pairs.select("id", "start1", "cigar1", (F.col("xr") == "CT").alias("forward")), trim[1])
+    got = A.extract_pairs(pairs, *trim)
+    assert 0 < want.count() < calls.count()
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
