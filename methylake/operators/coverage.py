@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from methylake.functions.expr import exact_round, percent, plain_name, ucsc_name
+from methylake.functions.expr import exact_round, percent, plain_name, revcomp, ucsc_name
 from methylake.operators.genome import as_cytosines, as_drach, as_gpc, at_positions, bases, chromosomes, tile_of, tiles
 
 
@@ -57,19 +57,28 @@ def merge_samples(samples: list[DataFrame]) -> DataFrame:
     return out.withColumn("pct", exact_round(percent(F.col("m"), F.col("u")), 2))
 
 
+def _chromosomes(cov: DataFrame) -> DataFrame:
+    """Chromosomes of a coverage table. The sums are asked for so that the table's own shuffle is used again."""
+    return cov.groupBy("chr").agg(F.max(F.col("m") + F.col("u")).alias("_most")).where("_most is not null").select("chr")
+
+
 def covered(genome: DataFrame, cov: DataFrame) -> DataFrame:
-    """The C and G bases of the genome that cov has, placed, with m and u."""
-    return at_positions(genome, cov.select("chr", "pos", "m", "u"))
+    """The C and G bases of the genome that cov has, placed, with m and u. Only chromosomes with coverage are cut into tiles."""
+    return at_positions(genome.join(_chromosomes(cov), "chr", "left_semi"), cov.select("chr", "pos", "m", "u"))
 
 
-def all_covered(tiled: DataFrame, cov: DataFrame) -> DataFrame:
-    """Every C and G base of the tiles, placed, with m and u, zeros where there is no coverage. Coverage is grouped by
-    tile before the join, so what is shuffled is tiles, and bases come into being after it."""
+def all_covered(genome: DataFrame, cov: DataFrame, text: str = "") -> DataFrame:
+    """Every C and G base of the genome's tiles that hold a text, placed, with m and u, zeros where there is no coverage.
+    cov has a position once. Coverage is grouped by tile before the join, so what is shuffled is tiles, those of chromosomes
+    with coverage, and bases come into being after it."""
+    cut = lambda how: tiles(genome.join(_chromosomes(cov), "chr", how)).where(F.col("text").contains(text)).withColumn("rc", revcomp(F.col("text")))
     rows = cov.where("pos > 0").select("chr", tile_of(F.col("pos")).alias("tile"), F.struct((F.col("pos") - 1).alias("p"), "m", "u").alias("c"))
-    near = tiled.join(rows.groupBy("chr", "tile").agg(F.collect_list("c").alias("cov")), ["chr", "tile"], "left")
-    here = F.filter("cov", lambda x: x["p"] == F.col("i"))
-    at = bases(near).select("*", F.inline_outer(here)).drop("cov", "p")
-    return at.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("m", "u")})
+    near = cut("left_semi").join(rows.groupBy("chr", "tile").agg(F.collect_list("c").alias("cov")), ["chr", "tile"], "left")
+    near = near.select("*", *(F.col(f"cov.{c}").alias(f"_{c}") for c in ("p", "m", "u"))).drop("cov")
+    at = F.array_position("_p", F.col("i"))
+    some = bases(near).withColumns({c: F.when(at > 0, F.get(f"_{c}", (at - 1).cast("int"))).otherwise(0).cast("long") for c in ("m", "u")}).drop("_p", "_m", "_u")
+    none = bases(cut("left_anti")).withColumns({c: F.lit(0).cast("long") for c in ("m", "u")})
+    return some.unionByName(none)
 
 
 def uncovered_chromosomes(genome: DataFrame, cov: DataFrame) -> DataFrame:
@@ -87,8 +96,7 @@ def cytosine_report(genome: DataFrame, cov: DataFrame, cx: bool = False, thresho
     if least > 0:
         at = covered(genome, cov)
     else:
-        tiled = tiles(genome)
-        at = all_covered(tiled if cx else tiled.where(F.col("text").contains("CG")), cov)
+        at = all_covered(genome, cov, "" if cx else "CG")
     out = as_cytosines(at, ffs).where(F.col("m") + F.col("u") >= least)
     if not cx:
         out = out.where("context = 'CG'")
@@ -126,11 +134,27 @@ def drach_report(genome: DataFrame, cov: DataFrame, threshold: int = 1) -> DataF
     return as_drach(covered(genome, cov)).where(F.col("m") + F.col("u") >= _given(threshold)).select("chr", "pos", "strand", "m", "u", "drach", "tri")
 
 
+def _strands_beside(rows: DataFrame) -> DataFrame:
+    """(chr, pos, m1, u1, m2, u2, n) of rows of CpGs on either strand: + at pos and - at pos + 1, zeros for one that is missing."""
+    plus = F.col("strand") == "+"
+    side = lambda here, c: F.coalesce(F.sum(F.when(here, F.col(c))), F.lit(0))
+    sums = [side(here, c).alias(f"{c}{i}") for i, here in ((1, plus), (2, ~plus)) for c in ("m", "u")]
+    return rows.groupBy("chr", F.when(plus, F.col("pos")).otherwise(F.col("pos") - 1).alias("pos")).agg(*sums, F.count(F.lit(1)).alias("n"))
+
+
 def paired_cpgs(report: DataFrame) -> DataFrame:
-    """CpG report rows of both strands side by side: (chr, pos, m1, u1, m2, u2), + at pos and - at pos + 1."""
-    plus = report.where("strand = '+' and context = 'CG'").select("chr", "pos", F.col("m").alias("m1"), F.col("u").alias("u1"))
-    minus = report.where("strand = '-' and context = 'CG'").select("chr", (F.col("pos") - 1).alias("pos"), F.col("m").alias("m2"), F.col("u").alias("u2"))
-    return plus.join(minus, ["chr", "pos"])
+    """CpG report rows of both strands side by side: (chr, pos, m1, u1, m2, u2), + at pos and - at pos + 1; a table that is
+    so already, as covered_cpgs(), stays."""
+    if "m1" in report.columns:
+        return report
+    return _strands_beside(report.where("context = 'CG'")).where("n = 2").drop("n")
+
+
+def covered_cpgs(genome: DataFrame, cov: DataFrame) -> DataFrame:
+    """The pairs of paired_cpgs() of a whole CpG report that have calls, without making that report: only covered CpGs are
+    rows. A - strand row always has its + row beside it; a + row's partner lacks its 3-mer at the first base only."""
+    at = as_cytosines(covered(genome, cov)).where("context = 'CG' and m + u > 0 and (strand = '-' or pos > 1)")
+    return _strands_beside(at).drop("n")
 
 
 def _discordant(limit: int):
@@ -139,7 +163,7 @@ def _discordant(limit: int):
 
 
 def merge_cpgs(report: DataFrame, discordance: int | None = None) -> DataFrame:
-    """(chr, start, end, pct, m, u) of both strands' calls pooled; CpGs without calls, and discordant ones if a limit is given, are left out."""
+    """(chr, start, end, pct, m, u) of both strands' calls pooled, from a report or from covered_cpgs(); CpGs without calls, and discordant ones if a limit is given, are left out."""
     pairs = paired_cpgs(report)
     if discordance is not None:
         pairs = pairs.where(~_discordant(discordance))
@@ -148,7 +172,8 @@ def merge_cpgs(report: DataFrame, discordance: int | None = None) -> DataFrame:
 
 
 def discordant_cpgs(report: DataFrame, discordance: int) -> DataFrame:
-    """(chr, pos, strand, pct, m, u) of both strands of CpGs whose percentages differ by more than discordance."""
+    """(chr, pos, strand, pct, m, u) of both strands of CpGs whose percentages differ by more than discordance, from a report
+    or from covered_cpgs()."""
     rows = F.array(
         F.struct(F.col("pos"), F.lit("+").alias("strand"), F.col("m1").alias("m"), F.col("u1").alias("u")),
         F.struct((F.col("pos") + 1).alias("pos"), F.lit("-").alias("strand"), F.col("m2").alias("m"), F.col("u2").alias("u")),

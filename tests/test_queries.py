@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from methylake.operators import alignments as A
+from methylake.operators import coverage as C
 from methylake.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +68,21 @@ def test_pairs_as_calls_joined(spark, trim):
     got = A.extract_pairs(pairs, *trim)
     assert 0 < want.count() < calls.count()
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["discordant_cpgs", "merge_cpgs"])
+def test_cpgs_come_from_coverage(spark, name):
+    # no row for every base of the genome: the only rows made are tiles
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "explode(sequence(" not in plan.replace(" ", "")
+
+
+def test_covered_cpgs_as_of_report(spark):
+    texts = ["CGCGTACGNCG", "CGG", "CG", "ACG", "GCGC", "NCGN", "C", "", "TTCGCGCG" * 30]
+    genome = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("none", "ACGT")], "chr string, seq string")
+    rows = [(str(i), p + 1, (p * 7 + k) % 3, (p + k) % 2) for i, t in enumerate(texts) for k in (0, 1) for p in range(len(t) + 2) if p % 2 == k]
+    cov = spark.createDataFrame(rows, "chr string, pos long, m long, u long")
+    want = C.paired_cpgs(C.cytosine_report(genome, cov)).where("m1 + u1 + m2 + u2 > 0")
+    got = C.covered_cpgs(genome, cov).select(want.columns)
+    assert want.count() > 50
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
