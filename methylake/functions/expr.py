@@ -63,7 +63,8 @@ def text_window(seq: Column, offset: Column, n: int) -> Column:
 
 def context(tri: Column) -> Column:
     """CG, CHG or CHH of a 3-mer, else null; N is a wildcard in the last place and not in a CG."""
-    return F.when(tri.like("CG%"), "CG").when(tri.like("C_G"), "CHG").when(tri.like("C__"), "CHH")
+    whole = tri.startswith("C") & (F.length(tri) == 3)  # patterns would be regular expressions, for every base
+    return F.when(tri.startswith("CG"), "CG").when(whole & tri.endswith("G"), "CHG").when(whole, "CHH")
 
 
 # -- read names and tags --------------------------------------------------------------------------------------

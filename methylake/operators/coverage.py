@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from methylake.functions.expr import exact_round, percent, plain_name, revcomp, ucsc_name
-from methylake.operators.genome import as_cytosines, as_drach, as_gpc, at_positions, bases, chromosomes, tile_of, tiles
+from methylake.functions.expr import exact_round, percent, plain_name, ucsc_name
+from methylake.operators.genome import as_cytosines, as_drach, as_gpc, at_positions, bases, chromosomes, tile_of, tiles, with_turned
 
 
 def consistent_calls(calls: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def all_covered(genome: DataFrame, cov: DataFrame, text: str = "") -> DataFrame:
     """Every C and G base of the genome's tiles that hold a text, placed, with m and u, zeros where there is no coverage.
     cov has a position once. Coverage is grouped by tile before the join, so what is shuffled is tiles, those of chromosomes
     with coverage, and bases come into being after it."""
-    cut = lambda how: tiles(genome.join(_chromosomes(cov), "chr", how)).where(F.col("text").contains(text)).withColumn("rc", revcomp(F.col("text")))
+    cut = lambda how: with_turned(tiles(genome.join(_chromosomes(cov), "chr", how)).where(F.col("text").contains(text)))
     rows = cov.where("pos > 0").select("chr", tile_of(F.col("pos")).alias("tile"), F.struct((F.col("pos") - 1).alias("p"), "m", "u").alias("c"))
     near = cut("left_semi").join(rows.groupBy("chr", "tile").agg(F.collect_list("c").alias("cov")), ["chr", "tile"], "left")
     near = near.select("*", *(F.col(f"cov.{c}").alias(f"_{c}") for c in ("p", "m", "u"))).drop("cov")

@@ -66,6 +66,11 @@ def at_positions(genome: DataFrame, rows: DataFrame, kinds: str = "CG") -> DataF
     return placed(at.where((F.col("k") >= 0) & (F.col("k") < F.col("core_len"))).drop("pos"), kinds)
 
 
+def with_turned(tiled: DataFrame) -> DataFrame:
+    """tiles with rc, the reverse complement of text, and rc_len: made once a tile, not for each of its bases."""
+    return tiled.withColumns({"rc": revcomp(F.col("text")), "rc_len": F.length("text")})
+
+
 def around(before: int, n: int):
     """n bases of the tile's text from `before` bases before the place on; shorter where the chromosome ends, empty where it has not begun."""
     begin = F.col("o") - before
@@ -80,11 +85,13 @@ def as_cytosines(at: DataFrame, ffs: bool = False) -> DataFrame:
     chromosome are left out, as are 3-mers without a context.
     """
     plus, i = F.col("base") == "C", F.col("i")
-    tri = F.when(plus, around(0, 3)).otherwise(revcomp(around(2, 3)))
-    # at the first base the window before it wraps to the chromosome's last base
-    up = F.when(plus & (i == 0), F.right("tail", F.lit(1))).when(plus, around(1, 3)).otherwise(revcomp(around(1, 3)))
-    out = at.withColumns({"tri": tri, "upstream": up, "strand": F.when(plus, "+").otherwise("-"), "pos": (i + 1).cast("long")})
-    out = out.where((F.length("tri") == 3) & (i + 1 < F.col("chr_len"))).withColumn("context", context(F.col("tri"))).where("context is not null")
+    # the base before and the 3-mer are one piece of text, cut once; at the first base upstream wraps to the chromosome's
+    # last base and is that alone. A 3-mer that begins with C always has a context
+    minus = F.substring("rc", F.col("rc_len") - F.col("o"), F.lit(4)) if "rc" in at.columns else revcomp(F.substring("text", F.col("o") - 2, F.lit(4)))
+    four = F.when(~plus, minus).when(i == 0, F.concat(F.right("tail", F.lit(1)), F.substring("text", F.col("o"), F.lit(3)))).otherwise(F.substring("text", F.col("o") - 1, F.lit(4)))
+    out = at.where((i + 1 < F.col("chr_len")) & F.when(plus, i + 2 < F.col("chr_len")).otherwise(i >= 2)).withColumn("four", four)
+    out = out.withColumns({"tri": F.substring("four", 2, 3), "upstream": F.when(i == 0, F.right("tail", F.lit(1))).otherwise(F.left("four", F.lit(3))), "strand": F.when(plus, "+").otherwise("-"), "pos": (i + 1).cast("long")})
+    out = out.withColumn("context", context(F.col("tri"))).drop("four")
     if not ffs:
         return out
     left = F.col("chr_len") - i
@@ -98,7 +105,7 @@ def as_cytosines(at: DataFrame, ffs: bool = False) -> DataFrame:
 
 def cytosine_positions(genome: DataFrame, ffs: bool = False) -> DataFrame:
     """Every cytosine of both strands with a context: (chr, pos, strand, context, tri, upstream[, tetra, penta, hexa])."""
-    return as_cytosines(bases(tiles(genome)), ffs).select("chr", "pos", "strand", "context", "tri", "upstream", *(["tetra", "penta", "hexa"] if ffs else []))
+    return as_cytosines(bases(with_turned(tiles(genome))), ffs).select("chr", "pos", "strand", "context", "tri", "upstream", *(["tetra", "penta", "hexa"] if ffs else []))
 
 
 def as_gpc(at: DataFrame) -> DataFrame:

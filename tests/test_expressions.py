@@ -115,3 +115,12 @@ def test_partitioning_changes_nothing(spark):
     a = A.mark_duplicates(df, "strand", "chr", "key_pos").where("not duplicate").select("ord")
     b = A.mark_duplicates(df.repartition(7), "strand", "chr", "key_pos").where("not duplicate").select("ord")
     assert sorted(a.collect()) == sorted(b.collect()) == [(i,) for i in range(5)]
+
+
+def test_cytosines_are_cut_once(spark):
+    # a base's 3-mer isn't cut, turned or matched again for each condition on it, and no pattern is a regular expression
+    g = spark.createDataFrame([("1", "CCGATTGCAACG")], "chr string, seq string")
+    plan = G.cytosine_positions(g)._jdf.queryExecution().executedPlan().toString()
+    rows = plan[: plan.index("Generate explode")]
+    assert rows.count("translate") == 0 and rows.count("LIKE") == 0 and rows.count("substring(rc") == 1
+    assert sorted(tuple(r) for r in G.cytosine_positions(g).collect()) == [("1", 1, "+", "CHG", "CCG", "G"), ("1", 2, "+", "CG", "CGA", "CCG"), ("1", 3, "-", "CG", "CGG", "TCG"), ("1", 7, "-", "CHH", "CAA", "GCA"), ("1", 8, "+", "CHH", "CAA", "GCA")]
