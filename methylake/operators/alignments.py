@@ -226,27 +226,54 @@ def call_string(read, window, genome_conversion: str = "CT", five_base: bool = F
     """The call string of a read against its window of read length + 2 bases (two more after it for CT, before it for GA).
 
     Genome C with read C is methylated, with T unmethylated (G and A for GA); the context comes from the two following
-    (or preceding) bases; N or X there gives U. five_base swaps the two; slam calls T kept z and T read as C Z.
+    (or preceding) bases; N or X there gives U. five_base swaps the two; slam calls T kept z and T read as C Z. Texts are
+    looked up as bytes in Arrow batches: a lambda in the JVM is interpreted for every base.
     """
-    a, n = F.split(read, ""), F.length(read)
-    g = F.split(window, "")
     base, kept, changed, other = ("C", "C", "T", "G") if genome_conversion == "CT" else ("G", "G", "A", "C")
-    # each base with its two neighbours in one array of structs: a lambda that looked them up in the whole array
-    # would split the window again for every base
-    order = (1, 2, 3) if genome_conversion == "CT" else (3, 2, 1)
-    zipped = F.arrays_zip(a.alias("r"), *(F.slice(g, F.lit(k), n).alias(f"g{i}") for i, k in enumerate(order)))
+    order = (0, 1, 2) if genome_conversion == "CT" else (2, 1, 0)
+    high, low = (changed, kept) if five_base else (kept, changed)
     if slam:
-        base, kept, changed = ("T", "C", "T") if genome_conversion == "CT" else ("A", "G", "A")
-
-    def one(z):
-        r, g0, g1, g2 = (z[k] for k in ("r", "g0", "g1", "g2"))
-        if slam:
-            return F.when(g0 == base, F.when(r == changed, "z").when(r == kept, "Z").otherwise(".")).otherwise(".")
-        letter = F.when(g1 == other, "z").when(g1.isin("N", "X"), "u").when(g2 == other, "x").when(g2.isin("N", "X"), "u").otherwise("h")
-        high, low = (changed, kept) if five_base else (kept, changed)
-        return F.when(g0 == base, F.when(r == high, F.upper(letter)).when(r == low, letter).otherwise(".")).otherwise(".")
-
-    return F.array_join(F.transform(zipped, one), "")
+        base, high, low = ("T", "C", "T") if genome_conversion == "CT" else ("A", "G", "A")
+
+    def letter(r: int, g0: int, g1: int, g2: int) -> str:
+        # g1 and g2: 1 is the other base, 2 is N or X; r: 1 is high, 2 is low
+        call = "z" if slam or g1 == 1 else "u" if g1 == 2 else "x" if g2 == 1 else "u" if g2 == 2 else "h"
+        return "." if not g0 or not r else call.upper() if r == 1 else call
+
+    codes = "".join(letter(k % 3, k // 27, k // 9 % 3, k // 3 % 3) for k in range(54)).encode()
+    kinds = {base: 27}, {other: 9, "N": 18, "X": 18}, {other: 3, "N": 6, "X": 6}, {low: 2, high: 1}
+    tables = [bytes(k.get(chr(c), 0) for c in range(256)) for k in kinds]
+
+    # a function made here goes to the workers as it is, so they need not have this package
+    def calls(reads, windows):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at0, at1, at2, at_read = (np.frombuffer(t, np.uint8) for t in tables)
+        out_of = np.frombuffer(codes, np.uint8)
+
+        def flat(texts):
+            # a character is one byte: another than ASCII is none of the bases
+            texts = pc.replace_substring_regex(texts.cast(pa.large_string()), r"[^\x00-\x7f]", "?").fill_null("")
+            _, offsets, data = texts.buffers()
+            where = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+            return where, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+        begins, r = flat(reads)
+        starts, w = flat(windows)
+        begin = begins[0]
+        made = np.empty(begins[-1] - begin, np.uint8)
+        for a, b, c, d in zip(begins[:-1], begins[1:], starts[:-1], starts[1:], strict=True):
+            n, g = b - a, w[c:d]
+            if len(g) < n + 2:  # bases that a window lacks are none
+                g = np.concatenate([g, np.zeros(n + 2 - len(g), np.uint8)])
+            g0, g1, g2 = (g[k : k + n] for k in order)
+            made[a - begin : b - begin] = out_of[at0[g0] + at1[g1] + at2[g2] + at_read[r[a:b]]]
+        out = pa.Array.from_buffers(pa.large_string(), len(reads), [None, pa.py_buffer((begins - begin).tobytes()), pa.py_buffer(made)])
+        return pc.if_else(pc.and_(reads.is_valid(), windows.is_valid()), out, pa.scalar(None, pa.large_string())).cast(reads.type)
+
+    return F.arrow_udf(calls, "string")(read, window)
 
 
 # -- choice among aligner instances ---------------------------------------------------------------------------

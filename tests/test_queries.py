@@ -86,3 +86,20 @@ def test_covered_cpgs_as_of_report(spark):
     got = C.covered_cpgs(genome, cov).select(want.columns)
     assert want.count() > 50
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["five_base_call", "methylation_call", "slam_call"])
+def test_calls_without_lambdas(spark, name):
+    # a lambda is interpreted for every base
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_calls_of_odd_texts(spark):
+    rows = [("CTC", "CCGGA"), ("", "AC"), ("CC", "C"), (None, "CCC"), ("C", None), ("CCTC", "CNCXGN"), ("éC", "CCGé"), ("TTTC", "TTATCC")]
+    df = spark.createDataFrame(rows, "r string, w string").coalesce(1)
+    kinds = [A.call_string(F.col("r"), F.col("w"), **k) for k in ({}, {"genome_conversion": "GA"}, {"five_base": True}, {"slam": True})]
+    got = [[r[0] for r in df.select(k).collect()] for k in kinds]
+    assert got[0] == ["Xz.", "", "H.", None, None, "U.u.", ".Z", "...."]
+    assert got[3] == ["...", "", "..", None, None, "....", "..", "zz.Z"]
+    assert all([x is None for x in g] == [False, False, False, True, True, False, False, False] and [len(x or "") for x in g] == [3, 0, 2, 0, 0, 4, 2, 4] for g in got)
