@@ -69,16 +69,14 @@ def covered(genome: DataFrame, cov: DataFrame) -> DataFrame:
 
 def all_covered(genome: DataFrame, cov: DataFrame, text: str = "") -> DataFrame:
     """Every C and G base of the genome's tiles that hold a text, placed, with m and u, zeros where there is no coverage.
-    cov has a position once. Coverage is grouped by tile before the join, so what is shuffled is tiles, those of chromosomes
-    with coverage, and bases come into being after it."""
-    cut = lambda how: with_turned(tiles(genome.join(_chromosomes(cov), "chr", how)).where(F.col("text").contains(text)))
+    cov has a position once. Coverage is grouped by tile before the join, so what is shuffled is tiles, and bases come into
+    being after it."""
     rows = cov.where("pos > 0").select("chr", tile_of(F.col("pos")).alias("tile"), F.struct((F.col("pos") - 1).alias("p"), "m", "u").alias("c"))
-    near = cut("left_semi").join(rows.groupBy("chr", "tile").agg(F.collect_list("c").alias("cov")), ["chr", "tile"], "left")
+    tiled = tiles(genome).where(F.col("text").contains(text)) if text else tiles(genome)
+    near = with_turned(tiled.join(rows.groupBy("chr", "tile").agg(F.collect_list("c").alias("cov")), ["chr", "tile"], "left"))
     near = near.select("*", *(F.col(f"cov.{c}").alias(f"_{c}") for c in ("p", "m", "u"))).drop("cov")
     at = F.array_position("_p", F.col("i"))
-    some = bases(near).withColumns({c: F.when(at > 0, F.get(f"_{c}", (at - 1).cast("int"))).otherwise(0).cast("long") for c in ("m", "u")}).drop("_p", "_m", "_u")
-    none = bases(cut("left_anti")).withColumns({c: F.lit(0).cast("long") for c in ("m", "u")})
-    return some.unionByName(none)
+    return bases(near).withColumns({c: F.when(at > 0, F.get(f"_{c}", (at - 1).cast("int"))).otherwise(0).cast("long") for c in ("m", "u")}).drop("_p", "_m", "_u")
 
 
 def uncovered_chromosomes(genome: DataFrame, cov: DataFrame) -> DataFrame:
